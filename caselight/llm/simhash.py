@@ -13,12 +13,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .words import mix
 
 SEED = 42
+_STEPS = np.arange(8, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 #: Distinct fingerprints under one key that one task compares; a key with more is compared in pairs of blocks.
 BLOCK = 40_000
 
@@ -39,35 +41,40 @@ def position_sets() -> list[tuple[int, ...]]:
     return [low, high] + [a + b for a in combinations(low, 2) for b in combinations(high, 2) if way(low, a) == way(high, b)]
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's shingles, words joined by a space, A-Z in lower case."""
+def fingerprint(text: bytes, shingle: int = 3, words64: int = 1) -> np.ndarray:
+    """SimHash of a text's shingles (words joined by a space, A-Z in lower case), 64 bits in each of the unsigned words.
+
+    The first word is of the shingles' XXH64; each further one is of another scrambling of it.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(words64, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    counts, n = np.zeros(64, np.int64), len(words) - shingle + 1
-    for a in range(0, n, 200_000):
-        part = words[a : min(n, a + 200_000) + shingle - 1]
-        hashes = np.fromiter((digest(x, SEED) for x in map(b" ".join, zip(*(part[j:] for j in range(shingle)), strict=False))), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    counts, n = np.zeros(64 * words64, np.int64), max(1, len(words) - shingle + 1)
+    for a in range(0, n, 100_000):
+        part = words[a : min(n, a + 100_000) + shingle - 1]
+        grams = map(b" ".join, zip(*(part[j:] for j in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+        hashes = np.fromiter((digest(x, SEED) for x in grams), np.uint64)
+        wide = np.stack([hashes, *(mix(hashes + _STEPS[k]) for k in range(1, words64))], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): a row for each row; fp is the fingerprint as a signed long. A null or blank text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words64: int = 1) -> DataFrame:
+    """(id, fp): a row for each row; fp is a signed long, or binary for more than 64 bits. A null or blank text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1).cast(pa.large_string())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64), pa.int64())], ["id", "fp"])
+            prints = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, words64) for x in batch.column(1).cast(pa.large_string())]
+            column = pa.array([int(x[0]) for x in prints], pa.uint64()).view(pa.int64()) if words64 == 1 else pa.array([x.tobytes() for x in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    kind = "long" if words64 == 1 else "binary"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id long, fp {kind}")
 
 
-def _key(fp: F.Column, positions: tuple[int, ...], number: int) -> F.Column:
-    """The bytes at the positions, with the set's number before them."""
+def _key(fp: Column, positions: tuple[int, ...], number: int) -> Column:
+    """The bytes of a long at the positions, with the set's number before them."""
     out = F.lit(number).cast("long")
     for p in positions:
         out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long")))
@@ -75,25 +82,23 @@ def _key(fp: F.Column, positions: tuple[int, ...], number: int) -> F.Column:
 
 
 def _roots(prints: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
-    """For each of some distinct fingerprints, the index of the first one that it is linked with, directly or through others."""
+    """For each of some distinct fingerprints (rows of words), the index of the first one that it is linked with, directly or through others."""
     n = len(prints)
     root = np.arange(n)
-    by_byte = prints.view(np.uint8).reshape(-1, 8)
-    step = max(1, 4_000_000 // max(1, n))
+    by_byte = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
+    step = max(1, 2_000_000 // (n * prints.shape[1]))
     links_a, links_b = [], []
     for a in range(0, n - 1, step):
         rows = np.arange(a, min(n, a + step))
-        differ = np.bitwise_count(prints[rows, None] ^ prints[None, a:])
-        i, j = np.nonzero(differ <= max(most, 0))
+        differ = np.bitwise_count(prints[rows, None] ^ prints[None, a:]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero(differ <= most)
         i, j = rows[i], j + a
         keep = i < j
         i, j = i[keep], j[keep]
-        tally = (by_byte[i] == by_byte[j]).sum(axis=1)
-        keep = tally >= least_bytes  # holds for all that differ so little: the guaranteed count
-        # Within a block of rows, one link from each later fingerprint to its first partner and one between partners suffice only for trees, so all go through the forest below.
+        keep = (by_byte[i] == by_byte[j]).sum(axis=1) >= least_bytes
         links_a.append(i[keep])
         links_b.append(j[keep])
-        if sum(map(len, links_a)) > 2_000_000:
+        if sum(map(len, links_a)) > 1_000_000:
             root = _merge(root, np.concatenate(links_a), np.concatenate(links_b))
             links_a, links_b = [], []
     if links_a:
@@ -117,12 +122,12 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b): links that connect the same distinct fingerprints (column fp) as all pairs with at most `most` differing bits, one for each fingerprint and key at most."""
-    if most > 3:
-        raise ValueError("the index guarantees five shared bytes for up to 3 differing bits")
-    sets = position_sets()
-    posting = prints.select("fp", F.explode(F.array(*[_key(F.col("fp"), s, i) for i, s in enumerate(sets)])).alias("key"))
+def _meet(posting: DataFrame, most: int, least_bytes: int) -> DataFrame:
+    """(a, b): from (fp, key), links between fingerprints that meet under a key, one for each fingerprint and key at most.
+
+    A key with more than BLOCK fingerprints is compared in pairs of blocks, in different tasks.
+    """
+    wide = posting.schema["fp"].dataType.simpleString() == "binary"
     blocks = posting.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     held = posting.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     held = held.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -130,35 +135,107 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     # Cells are small; tasks take them sorted, many at a time.
     dealt = held.repartition(F.col("cell")).sortWithinPartitions("cell")
 
+    def rows_of(column: pa.Array) -> np.ndarray:
+        if wide:
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
+
+    def column_of(prints: np.ndarray) -> pa.Array:
+        return pa.array([x.tobytes() for x in prints], pa.binary()) if wide else pa.array(prints[:, 0].view(np.int64), pa.int64())
+
+    def emit(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        size = np.diff(np.append(begin, len(cells)))
+        two = begin[size == 2]  # the most frequent case at once
+        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= most]
+        a, b = [prints[near]], [prints[near + 1]]
+        for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            part = np.unique(prints[at : at + n], axis=0)
+            root = _roots(part, most, least_bytes)
+            moved = root != np.arange(len(part))
+            a.append(part[root[moved]])
+            b.append(part[moved])
+        return pa.RecordBatch.from_arrays([column_of(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            size = np.diff(np.append(begin, len(cells)))
-            two = begin[size == 2]  # the most frequent case at once
-            near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= most]
-            a, b = [prints[near]], [prints[near + 1]]
-            for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                part = np.unique(prints[at : at + n])
-                root = _roots(part, most, 8 - most)
-                moved = root != np.arange(len(part))
-                a.append(part[root[moved]])
-                b.append(part[moved])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
-
-        rest_cells, rest = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rest_cells, rest = np.zeros(0, np.int64), None
         for batch in batches:
-            cells = np.concatenate((rest_cells, batch.column(1).to_numpy(zero_copy_only=False)))
-            prints = np.concatenate((rest, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-            if not len(cells):
+            if not batch.num_rows:
                 continue
+            cells, prints = batch.column(1).to_numpy(zero_copy_only=False), rows_of(batch.column(0))
+            if rest is not None:
+                cells, prints = np.concatenate((rest_cells, cells)), np.concatenate((rest, prints))
             last = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on in the next batch
             if last:
                 yield emit(cells[:last], prints[:last])
             rest_cells, rest = cells[last:], prints[last:]
-        if len(rest):
+        if rest is not None and len(rest):
             yield emit(rest_cells, rest)
 
-    return dealt.select("fp", "cell").mapInArrow(run, "a long, b long").distinct()
+    kind = "binary" if wide else "long"
+    return dealt.select("fp", "cell").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def links(prints: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b): links that connect the same distinct 64-bit fingerprints (column fp) as all pairs with at most `most` differing bits."""
+    if most > 3:
+        raise ValueError("the index guarantees five shared bytes for up to 3 differing bits")
+    keys = F.array(*[_key(F.col("fp"), s, i) for i, s in enumerate(position_sets())])
+    return _meet(prints.select("fp", F.explode(keys).alias("key")), most, 8 - most)
+
+
+#: 64-bit words of a fingerprint for a similarity of shingle sets, positions in a group, and how far two similar fingerprints' first words may differ.
+WIDE, GROUP, QUICK = 4, 8, 18
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which texts count as similar: those expected at the similarity and 1.3 standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE
+    return int(n * p + 1.3 * np.sqrt(n * p * (1 - p)))
+
+
+def _wide_postings(prints: DataFrame, quick: bool) -> DataFrame:
+    """(fp, key): each wide fingerprint, or its first word if quick, under all pairs of positional bytes within each group of positions.
+
+    Similar texts share about a quarter of all bytes, so two in some group, but for one pair of texts in a hundred.
+    """
+    pairs = np.array([(g + i, g + j) for g in range(0, 8 * WIDE, GROUP) for i, j in combinations(range(GROUP), 2)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                rows = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1).astype(np.int64)
+                keys = np.arange(len(pairs)) * 65536 + rows[:, pairs[:, 0]] * 256 + rows[:, pairs[:, 1]]
+                at = pa.array(np.repeat(np.arange(len(rows)), len(pairs)))
+                own = pa.array(np.frombuffer(b"".join(part.column(0).to_pylist()), ">i8").reshape(len(rows), -1)[:, 0].astype(np.int64)) if quick else part.column(0)
+                yield pa.RecordBatch.from_arrays([own.take(at), pa.array(keys.ravel())], ["fp", "key"])
+
+    return prints.select("fp").mapInArrow(run, f"fp {'long' if quick else 'binary'}, key long")
+
+
+def _first_word(fp: Column) -> Column:
+    """The first 64 bits of a binary fingerprint as a signed long, the first byte the highest."""
+    return F.conv(F.hex(F.substring(fp, 1, 8)), 16, -10).cast("long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id): like near_duplicates, for texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    64-bit fingerprints within 3 bits are far more alike than that, so fingerprints have 256 bits here, and the similarity
+    is the one that their differing bits stand for. Fingerprints whose first words come close under some key are found
+    first; whole fingerprints are compared among those alone.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, WIDE))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    most = most_bits(similarity)
+    near = _meet(_wide_postings(prints, True), QUICK, 0)
+    worth = near.select(F.explode(F.array("a", "b")).alias("quick")).distinct()
+    some = prints.withColumn("quick", _first_word(F.col("fp")))
+    twice = some.groupBy("quick").count().where("count > 1").select("quick")
+    some = cut(some.join(worth.union(twice).distinct(), "quick", "left_semi").select("fp"))
+    edges = _meet(_wide_postings(some, False), most, 2)
+    return _classes(rows, prints, components(edges)).select(F.col("id").alias(id_col), "component_id")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,8 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     prints = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    labels = components(links(prints, most))
+    return _classes(rows, prints, components(links(prints, most))).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _classes(rows: DataFrame, prints: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with component_id: the smallest id among the fingerprints that share a label; a fingerprint without links is its own label."""
     named = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "label").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named.join(smallest, "label").select("fp", "component_id"), "fp")

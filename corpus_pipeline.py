@@ -19,9 +19,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; words in shingles of five, as for all near duplicates without a contract."""
+    """Of each group of near copies the document with the smallest id, once: texts whose shingles of five words have a similarity of 0.8 or more."""
     ship(spark)
-    found = simhash.near_duplicates(docs, shingle=5)
+    found = simhash.similar_documents(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     once = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     return once.dropDuplicates(["doc_id"])
