@@ -116,8 +116,8 @@ def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_c
                 doc = np.searchsorted(word_at, may, "right") - 1
                 ok = may + GRAM <= word_at[doc + 1]
                 may, spot, doc = may[ok], spot[ok], doc[ok]
-                edges = np.searchsorted(doc, np.unique(doc))
-                for u, v in zip(edges, np.append(edges[1:], len(doc)), strict=True):
+                edges = np.append(np.searchsorted(doc, np.unique(doc)), len(doc))
+                for u, v in zip(edges[:-1], edges[1:], strict=True):
                     kept.append(first + int(doc[u]))
                     hits.append(spot[u:v].astype(np.int32))
                     places.append((may[u:v] - word_at[doc[u]]).astype(np.int32))
