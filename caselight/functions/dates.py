@@ -56,4 +56,5 @@ def retry_after(value: Column, now: Column, most_seconds: float) -> Column:
     number = F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(value).cast("double"))
     at = F.try_to_timestamp(F.regexp_extract(value, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.unix_timestamp(at) - F.unix_timestamp(now)
-    return F.least(F.coalesce(number, F.when(wait > 0, wait.cast("double"))), F.lit(float(most_seconds)))
+    seconds = F.coalesce(number, F.when(wait > 0, wait.cast("double")))
+    return F.when(seconds.isNotNull(), F.least(seconds, F.lit(float(most_seconds))))
