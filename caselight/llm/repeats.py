@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .words import blocks, byte_windows_hash, minimizers, spans_hash, windows_hash, word_bounds
+from .words import blocks, byte_windows_hash, minimizers, mix, spans_hash, windows_hash, word_bounds
 
 #: Chunk entries that a group of round 4 gets at most, unless one anchor alone has more.
 GROUP_ENTRIES = 60_000
@@ -59,11 +59,13 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, by_word: bool, width: int,
         new[1:] = (key[1:] != key[:-1]) | (doc[whole][1:] != doc[whole][:-1])
         begin = np.flatnonzero(new)
         low, high = whole[begin], whole[np.append(begin[1:], len(whole)) - 1]
-        yield first, units, at, grams[chosen[key[begin]]], doc[low], low, high
+        yield first, units, at, mix(grams[chosen[key[begin]]]), doc[low], low, high  # anew, as smallest hashes crowd at low values
 
 
 def _split(values: np.ndarray, order_by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Indices for each distinct value of order_by."""
+    if not len(values):
+        return
     order = np.argsort(order_by, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(order_by[order]) != 0, True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -152,10 +154,12 @@ def find_repeats(packed: DataFrame, total_bytes: int, decide: Decide, by_word: b
             anchors.append(codes[use])
             docs.append(doc[use] + first)
             places.append(low[use] - unit_at[doc[use]])
+        if not stretches:
+            return _table([], _SENT)
         anchors, docs, places = np.concatenate(anchors), np.concatenate(docs), np.concatenate(places)
-        which, distinct = pd.factorize(np.array(stretches, object)) if stretches else (np.zeros(0, int), [])
+        which, distinct = pd.factorize(np.array(stretches, object))
         order = np.lexsort((places, docs, which))  # documents are in order of their ids
-        begin = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0]) if len(order) else order
+        begin = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0])
         times = np.diff(np.append(begin, len(order)))
         anchor, smallest = anchors[order[begin]], ids[docs[order[begin]]]
         shift = bits[(anchor >> np.uint64(32)).astype(np.int64)]
