@@ -58,7 +58,7 @@ def test_odd_rows(odd, none):
     assert len(w) == len(b) == odd.count()
     assert {r.doc_id: (r.n_words, r.n_removed) for r in w}[6] == (3000, 0)  # repeats within a document stay
     assert {r.doc_id: (r.n_bytes, r.n_removed) for r in b}[0] == (0, 0)
-    assert [r.n_removed for r in b if r.doc_id == 7] == [0, 0]
+    assert [r.n_removed for r in b if r.doc_id == 7] == [0, 0, 0]
     assert suffix_tree.remove_repeated_words(none).collect() == run_length_index.remove_repeated_bytes(none).collect() == []
 
 
