@@ -7,7 +7,7 @@ pairs that meet under a set have their shared bytes tallied, are kept at 5 or mo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +23,8 @@ SEED = 42
 _STEPS = np.arange(8, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 #: Distinct fingerprints under one key that one task compares; a key with more is compared in pairs of blocks.
 BLOCK = 40_000
+#: Keys with more are told from one fingerprint in so many.
+SHARE = 16
 
 
 def position_sets() -> list[tuple[int, ...]]:
@@ -81,29 +83,31 @@ def _key(fp: Column, positions: tuple[int, ...], number: int) -> Column:
     return out
 
 
-def _roots(prints: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
-    """For each of some distinct fingerprints (rows of words), the index of the first one that it is linked with, directly or through others."""
-    n = len(prints)
-    root = np.arange(n)
-    by_byte = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
-    step = max(1, 2_000_000 // (n * prints.shape[1]))
-    links_a, links_b = [], []
-    for a in range(0, n - 1, step):
-        rows = np.arange(a, min(n, a + step))
-        differ = np.bitwise_count(prints[rows, None] ^ prints[None, a:]).sum(axis=2, dtype=np.int32)
-        i, j = np.nonzero(differ <= most)
-        i, j = rows[i], j + a
-        keep = i < j
-        i, j = i[keep], j[keep]
-        keep = (by_byte[i] == by_byte[j]).sum(axis=1) >= least_bytes
-        links_a.append(i[keep])
-        links_b.append(j[keep])
-        if sum(map(len, links_a)) > 1_000_000:
+def _near(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
+    """Which of the pairs (i, j) share `least_bytes` positional bytes and differ in `most` bits at most."""
+    differ = prints[i] ^ prints[j]
+    shared = (differ.view(np.uint8).reshape(len(i), 8 * prints.shape[1]) == 0).sum(axis=1, dtype=np.int16)
+    near = np.flatnonzero(shared >= least_bytes)
+    return near[np.bitwise_count(differ[near]).sum(axis=1, dtype=np.int32) <= most]
+
+
+def _roots(cells: np.ndarray, prints: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
+    """For each of some fingerprints (rows of words), sorted by cell, the index of the first one of its cell that it is linked with, directly or through others."""
+    root = np.arange(len(cells))
+    i, lag, links_a, links_b, held = root, 1, [], [], 0
+    while len(i):  # neighbours at a growing distance, all cells at once
+        i = i[i < len(cells) - lag]
+        i = i[cells[i] == cells[i + lag]]
+        for part in (i[k : k + 500_000] for k in range(0, len(i), 500_000)):
+            near = part[_near(prints, part, part + lag, most, least_bytes)]
+            links_a.append(near)
+            links_b.append(near + lag)
+            held += len(near)
+        if held > 1_000_000:
             root = _merge(root, np.concatenate(links_a), np.concatenate(links_b))
-            links_a, links_b = [], []
-    if links_a:
-        root = _merge(root, np.concatenate(links_a), np.concatenate(links_b))
-    return root
+            links_a, links_b, held = [], [], 0
+        lag += 1
+    return _merge(root, np.concatenate(links_a), np.concatenate(links_b)) if held else root
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,16 +126,25 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _meet(posting: DataFrame, most: int, least_bytes: int) -> DataFrame:
-    """(a, b): from (fp, key), links between fingerprints that meet under a key, one for each fingerprint and key at most.
+def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: int, least_bytes: int) -> DataFrame:
+    """(a, b): links between distinct fingerprints that meet under a key of their postings (fp, key), one for each fingerprint and key at most.
 
-    A key with more than BLOCK fingerprints is compared in pairs of blocks, in different tasks.
+    A key with more than BLOCK fingerprints is compared in pairs of blocks, in different tasks. Which keys these are is
+    told from the fingerprints of one hash in SHARE; the links don't depend on it.
     """
-    wide = posting.schema["fp"].dataType.simpleString() == "binary"
-    blocks = posting.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    held = posting.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    held = held.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    held = held.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    wide = prints.schema["fp"].dataType.simpleString() == "binary"
+    held = postings(prints)
+    hot = None
+    if prints.count() > BLOCK:
+        share = prints.where(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0)
+        hot = cut(postings(share).groupBy("key").agg(F.ceil(F.count("*") * SHARE / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    if hot is None or hot.isEmpty():
+        held = held.select("fp", F.xxhash64("key").alias("cell"))
+    else:
+        held = held.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        held = held.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        held = held.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        held = held.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     # Cells are small; tasks take them sorted, many at a time.
     dealt = held.repartition(F.col("cell")).sortWithinPartitions("cell")
 
@@ -144,33 +157,24 @@ def _meet(posting: DataFrame, most: int, least_bytes: int) -> DataFrame:
         return pa.array([x.tobytes() for x in prints], pa.binary()) if wide else pa.array(prints[:, 0].view(np.int64), pa.int64())
 
     def emit(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-        size = np.diff(np.append(begin, len(cells)))
-        two = begin[size == 2]  # the most frequent case at once
-        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= most]
-        a, b = [prints[near]], [prints[near + 1]]
-        for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            part = np.unique(prints[at : at + n], axis=0)
-            root = _roots(part, most, least_bytes)
-            moved = root != np.arange(len(part))
-            a.append(part[root[moved]])
-            b.append(part[moved])
-        return pa.RecordBatch.from_arrays([column_of(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+        root = _roots(cells, prints, most, least_bytes)
+        moved = np.flatnonzero((root != np.arange(len(root))) & (prints[root] != prints).any(axis=1))
+        return pa.RecordBatch.from_arrays([column_of(prints[root[moved]]), column_of(prints[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_cells, rest = np.zeros(0, np.int64), None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             cells, prints = batch.column(1).to_numpy(zero_copy_only=False), rows_of(batch.column(0))
-            if rest is not None:
-                cells, prints = np.concatenate((rest_cells, cells)), np.concatenate((rest, prints))
             last = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on in the next batch
-            if last:
-                yield emit(cells[:last], prints[:last])
-            rest_cells, rest = cells[last:], prints[last:]
-        if rest is not None and len(rest):
-            yield emit(rest_cells, rest)
+            if last or (held and held[-1][0][-1] != cells[0]):
+                held.append((cells[:last], prints[:last]))
+                yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            held.append((cells[last:], prints[last:]))
+        if held:
+            yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     kind = "binary" if wide else "long"
     return dealt.select("fp", "cell").mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -181,11 +185,11 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     if most > 3:
         raise ValueError("the index guarantees five shared bytes for up to 3 differing bits")
     keys = F.array(*[_key(F.col("fp"), s, i) for i, s in enumerate(position_sets())])
-    return _meet(prints.select("fp", F.explode(keys).alias("key")), most, 8 - most)
+    return _meet(prints, lambda rows: rows.select("fp", F.explode(keys).alias("key")), most, 8 - most)
 
 
-#: 64-bit words of a fingerprint for a similarity of shingle sets, positions in a group, and how far two similar fingerprints' first words may differ.
-WIDE, GROUP, QUICK = 4, 8, 18
+#: 64-bit words of a fingerprint for a similarity of shingle sets, and positions in a group.
+WIDE, GROUP = 4, 8
 
 
 def most_bits(similarity: float) -> int:
@@ -195,8 +199,8 @@ def most_bits(similarity: float) -> int:
     return int(n * p + 1.3 * np.sqrt(n * p * (1 - p)))
 
 
-def _wide_postings(prints: DataFrame, quick: bool) -> DataFrame:
-    """(fp, key): each wide fingerprint, or its first word if quick, under all pairs of positional bytes within each group of positions.
+def _wide_postings(prints: DataFrame) -> DataFrame:
+    """(fp, key): each wide fingerprint under all pairs of positional bytes within each group of positions.
 
     Similar texts share about a quarter of all bytes, so two in some group, but for one pair of texts in a hundred.
     """
@@ -208,33 +212,20 @@ def _wide_postings(prints: DataFrame, quick: bool) -> DataFrame:
                 rows = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1).astype(np.int64)
                 keys = np.arange(len(pairs)) * 65536 + rows[:, pairs[:, 0]] * 256 + rows[:, pairs[:, 1]]
                 at = pa.array(np.repeat(np.arange(len(rows)), len(pairs)))
-                own = pa.array(np.frombuffer(b"".join(part.column(0).to_pylist()), ">i8").reshape(len(rows), -1)[:, 0].astype(np.int64)) if quick else part.column(0)
-                yield pa.RecordBatch.from_arrays([own.take(at), pa.array(keys.ravel())], ["fp", "key"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(keys.ravel())], ["fp", "key"])
 
-    return prints.select("fp").mapInArrow(run, f"fp {'long' if quick else 'binary'}, key long")
-
-
-def _first_word(fp: Column) -> Column:
-    """The first 64 bits of a binary fingerprint as a signed long, the first byte the highest."""
-    return F.conv(F.hex(F.substring(fp, 1, 8)), 16, -10).cast("long")
+    return prints.select("fp").mapInArrow(run, "fp binary, key long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id): like near_duplicates, for texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     64-bit fingerprints within 3 bits are far more alike than that, so fingerprints have 256 bits here, and the similarity
-    is the one that their differing bits stand for. Fingerprints whose first words come close under some key are found
-    first; whole fingerprints are compared among those alone.
+    is the one that their differing bits stand for.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, WIDE))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    most = most_bits(similarity)
-    near = _meet(_wide_postings(prints, True), QUICK, 0)
-    worth = near.select(F.explode(F.array("a", "b")).alias("quick")).distinct()
-    some = prints.withColumn("quick", _first_word(F.col("fp")))
-    twice = some.groupBy("quick").count().where("count > 1").select("quick")
-    some = cut(some.join(worth.union(twice).distinct(), "quick", "left_semi").select("fp"))
-    edges = _meet(_wide_postings(some, False), most, 2)
+    edges = _meet(prints, _wide_postings, most_bits(similarity), 2)
     return _classes(rows, prints, components(edges)).select(F.col("id").alias(id_col), "component_id")
 
 
@@ -260,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0, linked like any other. Other columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    prints = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     return _classes(rows, prints, components(links(prints, most))).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
