@@ -25,6 +25,8 @@ from . import chunks
 
 #: Text bytes whose distinct words meet in one bucket, on average; at least MIN_BUCKETS buckets.
 BUCKET_BYTES, MIN_BUCKETS = 64_000_000, 48
+#: Text bytes of a chunk, on average: its words are objects of a task.
+CHUNK_BYTES = 4_000_000
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("words", pa.binary())])
 _IDS = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary())])
@@ -84,7 +86,7 @@ def _whole(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(n + 1)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each input row: id_col, n_tokens, ids_sha256, decoded_sha256, and on demand ids (array of int) and decoded (string).
 
     The ids are those that the tokenizers library gives for the whole text without special tokens added; decoded is the
