@@ -23,7 +23,9 @@ SEED = 42
 _STEPS = np.arange(8, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 #: Distinct fingerprints under one key that one task compares; a key with more is compared in pairs of blocks.
 BLOCK = 40_000
-#: Keys with more are told from one fingerprint in so many.
+#: A cell with more fingerprints is searched by itself, from one to those that it reaches; smaller ones go all at once.
+MANY = 64
+#: Keys with more than BLOCK are told from one fingerprint in so many.
 SHARE = 16
 
 
@@ -91,10 +93,32 @@ def _near(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int, least_byt
     return near[np.bitwise_count(differ[near]).sum(axis=1, dtype=np.int32) <= most]
 
 
+def _reach(prints: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
+    """For each fingerprint of one cell, the index of the first one that links reach it from.
+
+    Whatever is reached is compared with what isn't yet, so a clump of copies costs about one comparison a member.
+    """
+    root, left = np.arange(len(prints)), np.arange(len(prints))
+    while len(left):
+        first, left, front = left[0], left[1:], left[:1]
+        while len(front) and len(left):
+            now, front = front[: max(1, 500_000 // len(left))], front[max(1, 500_000 // len(left)) :]
+            i, j = np.repeat(now, len(left)), np.tile(left, len(now))
+            hit = np.unique(j[_near(prints, i, j, most, least_bytes)])
+            root[hit] = first
+            left = left[root[left] != first]
+            front = np.concatenate((front, hit))
+    return root
+
+
 def _roots(cells: np.ndarray, prints: np.ndarray, most: int, least_bytes: int) -> np.ndarray:
     """For each of some fingerprints (rows of words), sorted by cell, the index of the first one of its cell that it is linked with, directly or through others."""
     root = np.arange(len(cells))
-    i, lag, links_a, links_b, held = root, 1, [], [], 0
+    edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+    size = np.diff(edges)
+    for a, n in zip(edges[:-1][size > MANY].tolist(), size[size > MANY].tolist(), strict=True):
+        root[a : a + n] = a + _reach(prints[a : a + n], most, least_bytes)
+    i, lag, links_a, links_b, held = np.flatnonzero(np.repeat(size <= MANY, size)), 1, [], [], 0
     while len(i):  # neighbours at a growing distance, all cells at once
         i = i[i < len(cells) - lag]
         i = i[cells[i] == cells[i + lag]]

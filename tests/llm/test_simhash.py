@@ -75,6 +75,17 @@ def test_roots_match_pairs():
     assert simhash._roots(apart, prints, 3, 5).tolist()[:3] == [0, 0, 2]
 
 
+def test_reach_matches_neighbours(monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = np.repeat(rng.integers(0, 2**63, 6).astype(np.uint64), 50)
+    for _ in range(2):
+        prints ^= np.uint64(1) << rng.integers(0, 64, len(prints)).astype(np.uint64)
+    prints, cells = rng.permutation(prints)[:, None], np.repeat([3, 8], [200, 100])
+    searched = simhash._roots(cells, prints, 3, 5)
+    monkeypatch.setattr(simhash, "MANY", 1000)
+    assert searched.tolist() == simhash._roots(cells, prints, 3, 5).tolist()
+
+
 def test_similar_documents(spark):
     r = random.Random(2)
     vocabulary = [f"word{i}" for i in range(3000)]
