@@ -170,7 +170,8 @@ def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: i
         held = held.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         held = held.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     # Cells are small; tasks take them sorted, many at a time.
-    dealt = held.repartition(F.col("cell")).sortWithinPartitions("cell")
+    # The wide ones of a cell come in order, so that a clump has the same first ones in most of its cells, and few links are distinct.
+    dealt = held.repartition(F.col("cell")).sortWithinPartitions("cell", *(["fp"] if wide else []))
 
     def rows_of(column: pa.Array) -> np.ndarray:
         if wide:
@@ -217,10 +218,10 @@ WIDE, GROUP = 4, 8
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which texts count as similar: those expected at the similarity and 1.3 standard deviations."""
+    """Differing bits of wide fingerprints up to which texts are candidates: those expected at the similarity and three standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * WIDE
-    return int(n * p + 1.3 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 3 * np.sqrt(n * p * (1 - p)))
 
 
 def _wide_postings(prints: DataFrame) -> DataFrame:
@@ -241,16 +242,143 @@ def _wide_postings(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "fp binary, key long")
 
 
+#: A clump is compared in pairs of blocks of about so many shingles and texts at most.
+BLOCK_SHINGLES, BLOCK_TEXTS = 3_000_000, 10_000
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's shingles (see `fingerprint`); empty for a blank text."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[j:] for j in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in grams), np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Wide SimHash of a set of shingles: how often a text repeats one doesn't matter, as it doesn't for the similarity."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for part in (hashes[a : a + 100_000] for a in range(0, len(hashes), 100_000)):
+        wide = np.stack([part, *(mix(part + _STEPS[k]) for k in range(1, WIDE))], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, text_code, code, n, fp): for each row the hash of its text, the digest and number of its shingles and their wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, sizes, prints = [], [], []
+            for x in batch.column(2).cast(pa.large_string()):
+                found = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
+                codes.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                prints.append(set_fingerprint(found).tobytes())
+            columns = [pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_code", "code", "n", "fp"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_code"), text.alias("text")).mapInArrow(run, "id long, text_code long, code binary, n long, fp binary")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of some sets, the index of the first one that links of an exact Jaccard similarity of `similarity` or more reach it from.
+
+    Two such sets share one of their rarest elements: all but `similarity` of a set, and one more. Only sets that do are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+    if not size.sum():
+        return root
+    node = np.repeat(np.arange(len(sets)), size)
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_times = np.empty(len(times), np.int64)
+    by_times[np.argsort(times, kind="stable")] = np.arange(len(times))
+    value = by_times[value]
+    value = value[np.lexsort((value, node))]
+    times = np.sort(times)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    rare = np.flatnonzero((np.arange(len(value)) - begin[node] < first[node]) & (times[value] > 1))
+    key, owner = value[rare], node[rare]
+    rare_at = np.searchsorted(owner, np.arange(len(sets) + 1))
+    marks = np.zeros(len(times), bool)
+    free = np.ones(len(sets), bool)
+    waste = 0
+    for start in np.unique(owner).tolist():
+        if not free[start]:
+            continue
+        free[start], front = False, [start]
+        while front:
+            now = front.pop()
+            waste += 1
+            if waste > 64:  # what is reached already leaves the list
+                left = free[owner]
+                key, owner, waste = key[left], owner[left], 0
+            mine = value[rare[rare_at[now] : rare_at[now + 1]]]
+            marks[mine] = True
+            may = np.unique(owner[marks[key]])
+            marks[mine] = False
+            may = may[free[may] & (size[may] >= similarity * size[now] - 1e-9) & (size[now] >= similarity * size[may] - 1e-9)]
+            if not len(may):
+                continue
+            mine = value[begin[now] : begin[now + 1]]
+            marks[mine] = True
+            at = np.repeat(begin[may] - np.cumsum(size[may]) + size[may], size[may]) + np.arange(size[may].sum())
+            shared = np.add.reduceat(marks[value[at]].astype(np.int64), np.cumsum(size[may]) - size[may])
+            marks[mine] = False
+            hit = may[shared >= similarity * (size[now] + size[may] - shared) - 1e-9]
+            free[hit], root[hit] = False, start
+            front += hit.tolist()
+    return root
+
+
+def _checked(docs: DataFrame, sets: DataFrame, labels: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between sets (codes) whose exact Jaccard similarity is `similarity` or more and whose fingerprints the labels (node, label) put in one clump.
+
+    Each set goes to its clump once, or once for each block of a large one, and every pair of a clump is looked at in some task.
+    """
+    named = sets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    clumps = named.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_TEXTS)).cast("int")
+    wanted = named.select("label", "code", "text_code").join(clumps.select("label", blocks.alias("blocks")), "label")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("text_code"), text.alias("text")).dropDuplicates(["text_code"])
+    held = wanted.join(texts, "text_code").withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    held = held.select("label", "own", "code", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = held.select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "code", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("code")
+        codes = table.column("code").to_pylist()
+        sets = [shingle_set((x.as_py() or "").encode(), shingle) for x in table.column("text")]
+        root = alike(sets, similarity)
+        moved = np.flatnonzero(root != np.arange(len(root))).tolist()
+        return pa.table({"a": pa.array([codes[root[i]] for i in moved], pa.binary()), "b": pa.array([codes[i] for i in moved], pa.binary())})
+
+    return held.groupBy("label", "low", "high").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, text_code, label): for each row its id, xxhash64 of its text and the label of its component, as `similar_documents` links them."""
+    rows = cut(_shingle_rows(docs, id_col, text_col, shingle))
+    sets = cut(rows.groupBy("code", "fp").agg(F.min("text_code").alias("text_code"), F.min("n").alias("n")))
+    clumps = components(_meet(cut(sets.select("fp").distinct()), _wide_postings, most_bits(similarity), 2))
+    labels = components(_checked(docs, sets, clumps, text_col, shingle, similarity))
+    named = rows.join(labels.withColumnRenamed("node", "code"), "code", "left")
+    return named.select("id", "text_code", F.coalesce("label", "code").alias("label"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id): like near_duplicates, for texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
-    64-bit fingerprints within 3 bits are far more alike than that, so fingerprints have 256 bits here, and the similarity
-    is the one that their differing bits stand for.
+    64-bit fingerprints within 3 bits are far more alike than that, so fingerprints have 256 bits here. They only find
+    clumps of candidates; a link stands if the exact similarity of the two sets does.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, WIDE))
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    edges = _meet(prints, _wide_postings, most_bits(similarity), 2)
-    return _classes(rows, prints, components(edges)).select(F.col("id").alias(id_col), "component_id")
+    rows = cut(similar_rows(docs, id_col, text_col, shingle, similarity))
+    smallest = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    return rows.join(smallest, "label").select(F.col("id").alias(id_col), "component_id")
 
 
 def components(edges: DataFrame) -> DataFrame:

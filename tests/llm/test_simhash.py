@@ -109,3 +109,42 @@ def test_odd_rows(odd, none):
         by = {(r.doc_id, r.component_id) for r in got}
         assert {(0, 0), (1, 0), (2, 0), (None, 4), (4, 4)} <= by  # blank texts are alike; a null id takes its copy's
         assert f(none).collect() == []
+
+
+def jaccard_roots(sets, least):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(sets)), 2):
+        if len(sets[i] | sets[j]) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_alike_is_exact():
+    r = random.Random(6)
+    sets = [set(r.sample(range(1000), r.choice((1, 5, 20, 60)))) for _ in range(12)] + [set()]
+    for _ in range(200):
+        s = set(r.choice(sets))
+        for _ in range(r.choice((0, 1, 2, 6))):
+            s ^= {r.randrange(1000)}
+        sets.append(s)
+    got = simhash.alike([np.array(sorted(s), np.uint64) for s in sets], 0.8)
+    assert got.tolist() == jaccard_roots(sets, 0.8)
+
+
+def test_shared_passage_is_no_copy(spark, monkeypatch):
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(150))  # a similarity of about 0.6 for each pair of texts
+    rows = [(i, passage + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(50))) for i in range(400)]
+    rows += [(1000 + i, t.replace("p75 ", "edited ")) for i, t in rows[:5]]  # about 0.95 from its original
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i % 1000 for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 60)  # the clump is compared in pairs of blocks
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
