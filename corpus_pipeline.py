@@ -6,7 +6,7 @@ all but the last return the columns of documents, with n_chars counted anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.llm import bpe, decontaminate, queries, secrets, simhash, toxicity
@@ -19,12 +19,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once: texts whose shingles of five words have a similarity of 0.8 or more."""
+    """Of each group of near copies one row: texts whose shingles of five words have a similarity of 0.8 or more.
+
+    It is the row with the smallest id (null after all others), then the smallest hash of the text, then the smallest
+    other columns. Rows of one id or without one are told apart by their texts.
+    """
     ship(spark)
-    found = simhash.similar_documents(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    found = simhash.similar_rows(docs)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_code")).alias("x"))
+    keep = cut(first.select(F.col("x.id").alias("__id"), F.col("x.text_code").alias("__code")))
+    code = F.xxhash64(F.col("text").cast("string"))
+    held = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (code == F.col("__code")), "left_semi")
+    order = Window.partitionBy("doc_id", code).orderBy(*(c for c in docs.columns if c != "doc_id"))
+    return held.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

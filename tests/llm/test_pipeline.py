@@ -76,3 +76,16 @@ def test_sql_gives_the_same(spark):
         named = [d[0] for d in got.description]
         assert sorted(named) == columns
         assert sorted(repr(tuple(r[named.index(c)] for c in columns)) for r in got.fetchall()) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_one_row_of_each_group_of_copies(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [
+        (None, text(1), "en", "s", 1), (None, text(2), "en", "s", 1), (None, text(2), "en", "s", 1),  # null ids with different texts
+        (5, text(3), "en", "s", 1), (5, text(4), "en", "b", 1), (5, text(4), "en", "a", 1),  # one id with different texts
+        (4, text(3) + " more", "en", "s", 1), (None, text(3), "en", "s", 1),  # near copies of one of them
+    ]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema).repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == [(4, text(3) + " more", "en", "s", 1), (5, text(4), "en", "a", 1)]
+    assert sorted(r.text for r in got if r.doc_id is None) == [text(1), text(2)]
