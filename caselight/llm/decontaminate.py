@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds join texts to test items, then Smith-Waterman alignment scores the copies.
 
-One pass finds where n-grams of the items occur in the texts. How many texts hold each is then counted over the whole
-corpus; those in few texts, and each item's rarest, are seeds. Around its seeds a text is aligned with the item word by
-word, so that edited copies score too.
+One pass finds where n-grams of the items occur in the texts; each is a seed. How many texts hold each is then counted
+over the whole corpus. Around its seeds a text is aligned with the item word by word, so that edited copies score too;
+where all seeds are in many texts, only if the stretch has so many of the item's words that it can score enough.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .words import blocks, buffer, spans_hash, windows_hash
 
 #: Words of a seed; an item with fewer words has no seed and matches nothing.
 GRAM = 5
-#: A gram is rare in at most so many texts; each item's RAREST grams that occur are seeds in any case.
-RARE, RAREST = 1000, 16
+#: A gram is rare in at most so many texts; stretches with frequent grams alone are held against a bound before they are aligned.
+RARE = 1000
 #: n-grams that are looked for in one pass, on average; more items make more passes.
 MOST_GRAMS = 2_000_000
 
@@ -131,12 +131,7 @@ def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_c
     counted = met.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().toPandas()
     times = np.zeros(len(distinct), np.int64)
     times[counted["gram"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
-    seed = times <= RARE
-    entry = np.repeat(np.arange(len(distinct)), end - begin)
-    for i in range(len(words)) if (times > RARE).any() else ():
-        mine = entry[item_of == i]
-        mine = mine[times[mine] > 0]
-        seed[mine[np.argsort(times[mine], kind="stable")[:RAREST]]] = True
+    rare = times <= RARE
     names = [i for i, _ in items]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +140,19 @@ def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_c
             for row in range(batch.num_rows):
                 hit = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
                 spot = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                spot, hit = spot[seed[hit]], hit[seed[hit]]
-                if not len(hit):
-                    continue
                 raw, o = buffer(batch.column(1).slice(row, 1))
                 tokens, _ = _tokens(raw, o)
                 count = end[hit] - begin[hit]
                 k = np.repeat(begin[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                at_text, at_item, which = np.repeat(spot, count), place[k], item_of[k]
-                for i in np.unique(which).tolist():
-                    mine = which == i
+                at_text, at_item, which, seldom = np.repeat(spot, count), place[k], item_of[k], np.repeat(rare[hit], count)
+                order = np.argsort(which, kind="stable")
+                edges = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0, True])
+                for mine in (order[u:v] for u, v in zip(edges[:-1], edges[1:], strict=True)):
+                    i = int(which[mine[0]])
                     for a, b in _windows(at_text[mine], at_item[mine], len(words[i]), len(tokens)):
-                        pairs.append((row, i, a, tokens[a:b]))
+                        # No alignment matches more of the item's words than the stretch holds.
+                        if seldom[mine].any() or np.isin(words[i], tokens[a:b]).sum() >= least * len(words[i]) - 1e-9:
+                            pairs.append((row, i, a, tokens[a:b]))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             pairs.sort(key=lambda p: len(words[p[1]]) + len(p[3]))
             a = 0

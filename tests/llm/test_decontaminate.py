@@ -71,3 +71,14 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate.clean(odd, items).columns == odd.columns
     assert decontaminate.matches(none, items).collect() == []
     assert decontaminate.matches(odd, items.limit(0)).collect() == []
+
+
+def test_thousands_of_like_edited_copies(spark):
+    item = [f"i{k}" for k in range(55)]
+    edited = [f"edit{k}" if k in (10, 22, 34, 46) else w for k, w in enumerate(item)]  # scores (2 * 51 - 4) / 110
+    rows = [(i, " ".join([f"a{i}", f"b{i}"] + (edited if i < 3000 else item))) for i in range(4500)]
+    rows += [(9000 + i, " ".join(item[:20]) + f" other {i}") for i in range(50)]  # seeds, but a third of the item
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.matches(docs, items).collect()}
+    assert sorted(got) == list(range(4500))
+    assert {round(got[i], 6) for i in range(3000)} == {round(98 / 110, 6)} and {got[i] for i in range(3000, 4500)} == {1.0}
