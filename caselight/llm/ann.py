@@ -1,8 +1,9 @@
 """Nearest neighbours by cross-polytope hashing: pseudo-random rotations, nearest signed axes, multiprobe tables, exact rerank.
 
 A rotation is three rounds of random signs and a fast Hadamard transform. The bucket of a unit vector in a table is the
-signed axis nearest to its rotation (of `hashes` rotations for large inputs). Every vector is in each table's bucket; a
-query asks the buckets of its nearest axes in each table, where all members are ranked by their exact inner products.
+signed axis nearest to its rotation, however many vectors there are, so that recall doesn't fall with their number. Every
+vector is in each table's bucket; a query asks the buckets of its nearest axes in each table, where all members are ranked
+by their exact inner products. A query that meets fewer than k others there is compared with all vectors.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 #: Tables, and buckets asked in each. For vectors without near neighbours (inner products of 0.35 in 64 dimensions) these reach a recall of 0.95.
 TABLES, PROBES = 8, 12
 #: Vectors that are compared as a block: a bucket with more is dealt into blocks, and each gets the bucket's queries.
@@ -89,10 +92,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), plain.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & _usable(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     size, n = (sizes[0]["size"], sizes[0]["n"]) if sizes else (1, 0)
-    axes = 2 << max(0, (size - 1).bit_length())
-    hashes = 1
-    while axes**hashes * BLOCK < n:
-        hashes += 1
     rows = rows.where(F.size("vector") == size)
 
     def place(wanted: int):
@@ -103,7 +102,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     scale = np.abs(x).max(axis=1, keepdims=True).astype(np.float64)
                     unit = x / scale
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    found = buckets(unit.astype(np.float32), wanted, tables, hashes, seed)
+                    found = buckets(unit.astype(np.float32), wanted, tables, 1, seed)
                     row, table, probe = np.nonzero(found >= 0)
                     raw = pa.array([v.tobytes() for v in x], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(found[row, table, probe] * tables + table), part.column(0).take(pa.array(row)), raw.take(pa.array(row))], ["cell", "id", "raw"])
@@ -147,11 +146,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     lists.append([{"minus": -m, "vec_id": w} for m, w in zip(exact[u:v].tolist(), own[c[u:v]].tolist(), strict=True)])
         return pa.table({"query_id": pa.array(names, pa.int64()), "found": pa.array(lists, pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())])))})
 
-    met = index.select("cell", "block", "id", "raw").groupBy("cell", "block").cogroup(asked.select("cell", "block", "id", "raw").groupBy("cell", "block"))
-    found = met.applyInArrow(rank, "query_id long, found array<struct<minus:double,vec_id:long>>")
-    pairs = found.select("query_id", F.explode("found").alias("hit")).groupBy("query_id", F.col("hit.vec_id").alias("vec_id")).agg(F.min("hit.minus").alias("minus"))
-    placed = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id"))).where(F.col("rank") <= k)
-    return placed.select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score"))
+    def placed(index: DataFrame, asked: DataFrame) -> DataFrame:
+        met = index.select("cell", "block", "id", "raw").groupBy("cell", "block").cogroup(asked.select("cell", "block", "id", "raw").groupBy("cell", "block"))
+        found = met.applyInArrow(rank, "query_id long, found array<struct<minus:double,vec_id:long>>")
+        pairs = found.select("query_id", F.explode("found").alias("hit")).groupBy("query_id", F.col("hit.vec_id").alias("vec_id")).agg(F.min("hit.minus").alias("minus"))
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id"))).where(F.col("rank") <= k)
+
+    near = cut(placed(index, asked))
+    full = near.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k)
+    short = cut(rows.where("asks").select("id", "vector").join(full, "id", "left_anti"))
+    left = short.count()
+    if left:  # each block of these queries meets each block of all vectors
+        wide, deep = max(1, -(-left // BLOCK)), max(1, -(-n // BLOCK))
+
+        def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(batch), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "raw"])
+
+        def dealt(part: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+            part = part.select("id", "vector").mapInArrow(raw, "id long, raw binary").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)))
+            return part.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+        whole = placed(dealt(rows, "cell", deep, "block", wide), dealt(short, "block", wide, "cell", deep))
+        near = near.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(whole)
+    return near.select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score"))
 
 
 def _only_cells(place):

@@ -49,3 +49,23 @@ def test_rotations_keep_lengths():
         assert np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1), atol=1e-4)
     two = ann.buckets(x / np.linalg.norm(x, axis=1, keepdims=True), 6, 2, 2, 1)
     assert two.shape == (5, 2, 6) and two.min() >= 0 and all(len(set(r)) == 6 for t in two for r in t)
+
+
+@pytest.mark.parametrize("block", [40_000, 20])  # 20: more vectors than axes times a block
+def test_recall_does_not_fall_with_size(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    vectors = [(i, v.tolist()) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect()}
+    want = {(q, i) for q in range(0, 3000, 100) for i in exact(vectors, q, 20)[0]}
+    assert len(got) == 600 and len(got & want) / 600 >= 0.9
+
+
+@pytest.mark.parametrize("block", [40_000, 4])
+def test_few_vectors_are_all_found(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    vectors = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(15, 64)).astype(np.float32))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, F.lit(True)).collect()}
+    assert got == {(q, n): i for q in range(15) for n, i in enumerate(exact(vectors, q, 20)[0], 1)}
