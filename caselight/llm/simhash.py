@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .chunks import tidy, tidy_batches
 from .words import mix
 
 SEED = 42
@@ -27,6 +28,8 @@ BLOCK = 40_000
 MANY = 64
 #: Keys with more than BLOCK are told from one fingerprint in so many.
 SHARE = 16
+#: Links that a task holds before it joins and sends them.
+HELD = 500_000
 
 
 def position_sets() -> list[tuple[int, ...]]:
@@ -151,7 +154,7 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: int, least_bytes: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints that meet under a key of their postings (fp, key), one for each fingerprint and key at most.
+    """(a, b): links between distinct fingerprints that meet under a key of their postings (fp, key), one for each fingerprint and task at most.
 
     A key with more than BLOCK fingerprints is compared in pairs of blocks, in different tasks. Which keys these are is
     told from the fingerprints of one hash in SHARE; the links don't depend on it.
@@ -181,13 +184,29 @@ def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: i
     def column_of(prints: np.ndarray) -> pa.Array:
         return pa.array([x.tobytes() for x in prints], pa.binary()) if wide else pa.array(prints[:, 0].view(np.int64), pa.int64())
 
-    def emit(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def links_of(cells: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = _roots(cells, prints, most, least_bytes)
         moved = np.flatnonzero((root != np.arange(len(root))) & (prints[root] != prints).any(axis=1))
-        return pa.RecordBatch.from_arrays([column_of(prints[root[moved]]), column_of(prints[moved])], ["a", "b"])
+        return prints[root[moved]], prints[moved]
+
+    def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # The cells of a task together: one link for each fingerprint, to the smallest that it reaches in any of them.
+        a, b = (np.ascontiguousarray(np.concatenate(x)) for x in zip(*found, strict=True))
+        every, at = np.unique(np.concatenate((a, b)).view(f"V{8 * a.shape[1]}").ravel(), return_inverse=True)
+        root = _merge(np.arange(len(every)), at[: len(a)], at[len(a) :])
+        every = every.view(np.uint64).reshape(-1, a.shape[1])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([column_of(every[root[moved]]), column_of(every[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settled(part: tuple[np.ndarray, np.ndarray]) -> bool:
+            if len(part[0]):
+                found.append(part)
+            return sum(len(x) for x, _ in found) > HELD
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -195,14 +214,18 @@ def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: i
             last = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on in the next batch
             if last or (held and held[-1][0][-1] != cells[0]):
                 held.append((cells[:last], prints[:last]))
-                yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                if settled(links_of(*(np.concatenate(x) for x in zip(*held, strict=True)))):
+                    yield joined(found)
+                    found.clear()
                 held = []
             held.append((cells[last:], prints[last:]))
         if held:
-            yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            settled(links_of(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        if found:
+            yield joined(found)
 
     kind = "binary" if wide else "long"
-    return dealt.select("fp", "cell").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.select("fp", "cell").mapInArrow(tidy_batches(run), f"a {kind}, b {kind}").distinct()
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -279,7 +302,7 @@ def _shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_code", "code", "n", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_code"), text.alias("text")).mapInArrow(run, "id long, text_code long, code binary, n long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_code"), text.alias("text")).mapInArrow(tidy_batches(run), "id long, text_code long, code binary, n long, fp binary")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -357,7 +380,7 @@ def _checked(docs: DataFrame, sets: DataFrame, labels: DataFrame, text_col: str,
         moved = np.flatnonzero(root != np.arange(len(root))).tolist()
         return pa.table({"a": pa.array([codes[root[i]] for i in moved], pa.binary()), "b": pa.array([codes[i] for i in moved], pa.binary())})
 
-    return held.groupBy("label", "low", "high").applyInArrow(compare, "a binary, b binary").distinct()
+    return held.groupBy("label", "low", "high").applyInArrow(tidy(compare), "a binary, b binary").distinct()
 
 
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
