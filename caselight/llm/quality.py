@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import tidy_batches
 from .toxicity import sample
 from .words import blocks, buffer
 
@@ -89,12 +90,17 @@ def summary(top: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 20, batch: int = 64, seed: int = 7) -> QualityModel:
-    """Fits filters and layers together by Adam; both classes weigh alike."""
+    """Fits filters and layers together by Adam; both classes weigh alike.
+
+    If only one label occurs, each text scores its share, 0.001 or 0.999; without any label, 0.5.
+    """
     rng = np.random.default_rng(seed)
     n_in = 2 * FILTERS + 1
     model = QualityModel(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, n_in**-0.5, (n_in, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
     y = np.asarray(labels, float)
-    if not len(y):
+    if not 0 < y.sum() < len(y):  # one class alone, or none: there is nothing to tell apart
+        share = min(0.999, max(0.001, float(y.mean()) if len(y) else 0.5))
+        model.w2, model.b2 = np.zeros(HIDDEN), float(np.log(share / (1 - share)))
         return model
     weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
     data, at = buffer(pa.array(texts, pa.large_string()))
@@ -146,7 +152,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 20, batch: int = 64,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 1200, most_bytes: int = 8_000) -> QualityModel:
-    """Fits on a bounded sample of labelled whole texts whose crc32 of the id modulo 5 is not 0."""
+    """Fits on a bounded sample of labelled whole texts whose crc32 of the id modulo 5 is not 0.
+
+    Without such rows nothing is known of quality: the model scores each text 0.5.
+    """
     return fit(*sample(docs, labels, "quality", 5, 0, id_col, text_col, most_rows, most_bytes))
 
 
@@ -157,6 +166,6 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(*buffer(batch.column(1))), pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy_batches(run), "id long, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return rows.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import tidy_batches
 from .words import blocks, buffer, mix, spans_hash
 
 #: Words that name groups of people, in lower case, by language; a swap stays within a language and a line.
@@ -128,8 +129,17 @@ def _swaps(texts: list[str]) -> list[tuple[int, str]]:
     return out
 
 
+def constant(labels: np.ndarray, unknown: float) -> ToxicityModel:
+    """Scores each text with the share of label 1, kept from 0.001 to 0.999, or `unknown` without labels."""
+    share = min(0.999, max(0.001, float(np.mean(labels)) if len(labels) else unknown))
+    return ToxicityModel(np.array([0], np.uint64), np.zeros(1), float(np.log(share / (1 - share))))
+
+
 def fit(texts: list[str], labels: np.ndarray, most_features: int = 600, penalty: float = 2.0, lasso: float = 2e-4, rounds: int = 400) -> ToxicityModel:
-    """Fits on whole labelled texts. penalty weighs the squared differences of scores between sentences and their copies."""
+    """Fits on whole labelled texts. penalty weighs the squared differences of scores between sentences and their copies.
+
+    If only one label occurs, or no word sets the labels apart, each text scores the share of label 1; without any label, 0.001.
+    """
     data, at = buffer(pa.array(texts, pa.large_string()))
     # Features of fewer than three texts are left out first; a table of counts by the code's upper bits says which may have more.
     seen = np.zeros(1 << 22, np.int32)
@@ -141,6 +151,8 @@ def fit(texts: list[str], labels: np.ndarray, most_features: int = 600, penalty:
     for _, _, raw, o in blocks(data, at):
         rows += [(c[k], v[k]) for c, v in _counted(raw, o) for k in [often[(c >> np.uint64(42)).astype(np.int64)]]]
     y = np.asarray(labels, float)
+    if not 0 < y.sum() < len(y):  # one class alone, or none: there is nothing to tell apart
+        return constant(y, 0.0)
     every = np.concatenate([c for c, _ in rows]) if rows else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
     codes, index = np.unique(every, return_inverse=True)
@@ -156,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, most_features: int = 600, penalty:
     keep = np.sort(np.argsort(-gain, kind="stable")[:most_features])
     keep = keep[gain[keep] > 3]  # three standard errors
     if not len(keep):
-        return ToxicityModel(np.array([0], np.uint64), np.zeros(1), float(np.log(n1 / n0)))
+        return constant(y, 0.0)
     column = np.full(len(codes), -1)
     column[keep] = np.arange(len(keep))
     col = column[index]
@@ -217,7 +229,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 5000, most_bytes: int = 16_000) -> ToxicityModel:
-    """Fits on a bounded sample of labelled rows (see `sample`) whose crc32 of the id modulo 4 is not 2."""
+    """Fits on a bounded sample of labelled rows (see `sample`) whose crc32 of the id modulo 4 is not 2.
+
+    Without such rows nothing is known to be toxic: the model scores each text 0.001, and `reject` keeps all.
+    """
     texts, marks = sample(docs, labels, "toxic", 4, 2, id_col, text_col, most_rows, most_bytes)
     return fit(texts, marks)
 
@@ -229,7 +244,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(*buffer(batch.column(1))), pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy_batches(run), "id long, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return rows.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
@@ -241,5 +256,5 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(*buffer(batch.column(batch.schema.get_field_index(text_col)))) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy_batches(run), docs.schema)
 
