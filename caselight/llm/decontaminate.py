@@ -1,29 +1,32 @@
 """Benchmark decontamination: rare n-gram seeds join texts to test items, then Smith-Waterman alignment scores the copies.
 
-One pass finds where n-grams of the items occur in the texts; each is a seed. How many texts hold each is then counted
-over the whole corpus. Around its seeds a text is aligned with the item word by word, so that edited copies score too;
-where all seeds are in many texts, only if the stretch has so many of the item's words that it can score enough.
+An alignment that scores enough has few edits, so for each n it holds a known least number of the item's n-grams, one word
+after another. All but that number of an item's n-grams, and one more, are its seeds: every such alignment holds one of
+them. Which n-grams are left out is free, so the most frequent ones are, counted over all texts, and of the possible n an
+item takes the one with the rarest seeds. A stretch of text around a seed that has enough of the item's words is aligned
+with the item word by word. So nothing that scores enough is missed, however often an item or a gram occurs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from .chunks import tidy_batches
 from .toxicity import _lower
 from .words import blocks, buffer, spans_hash, windows_hash
 
-#: Words of a seed; an item with fewer words has no seed and matches nothing.
-GRAM = 5
-#: A gram is rare in at most so many texts; stretches with frequent grams alone are held against a bound before they are aligned.
-RARE = 1000
-#: n-grams that are looked for in one pass, on average; more items make more passes.
-MOST_GRAMS = 2_000_000
+#: Words of the seeds that an item can have.
+GRAMS = (1, 2, 3, 4, 5)
+#: Words of the shortest item that is looked for by default: a shorter one tells no copy from chance.
+LEAST_WORDS = 5
+#: Words of the items that are looked for in one pass, on average; more items make more passes.
+MOST_WORDS = 1_000_000
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,84 +78,162 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, first, end
 
 
-def _windows(gram_at: np.ndarray, item_at: np.ndarray, item_size: int, text_size: int) -> list[tuple[int, int]]:
-    """Stretches of a text around its seeds in which the item can lie."""
-    slack = item_size // 4 + GRAM
-    diagonal = np.sort(gram_at - item_at)
-    parts = np.split(diagonal, np.flatnonzero(np.diff(diagonal) > slack) + 1)
-    out = []
-    for p in parts:
-        low, high = max(0, int(p[0]) - slack), min(text_size, int(p[-1]) + item_size + slack)
-        step = 4 * (item_size + slack)
-        out += [(s, min(high, s + 2 * step)) for s in range(low, max(low + 1, high - step), step)]
-    return out
+def guaranteed(m: int, least: float, n: int) -> int:
+    """n-grams of an item of m words that every alignment with a share `least` of the full score holds, at least.
 
+    With M matched words and E mismatches and gaps the score is 2 M - E, so E is at most 2 M - 2 m least. The matches
+    form E + 1 runs at most, and a run loses n - 1 of its words as starts of n-grams.
+    """
+    counts = [k - (int(np.floor(2 * k - 2 * m * least + 1e-9)) + 1) * (n - 1) if n > 1 else k for k in range(int(np.ceil(m * least - 1e-9)), m + 1)]
+    return max(0, min(counts))
 
-def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_col: str) -> DataFrame:
-    data, at = buffer(pa.array([t for _, t in items], pa.large_string()))
-    codes, word_at = _tokens(data, at)
-    words = [codes[a:b] for a, b in zip(word_at[:-1], word_at[1:], strict=True)]
-    item_of = np.concatenate([np.full(max(0, len(w) - GRAM + 1), i) for i, w in enumerate(words)]) if words else np.zeros(0, int)
-    place = np.concatenate([np.arange(max(0, len(w) - GRAM + 1)) for w in words]) if words else np.zeros(0, int)
-    grams = np.concatenate([windows_hash(w, GRAM) for w in words]) if words else np.zeros(0, np.uint64)
-    order = np.argsort(grams, kind="stable")
-    grams, item_of, place = grams[order], item_of[order].astype(np.int64), place[order].astype(np.int64)
-    distinct, begin = np.unique(grams, return_index=True)
-    end = np.append(begin[1:], len(grams))
-    bits = np.zeros(1 << 22, bool)
-    bits[(distinct >> np.uint64(42)).astype(np.int64)] = True
-
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def most_edits(m: int, least: float) -> int:
+    """Mismatches and gaps of an alignment that scores enough, at most."""
+    return int(np.floor(2 * m * (1 - least) + 1e-9))
+
+
+@dataclass
+class Lookup:
+    """Distinct n-grams of the items for one n, sorted, and the (item, place) of each occurrence, in the same order."""
+
+    n: int
+    grams: np.ndarray
+    begin: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    bits: np.ndarray = field(repr=False)
+
+    @staticmethod
+    def of(n: int, grams: np.ndarray, item: np.ndarray, place: np.ndarray) -> Lookup:
+        order = np.lexsort((place, item, grams))
+        grams, item, place = grams[order], item[order], place[order]
+        distinct, begin = np.unique(grams, return_index=True)
+        bits = np.zeros(1 << 22, bool)
+        bits[(distinct >> np.uint64(42)).astype(np.int64)] = True
+        return Lookup(n, distinct, np.append(begin, len(grams)), item, place, bits)
+
+    def hits(self, tokens: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first word within all tokens, and number of the gram of each occurrence within one document."""
+        found = windows_hash(tokens, self.n)
+        may = np.flatnonzero(self.bits[(found >> np.uint64(42)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.grams, found[may]), len(self.grams) - 1)
+        ok = self.grams[spot] == found[may] if len(self.grams) else np.zeros(0, bool)
+        may, spot = may[ok], spot[ok]
+        doc = np.searchsorted(word_at, may, "right") - 1
+        ok = may + self.n <= word_at[doc + 1]
+        return doc[ok], may[ok], spot[ok]
+
+
+def _occurrences(words: list[np.ndarray], n: int, which: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, item and place of the n-grams of some items."""
+    grams = [windows_hash(words[i], n) for i in which]
+    empty = np.zeros(0, np.int64)
+    item = np.repeat(np.array(which, np.int64), [len(g) for g in grams]) if which else empty
+    place = np.concatenate([np.arange(len(g)) for g in grams]) if which else empty
+    return (np.concatenate(grams) if which else np.zeros(0, np.uint64)), item, place
+
+
+def _counts(source: DataFrame, lookups: list[Lookup]) -> list[np.ndarray]:
+    """How often each gram occurs in all texts: partial sums in each task, one number for each gram at the driver."""
+    first = np.cumsum([0, *(len(x.grams) for x in lookups)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(first[-1], np.int64)
         for batch in batches:
-            raw, offsets = buffer(batch.column(1))
-            kept, hits, places = [], [], []
-            for first, _, part, o in blocks(raw, offsets) if len(distinct) else ():
+            for _, _, part, o in blocks(*buffer(batch.column(1))):
                 tokens, word_at = _tokens(part, o)
-                found = windows_hash(tokens, GRAM)
-                may = np.flatnonzero(bits[(found >> np.uint64(42)).astype(np.int64)])
-                spot = np.minimum(np.searchsorted(distinct, found[may]), len(distinct) - 1)
-                ok = distinct[spot] == found[may]
-                may, spot = may[ok], spot[ok]
-                doc = np.searchsorted(word_at, may, "right") - 1
-                ok = may + GRAM <= word_at[doc + 1]
-                may, spot, doc = may[ok], spot[ok], doc[ok]
-                edges = np.append(np.searchsorted(doc, np.unique(doc)), len(doc))
-                for u, v in zip(edges[:-1], edges[1:], strict=True):
-                    kept.append(first + int(doc[u]))
-                    hits.append(spot[u:v].astype(np.int32))
-                    places.append((may[u:v] - word_at[doc[u]]).astype(np.int32))
-            at_rows = pa.array(kept, pa.int64())
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (hits, places)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), *lists], ["id", "text", "grams", "places"])
+                for k, lookup in enumerate(lookups):
+                    _, _, spot = lookup.hits(tokens, word_at)
+                    sums[first[k] : first[k + 1]] += np.bincount(spot, minlength=len(lookup.grams))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["gram", "times"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    met = cut(source.mapInArrow(seek, "id long, text string, grams array<int>, places array<int>"))
-    # As many counts as the items have n-grams, at most.
-    counted = met.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().toPandas()
-    times = np.zeros(len(distinct), np.int64)
-    times[counted["gram"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
-    rare = times <= RARE
+    sums = np.zeros(first[-1], np.int64)
+    rows = source.mapInArrow(tidy_batches(count), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).toPandas()
+    sums[rows["gram"].to_numpy(np.int64)] = rows["times"].to_numpy(np.int64)
+    return [sums[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def seeds(words: list[np.ndarray], least: float, counts: dict[int, tuple[Lookup, np.ndarray]]) -> list[Lookup]:
+    """Of each item the seeds of the n for which they occur least often, by n."""
+    best: dict[int, tuple[int, int, np.ndarray]] = {}
+    for n, (lookup, times) in counts.items():
+        at = np.repeat(np.arange(len(lookup.grams)), np.diff(lookup.begin))  # gram of each occurrence
+        order = np.lexsort((lookup.place, lookup.item))
+        edges = np.flatnonzero(np.r_[True, np.diff(lookup.item[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+        for mine in (order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)):
+            i = int(lookup.item[mine[0]])
+            often = times[at[mine]]
+            picked = mine[np.argsort(often, kind="stable")[: len(mine) - guaranteed(len(words[i]), least, n) + 1]]
+            total = int(times[at[picked]].sum())
+            if i not in best or total < best[i][0]:
+                best[i] = (total, n, picked)
+    made = []
+    for n, (lookup, _) in counts.items():
+        mine = [p for _, k, p in best.values() if k == n]
+        if mine:
+            mine = np.concatenate(mine)
+            grams = np.repeat(lookup.grams, np.diff(lookup.begin))
+            made.append(Lookup.of(n, grams[mine], lookup.item[mine], lookup.place[mine]))
+    return made
+
+
+def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    data, at = buffer(pa.array([t for _, t in items], pa.large_string()))
+    codes, word_at = _tokens(data, at)
+    words = [codes[a:b] for a, b in zip(word_at[:-1], word_at[1:], strict=True)]
     names = [i for i, _ in items]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = []
+    for n in GRAMS:
+        which = [i for i, w in enumerate(words) if len(w) >= max(n, least_words) and guaranteed(len(w), least, n)]
+        if which:
+            known.append(Lookup.of(n, *_occurrences(words, n, which)))
+    chosen = seeds(words, least, {x.n: (x, t) for x, t in zip(known, _counts(source, known), strict=True)}) if known else []
+    # The items' words by number, to tell quickly how many of them a stretch has.
+    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+    numbered = [np.searchsorted(vocabulary, w) for w in words]
+    size = np.array([len(w) for w in words], np.int64)
+    slack = np.array([most_edits(len(w), least) for w in words], np.int64)
+    enough = np.ceil(size * least - 1e-9).astype(np.int64)
+
+    def stretches(part: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(document, item, first word, words) of each stretch of the texts that an item may lie in."""
+        tokens, word_at = _tokens(part, o)
+        docs, which, low = [], [], []
+        for lookup in chosen:
+            doc, first, spot = lookup.hits(tokens, word_at)
+            count = np.diff(lookup.begin)[spot]
+            k = np.repeat(lookup.begin[spot] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            docs.append(np.repeat(doc, count))
+            which.append(lookup.item[k])
+            low.append(np.repeat(first - word_at[doc], count) - lookup.place[k])  # where the item's first word would be
+        if not docs:
+            return
+        docs, which, low = (np.concatenate(x) for x in (docs, which, low))
+        # Seeds whose places differ by less than the item's size share a stretch.
+        slot = low // size[which]
+        order = np.lexsort((slot, which, docs))
+        docs, which, slot = docs[order], which[order], slot[order]
+        new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (which[1:] != which[:-1]) | (slot[1:] != slot[:-1])]) if len(docs) else np.zeros(0, np.int64)
+        docs, which, slot = docs[new], which[new], slot[new]
+        place = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
+        place[vocabulary[place] != tokens] = len(vocabulary)
+        marks = np.zeros(len(vocabulary) + 1, bool)
+        begin = word_at[docs] + np.maximum(0, slot * size[which] - slack[which])
+        end = np.minimum(word_at[docs + 1], word_at[docs] + (slot + 2) * size[which] + slack[which])
+        for d, i, a, b in zip(docs.tolist(), which.tolist(), begin.tolist(), end.tolist(), strict=True):
+            here = place[a:b]
+            marks[here] = True
+            many = np.count_nonzero(marks[numbered[i]]) >= enough[i]
+            marks[here] = False
+            if many:
+                yield d, i, a - int(word_at[d]), tokens[a:b]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: list[tuple[int, int, int, np.ndarray]] = []  # row, item, first word of the stretch, its words
-            for row in range(batch.num_rows):
-                hit = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
-                spot = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                raw, o = buffer(batch.column(1).slice(row, 1))
-                tokens, _ = _tokens(raw, o)
-                count = end[hit] - begin[hit]
-                k = np.repeat(begin[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                at_text, at_item, which, seldom = np.repeat(spot, count), place[k], item_of[k], np.repeat(rare[hit], count)
-                order = np.argsort(which, kind="stable")
-                edges = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0, True])
-                for mine in (order[u:v] for u, v in zip(edges[:-1], edges[1:], strict=True)):
-                    i = int(which[mine[0]])
-                    for a, b in _windows(at_text[mine], at_item[mine], len(words[i]), len(tokens)):
-                        # No alignment matches more of the item's words than the stretch holds.
-                        if seldom[mine].any() or np.isin(words[i], tokens[a:b]).sum() >= least * len(words[i]) - 1e-9:
-                            pairs.append((row, i, a, tokens[a:b]))
+            pairs = [(first + d, i, a, w) for first, _, part, o in blocks(*buffer(batch.column(1))) for d, i, a, w in stretches(part, o)] if chosen else []
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             pairs.sort(key=lambda p: len(words[p[1]]) + len(p[3]))
             a = 0
@@ -165,28 +246,32 @@ def _pass(docs: DataFrame, items: list[tuple], least: float, id_col: str, text_c
                     found = (s / (2 * len(words[i])), -(start + f), start + e)
                     best[row, i] = max(best.get((row, i), found), found)
                 a = b
-            rows = [(row, names[i], s, -f, e) for (row, i), (s, f, e) in sorted(best.items()) if s >= least]
+            rows = [(row, names[i], s, -f, e) for (row, i), (s, f, e) in sorted(best.items()) if s >= least - 1e-9]
             at_rows = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32())))], ["id", "text", "item_id", "score", "first_word", "end_word"])
 
-    judged = met.mapInArrow(judge, "id long, text string, item_id long, score double, first_word int, end_word int")
+    judged = source.mapInArrow(tidy_batches(judge), "id long, text string, item_id long, score double, first_word int, end_word int")
     return judged.withColumn("text_code", F.xxhash64("text")).drop("text")
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id_col, text_code, item_id, score, first_word, end_word): for each row of docs and each item, its best alignment if that scores `least` or more.
 
     A score is the alignment's share of what the whole item would have (1: a verbatim copy); places are words of the
-    text. text_code is xxhash64 of the text. Items of fewer than five words, null or empty ones match nothing; a null text
-    matches nothing, a null id stays null; repeated rows have a row each.
+    text. text_code is xxhash64 of the text. All alignments that score so much are found. Null and empty items, and those of
+    fewer than least_words words, match nothing; a null text matches nothing, a null id stays null; repeated rows have a row
+    each. Ties of the score go to the first place. The items go to the tasks in passes of a bounded size, and each pass
+    reads the texts twice: a benchmark is small beside a corpus.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
     picked = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     size = picked.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    passes = max(1, -(-int(size) // (4 * MOST_GRAMS)))  # a word takes four bytes or so
+    passes = max(1, -(-int(size) // (4 * MOST_WORDS)))  # a word takes four bytes or so
     found = None
     for p in range(passes):  # each pass holds a bounded part of the items
         part = picked.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).distinct().orderBy("id", "text").collect() if passes > 1 else picked.distinct().orderBy("id", "text").collect()
-        rows = _pass(docs, [(r["id"], r["text"]) for r in part], least, id_col, text_col)
+        rows = _pass(docs, [(r["id"], r["text"]) for r in part], least, id_col, text_col, least_words)
         found = rows if found is None else found.unionByName(rows)
     return found.withColumnRenamed("id", id_col)
 

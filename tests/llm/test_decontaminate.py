@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,9 +60,7 @@ def test_copies(spark):
 def test_hot_items_and_passes(spark, monkeypatch):
     docs, items = leaks(spark)
     want = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "RARE", 0)  # every gram is too frequent: the rarest ones are seeds
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == want
-    monkeypatch.setattr(decontaminate, "MOST_GRAMS", 50)  # several passes
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 50)  # several passes
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == want
 
 
@@ -82,3 +81,64 @@ def test_thousands_of_like_edited_copies(spark):
     got = {r.doc_id: r.score for r in decontaminate.matches(docs, items).collect()}
     assert sorted(got) == list(range(4500))
     assert {round(got[i], 6) for i in range(3000)} == {round(98 / 110, 6)} and {got[i] for i in range(3000, 4500)} == {1.0}
+
+
+def edited(r, item, edits):
+    out = list(item)
+    for _ in range(edits):
+        at = r.randrange(len(out) + 1)
+        kind = r.choice("ids")
+        if kind == "i":
+            out.insert(at, f"new{r.randrange(99)}")
+        elif at < len(out) and kind == "d" and len(out) > 1:
+            del out[at]
+        elif at < len(out):
+            out[at] = f"new{r.randrange(99)}"
+    return out
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8, 1.0])
+def test_matches_against_all_pairs(spark, least):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["the"] * 40  # a frequent word makes frequent grams
+    items = [[r.choice(words) for _ in range(r.choice((5, 6, 8, 11, 15, 20, 33, 60)))] for _ in range(40)]
+    docs = []
+    for i in range(300):
+        copies = [w for k in r.sample(range(40), 2) for w in edited(r, items[k], r.randrange(len(items[k]) // 3 + 2))]
+        docs.append([r.choice(words) for _ in range(r.randrange(30))] + copies + [r.choice(words) for _ in range(r.randrange(30))])
+    want = {}
+    for i, d in enumerate(docs):
+        for k in range(40):
+            score = plain(items[k], d) / (2 * len(items[k])) if len(set(items[k]) & set(d)) else 0
+            if score >= least - 1e-9:
+                want[i, k] = round(score, 9)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(m.doc_id, m.item_id): round(m.score, 9) for m in decontaminate.matches(df, tests, least).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_heavy_edits_of_short_and_gapped_items(spark):
+    gapped = [f"g{i}" for i in range(20)]
+    short = [f"s{i}" for i in range(8)]
+    with_gaps = [w for i, x in enumerate(gapped) for w in ([x, "gap"] if i % 4 == 3 and i < 19 else [x])]  # (2 * 20 - 4) / 40
+    replaced = [*short[:4], "other", *short[5:]]  # (2 * 7 - 1) / 16
+    docs = spark.createDataFrame([(1, " ".join(["a", *with_gaps, "b"])), (2, " ".join(["a", *replaced, "b"]))], "doc_id long, text string")
+    items = spark.createDataFrame([(10, " ".join(gapped)), (20, " ".join(short))], "item_id long, text string")
+    assert {(m.doc_id, m.item_id, round(m.score, 4)) for m in decontaminate.matches(docs, items).collect()} == {(1, 10, 0.9), (2, 20, 0.8125)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.sampled_from([0.5, 0.7, 0.8, 0.9, 1.0]), st.integers(1, 4), st.randoms())
+def test_guaranteed_grams(m, least, n, r):
+    item = list(range(m))
+    text = [x for i in item for x in r.choice(([i], [i], [i], [-1, i], [-2], []))]
+    if text and plain(item, text) >= 2 * m * least - 1e-9:
+        shared = {tuple(item[i : i + n]) for i in range(m - n + 1)} & {tuple(text[i : i + n]) for i in range(len(text) - n + 1)}
+        assert len(shared) >= decontaminate.guaranteed(m, least, n)
+
+
+def test_short_items_on_demand(spark):
+    docs, items = spark.createDataFrame([(1, "a two word b")], "doc_id long, text string"), spark.createDataFrame([(5, "two word")], "item_id long, text string")
+    assert decontaminate.matches(docs, items).collect() == []
+    assert [(m.doc_id, m.score) for m in decontaminate.matches(docs, items, least_words=1).collect()] == [(1, 1.0)]
