@@ -3,6 +3,9 @@
 The first pass decides blocks by themselves: by the elements that hold them, by length, by the share of characters in
 links and by the share of stop words. The second lets short and near-decided blocks take the label of their nearest
 decided neighbours. Inside an article element its edges count as good neighbours, outside the page's edges as bad ones.
+Names in class and id are evidence only: one on an element that holds the article or nearly all text says nothing, and
+within an article layout names need the consent of length and stop words. Pages in a language without a stop list are
+decided by length and links.
 """
 
 from __future__ import annotations
@@ -10,11 +13,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import tidy_batches
+
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     (
@@ -32,21 +38,27 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
-#: Elements that hold no article text, elements that hold the article, and names in class, id or role that mark the former.
+#: Elements that hold no article text, elements that hold the article, and parts of names in class or id that mark the former: ones that do anywhere, and ones that page layouts use too; parts before or beside which a mark says nothing; and roles.
 OUTSIDE = frozenset("nav footer aside form button select option textarea iframe object svg math canvas dialog menu template noscript head title".split())
 INSIDE = frozenset(("article", "main"))
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 HELD = (BLOCKS | OUTSIDE) - frozenset("p li dd dt td th tr tbody thead tfoot h1 h2 h3 h4 h5 h6 hr option body html".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|masthead|site-?header|page-?header|header|topbar|toolbar|"
-    r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|tags|pagination|pager|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login "
+    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations".split()
 )
+WEAK = frozenset("header masthead sidebar side widget widgets footer notice alert banner overlay tags disclaimer copyright topbar toolbar".split())
+NEGATED = frozenset("has have with without no not non is hide show enable enabled".split())
+OF_ARTICLE = frozenset("article entry post story content main body".split())
+ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
 
 #: Lengths in characters, shares of link characters and of stop words that decide a block.
 SHORT, LONG = 70, 200
 MOST_LINKS, FEW_STOPS, MANY_STOPS = 0.2, 0.2, 0.28
+#: A page with a smaller share of stop words is in a language without a list: length and links alone decide.
+KNOWN = 0.15
+#: A marked element with so much of the page's or its article's longer text is a layout's wrapper: strong and weak marks.
+WRAPS = {"strong": 0.9, "weak": 0.5}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -57,38 +69,69 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(\"[^\"]*\"|
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _is_outside(name: str, attributes: str, in_article: bool) -> bool:
+class Block(NamedTuple):
+    """A run of text: share of its characters in links; whether an element outside the article holds it; the number of its article element (0: none); whether a weak mark within the article puts it in doubt."""
+
+    text: str
+    links: float
+    outside: bool
+    article: int
+    doubtful: bool = False
+
+
+def mark(value: str) -> str | None:
+    """strong, weak or None: what the names of a class or id say of an element."""
+    found = None
+    for name in value.split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+        if not parts or parts[0] in NEGATED:
+            continue
+        if STRONG.intersection(parts):
+            return "strong"
+        weak = WEAK.intersection(parts)
+        if weak and not OF_ARTICLE.intersection(parts) and not (weak == {"side"} and len(parts) > 2):
+            found = "weak"
+    return found
+
+
+def _look(name: str, attributes: str, in_article: bool) -> tuple[bool, str | None]:
+    """Whether an element is outside the article by itself, and the mark of its names."""
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return True, None
+    found = None
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1] is None:
-            return True
+            return True, None
         key, value = m[1].lower(), m[2].strip("\"'")
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, None
         elif key == "aria-hidden":
             if value.lower() == "true":
-                return True
-        elif MARKS.search(value):
-            return True
-    return False
+                return True, None
+        elif key == "role":
+            if value.strip().lower() in ROLES:
+                return True, None
+        else:
+            found = {mark(value), found} & {"strong"} and "strong" or mark(value) or found
+    return False, found
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """The page's blocks in order: text, share of its characters in links, whether an element outside the article holds it, and the number of the article element that holds it (0: none)."""
-    out: list[tuple[str, float, bool, int]] = []
-    held: list[tuple[str, bool, int]] = []  # open elements that matter: name, outside, article
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    out: list[tuple[str, float, bool, int, tuple[int, ...]]] = []
+    held: list[tuple[str, bool, int, tuple[int, ...]]] = []  # open elements that matter: name, outside, article, marked elements around
+    marked: list[tuple[str, int, bool]] = []  # kind of each marked element, its article, whether it holds an article element
     text: list[str] = []
     linked, links, articles = 0, 0, 0
-    outside, article = False, 0
+    outside, article, marks = False, 0, ()
 
     def close() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, min(1.0, linked / len(whole)), outside, article))
+                out.append((whole, min(1.0, linked / len(whole)), outside, article, marks))
             text.clear()
         linked = 0
 
@@ -119,36 +162,63 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                             del held[k:]
                             break
                 elif not m["attributes"].endswith("/"):
-                    here = outside or _is_outside(name, m["attributes"], article > 0)
+                    alone, kind = _look(name, m["attributes"], article > 0)
+                    here, around, number = outside or alone, marks, article
                     if name in INSIDE and not here and not article:
                         articles += 1
-                        held.append((name, here, articles))
-                    else:
-                        held.append((name, here, article))
-                outside, article = (held[-1][1], held[-1][2]) if held else (False, 0)
+                        number = articles
+                        for k in marks:  # what holds an article element isn't beside it
+                            marked[k] = (*marked[k][:2], True)
+                    elif kind and not here:
+                        marked.append((kind, article, False))
+                        around = (*marks, len(marked) - 1)
+                    held.append((name, here, number, around))
+                outside, article, marks = held[-1][1:] if held else (False, 0, ())
     if at < len(page):
         text.append(page[at:])
     close()
-    return out
+    # How much of the longer text of the page, or of the article around it, a marked element holds.
+    whole: dict[int, int] = {}
+    mine = [0] * len(marked)
+    for body, share, out_, number, around in out:
+        if not out_ and share <= MOST_LINKS and len(body) >= SHORT:
+            for scope in {0, number}:
+                whole[scope] = whole.get(scope, 0) + len(body)
+            for k in around:
+                mine[k] += len(body)
+    counts = [not holds and mine[k] <= WRAPS[kind] * whole.get(scope, 0) for k, (kind, scope, holds) in enumerate(marked)]
+    made = []
+    for body, share, out_, number, around in out:
+        kinds = {(marked[k][0], marked[k][1] > 0) for k in around if counts[k]}
+        made.append(Block(body, share, out_ or bool(kinds - {("weak", True)}), number, ("weak", True) in kinds))
+    return made
 
 
-def labels(found: list[tuple[str, float, bool, int]]) -> list[bool]:
+def labels(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     good, bad, short, near = "good", "bad", "short", "near"
+    found = [Block(*b) for b in found]
+    stops, words = [], []
+    for b in found:
+        w = _WORD.findall(b.text.lower())
+        words.append(len(w))
+        stops.append(sum(x in STOP_WORDS for x in w))
+    asked = [i for i, b in enumerate(found) if not b.outside and len(b.text) >= SHORT and b.links <= MOST_LINKS]
+    known = sum(stops[i] for i in asked) >= KNOWN * max(1, sum(words[i] for i in asked))
     first = []
-    for text, links, outside, article in found:
-        if outside:
+    for b, s, w in zip(found, stops, words, strict=True):
+        share = s / max(1, w) if known else MANY_STOPS
+        if b.outside:
             first.append(bad)
-            continue
-        words = _WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if links > MOST_LINKS:
-            first.append(short if article and links < 0.5 else bad)
-        elif len(text) < SHORT:
+        elif b.links > MOST_LINKS:
+            first.append(short if b.article and b.links < 0.5 and not b.doubtful else bad)
+        elif b.doubtful and (len(b.text) <= LONG or share < MANY_STOPS):
+            first.append(bad)
+        elif len(b.text) < SHORT:
             first.append(short)
-        elif stops >= MANY_STOPS:
-            first.append(good if len(text) > LONG or article else near)
-        elif stops >= FEW_STOPS or article:
+        elif share >= MANY_STOPS:
+            first.append(good if len(b.text) > LONG or b.article else near)
+        elif share >= FEW_STOPS or b.article:
             first.append(near)
         else:
             first.append(bad)
@@ -158,8 +228,8 @@ def labels(found: list[tuple[str, float, bool, int]]) -> list[bool]:
     for ahead, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last, where = bad, 0
         for i in order:
-            if found[i][3] != where:
-                where = found[i][3]
+            if found[i].article != where:
+                where = found[i].article
                 last = good if where else bad
             ahead[i] = last
             if first[i] in (good, bad):
@@ -168,9 +238,9 @@ def labels(found: list[tuple[str, float, bool, int]]) -> list[bool]:
     for i in range(n):
         label = first[i]
         if label == short:
-            label = before[i] if before[i] == after[i] else (good if found[i][3] else bad)
+            label = before[i] if before[i] == after[i] else (good if found[i].article else bad)
         elif label == near:
-            label = bad if before[i] == after[i] == bad and not found[i][3] else good
+            label = bad if before[i] == after[i] == bad and not found[i].article else good
         result.append(label == good)
     return result
 
@@ -178,7 +248,7 @@ def labels(found: list[tuple[str, float, bool, int]]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The main text of one page: its good blocks in page order, joined by two line feeds; empty for a null or a page without any."""
     found = blocks(page or "")
-    return "\n\n".join(b[0] for b, keep in zip(found, labels(found), strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
@@ -197,4 +267,4 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*others, out_col])
 
     schema = pages.select(*others, F.lit("").alias(out_col)).schema
-    return pages.select(*others, F.col(html_col).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*others, F.col(html_col).cast("string").alias("__html")).mapInArrow(tidy_batches(run), schema)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from caselight.llm.html_text import extract, labels, main_text
 
 PROSE = "The house by the river is old and it was built for the people of the town. " * 4
+FINNISH = "Vanha talo seisoo joen rannalla ja kaupungin asukkaat rakensivat sen kauan sitten. " * 4
 
 
 @pytest.mark.parametrize(
@@ -19,6 +20,18 @@ PROSE = "The house by the river is old and it was built for the people of the to
         (f"<article><p>{PROSE}</p><aside>{PROSE}</aside><form><p>{PROSE}</p></form><div style='display:none'>{PROSE}</div></article>", PROSE.strip()),
         ("<article><p>w### x%%% y&amp;&amp;&amp;</p></article>", "w### x%%% y&&&"),
         (f"<article><p><b>{PROSE}<br><p>open", f"{PROSE.strip()}\n\nopen"),
+        # Names that mark no outside element.
+        (f"<article><header class='entry-header'><h1>Title</h1></header><p>{PROSE}</p></article>", f"Title\n\n{PROSE.strip()}"),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><div class='side-by-side'><p>{PROSE}</p></div></article>", f"Title\n\n{PROSE.strip()}"),
+        (f"<body class='comments-open nav-fixed'><div class='layout has-sidebar'><article><p>{PROSE}</p></article><div class='sidebar'><p>{PROSE}</p></div></div>", PROSE.strip()),
+        (f"<div id='page-header-wrap'><main><p>{PROSE}</p></main><div class='site-footer'>{PROSE}</div></div>", PROSE.strip()),
+        (f"<div class='content with-sidebar'><p>{PROSE}</p><p>End.</p><p>{PROSE}</p></div><div class='sidebar'>{PROSE}</div>", f"{PROSE.strip()}\n\nEnd.\n\n{PROSE.strip()}"),
+        (f"<div id='page-header-wrap'><p>{PROSE}</p><p>{PROSE}</p></div><ul><li><a href=x>Home</a></ul>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        # Names that do.
+        (f"<article><p>{PROSE}</p><div class='ad-box'>{PROSE}</div><div class='relatedPosts'>{PROSE}</div><div class='article widget'><p>Newest</p></div><p>{PROSE}</p></article>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<div role=banner>{PROSE}</div><p>{PROSE}</p><p>{PROSE}</p><div class='notice'>{PROSE}</div><section id='comment-list'><p>{PROSE}</p></section>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        # A language without a list of stop words.
+        (f"<ul><li><a href=1>Etusivu</a><li><a href=2>Haku</a></ul><p>{FINNISH}</p><p>Loppu.</p><p>{FINNISH}</p><div><a href=3>Lue</a> <a href=4>lisää</a></div>", f"{FINNISH.strip()}\n\nLoppu.\n\n{FINNISH.strip()}"),
     ],
 )
 def test_pages(page, text):
