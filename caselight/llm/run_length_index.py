@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .repeats import covered, remove_repeats
+from .repeats import HOT, covered, remove_repeats
 from .suffix_arrays import joined, suffix_array
 
 #: Rounds of index and stream; stretches that are left then (many variants of one anchor) are settled in one sort.
@@ -126,7 +126,7 @@ def long_matches(parts: list[np.ndarray], anchors: np.ndarray, docs: np.ndarray,
     return hits
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, chunk_bytes: int = chunks.CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each input row: id_col, n_bytes, n_removed, n_spans, kept (binary: it may cut a character).
 
     A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller id; strings are
@@ -148,5 +148,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         kept = [raw[a:b] for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
         return pa.Table.from_arrays([chunks.id_array(ids), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], schema=schema)
 
-    out = remove_repeats(docs, long_matches, False, width, gram, id_col, text_col, apply, schema, "id long, n_bytes long, n_removed long, n_spans long, kept binary", chunk_bytes)
+    out = remove_repeats(docs, long_matches, False, width, gram, id_col, text_col, apply, schema, "id long, n_bytes long, n_removed long, n_spans long, kept binary", chunk_bytes, hot)
     return out.withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .repeats import covered, remove_repeats
+from .repeats import HOT, covered, remove_repeats
 from .suffix_arrays import joined, suffix_array
 from .words import blocks, word_bounds
 
@@ -37,7 +37,7 @@ def deep_nodes(parts: list[np.ndarray], anchors: np.ndarray, docs: np.ndarray, w
     return [hit[a : max(a, b - width + 1)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, gram: int = 5, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, gram: int = 5, chunk_bytes: int = chunks.CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each input row: id_col, n_words, n_removed, kept_text.
 
     Words are runs without ASCII white space. A word goes if a window of `width` words that covers it also starts in a
@@ -60,7 +60,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
             texts.append(b" ".join(words))
         return pa.Table.from_arrays([chunks.id_array(ids), pa.array(counts), pa.array(removed), pa.array(texts, pa.binary()).cast(pa.string())], schema=schema)
 
-    out = remove_repeats(docs, deep_nodes, True, width, gram, id_col, text_col, apply, schema, "id long, n_words long, n_removed long, kept_text string", chunk_bytes)
+    out = remove_repeats(docs, deep_nodes, True, width, gram, id_col, text_col, apply, schema, "id long, n_words long, n_removed long, kept_text string", chunk_bytes, hot)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -31,10 +31,10 @@ def plain(units_of, rows, width):
     return out
 
 
-@pytest.mark.parametrize("chunk_bytes", [2_000, 1_000_000])
-def test_words(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "hot"), [(2_000, 50_000), (1_000_000, 50_000), (2_000, 3)])
+def test_words(spark, chunk_bytes, hot):
     rows = list(enumerate(corpus()))
-    got = {r.doc_id: r for r in suffix_tree.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()}
+    got = {r.doc_id: r for r in suffix_tree.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes, hot=hot).collect()}
     found = plain(lambda t: t.encode().split(), rows, 13)
     assert sum(sum(g) for _, _, g in found) > 500
     for i, u, gone in found:
@@ -42,16 +42,29 @@ def test_words(spark, chunk_bytes):
         assert got[i].kept_text.encode() == b" ".join(x for x, g in zip(u, gone, strict=True) if not g)
 
 
-@pytest.mark.parametrize("chunk_bytes", [2_000, 1_000_000])
-def test_bytes(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "hot"), [(2_000, 50_000), (1_000_000, 50_000), (2_000, 3)])
+def test_bytes(spark, chunk_bytes, hot):
     rows = list(enumerate(corpus()))
-    got = {r.doc_id: r for r in run_length_index.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()}
+    got = {r.doc_id: r for r in run_length_index.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes, hot=hot).collect()}
     for i, u, gone in plain(lambda t: t.encode(), rows, 50):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(u), sum(gone), spans)
         assert bytes(got[i].kept) == bytes(x for x, g in zip(u, gone, strict=True) if not g)
 
 
+def test_hot_line_in_other_surroundings(spark):
+    line = "the frequent line of six words"
+    rows = [(i, f"{line} a{i} b{i} " + " ".join(f"c{k}" for k in range(20)) + f" d{i} {line} {line} e{i % 3} {line} {line} x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (2, 50_000):
+        words_of = {r.doc_id: r.n_removed for r in suffix_tree.remove_repeated_words(df, chunk_bytes=1500, hot=hot).collect()}
+        bytes_of = {r.doc_id: r.n_removed for r in run_length_index.remove_repeated_bytes(df, chunk_bytes=1500, hot=hot).collect()}
+        for i, _, gone in plain(lambda t: t.encode().split(), rows, 13):
+            assert words_of[i] == sum(gone)
+        for i, _, gone in plain(lambda t: t.encode(), rows, 50):
+            assert bytes_of[i] == sum(gone)
+
+
 def test_odd_rows(odd, none):
     w = suffix_tree.remove_repeated_words(odd).collect()
     b = run_length_index.remove_repeated_bytes(odd).collect()
