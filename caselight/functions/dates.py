@@ -16,9 +16,9 @@ def record_date(raw: Column) -> Column:
 
 
 def date_key(raw: Column) -> Column:
-    """dd.mm.yyyy or an ISO date at the start as yyyymmdd, without a look at the calendar; else null."""
+    """dd.mm.yyyy or an ISO date as yyyymmdd, without a look at the calendar; null for anything else."""
     s = F.trim(raw)
-    dotted, iso = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})", r"^(\d{4})-(\d{2})-(\d{2})"
+    dotted, iso = r"^(\d{2})\.(\d{2})\.(\d{4})$", r"^(\d{4})-(\d{2})-(\d{2})$"
 
     def number(p: str, order: tuple[int, int, int]) -> Column:
         y, m, d = (F.regexp_extract(s, p, i).try_cast("int") for i in order)

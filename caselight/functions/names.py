@@ -46,14 +46,14 @@ SEASON_BUCKETS = (
     Rule("credit", r"кредитн|заем|займ|микрофинанс|мфо|неустойк\w*\s+по\s+договор"),
 )
 ROLE_FAMILIES = (
-    Rule("judge", r"судья|председательств"),
-    Rule("representative", r"адвокат|представ|защитник|юрист"),
-    Rule("plaintiff", r"истец|заявител|взыскател"),
-    Rule("defendant", r"ответчик|должник|заинтересован"),
-    Rule("third", r"трет"),
+    Rule("judge", r"судья|председ"),
+    Rule("representative", r"представ|адвокат|защитник|юрист"),
+    Rule("plaintiff", r"истец|заявител|взыскател|кредитор"),
+    Rule("defendant", r"ответчик|должник|обвиняем|подсудим"),
+    Rule("third", r"треть"),
 )
 REPRESENTATIVE = r"адвокат|представ|защитник|юрисконсульт|пов\.?\s*защит"
-REPRESENTATIVE_KINDS = (Rule("advocate", r"адвокат|защитник"), Rule("jurist", r"юрист|юрисконсульт"), Rule("representative", r"представ"))
+REPRESENTATIVE_KINDS = (Rule("advocate", r"адвокат|защитник"), Rule("jurist", r"юрист"), Rule("representative", r"представ"))
 
 _STOPS = ("информация скрыта", "данные изъяты", "<данные изъяты>", "<адрес>", "<дата>", "не указано", "не указан", "не указана", "неизвестно", "нет данных", "фио", "ф.и.о.", "ф.и.о", "—", "-", "–", "…", "...")
 _ORGANISATION = r"ооо|ао|пао|зао|ип(?=[A-Za-z0-9_])|гуп|муп|фгуп|нко|банк|страх|фонд|министер|управлен|комитет|администрац|прокурат|следственн|мвд|фссп|гибдд|суд(?=[A-Za-z0-9_])"
@@ -137,6 +137,142 @@ def name_kind(raw: Column) -> Column:
     return F.when(n == "", "empty").when(is_masked(n), "depersonalized").when(n.rlike(pattern(_ORGANISATION)), "org").when(n.rlike(person) | soft, "identifiable").otherwise("empty")
 
 
+#: What a role filter accepts besides an element's own text, by the names that users give the filter.
+ROLE_FILTERS = (
+    (("representative", "представитель", "представ", "rep"), r"представ|адвокат|защитник|юрисконсульт"),
+    (("plaintiff", "истец"), r"истец|заявител|взыскател|кредитор"),
+    (("defendant", "ответчик"), r"ответчик|должник|обвиняем|подсудим"),
+    (("third", "третье"), r"треть"),
+    (("judge", "судья"), r"судья|председ"),
+)
+#: Labels of role families.
+FAMILY_LABELS = {"representative": "Представитель", "plaintiff": "Истец", "defendant": "Ответчик", "third": "Третье лицо", "judge": "Судья", "other": "Прочие"}
+#: Aliases that a family filter takes besides a family's name and label.
+FAMILY_ALIASES = {"representative": ("представитель", "представ", "rep"), "plaintiff": ("истец", "plaintiff"), "defendant": ("ответчик", "defendant")}
+_SKIP = r"^(?:не указ|неизвест|нет данных|информация скрыта|фио#?|—|-|\.{2,})$"
+
+
+def role_rule(wanted: str) -> str | None:
+    """The pattern that a role filter stands for, or None if it is a plain part of a role."""
+    return next((p for known, p in ROLE_FILTERS if wanted.lower() in known), None)
+
+
+def role_accepted(role: Column, wanted: str | None) -> Column:
+    """Whether a role fulfils a role filter; no filter, or `all`, accepts each."""
+    if not wanted or wanted == "all":
+        return F.lit(True)
+    text, rule = F.lower(F.coalesce(role, F.lit(""))), role_rule(wanted)
+    return text.rlike(pattern(rule)) if rule else F.contains(text, F.lit(wanted.lower()))
+
+
+def role_matches(role: Column, wanted: str | None) -> Column:
+    """Whether a role belongs to the family that a filter names by id, label or alias, or contains the filter's text."""
+    f = (wanted or "").strip().lower()
+    if f in ("", "all", "*"):
+        return F.lit(True)
+    named = [k for k in FAMILY_LABELS if f in (k, FAMILY_LABELS[k].lower(), *FAMILY_ALIASES.get(k, ()))]
+    return role_family(role).isin(named) | F.contains(F.lower(F.coalesce(role, F.lit(""))), F.lit(f)) if named else F.contains(F.lower(F.coalesce(role, F.lit(""))), F.lit(f))
+
+
+def family_matches(family: str, wanted: str | None) -> bool:
+    """The same for a family that is given by its id. An id is no role that a family is known by, so the filter for other roles takes every family."""
+    f = (wanted or "").strip().lower()
+    return f in ("", "all", "*", "other", "прочие", family, *FAMILY_ALIASES.get(family, ())) or f in FAMILY_LABELS[family].lower() or f in family
+
+
+def clean_name(raw: Column) -> Column:
+    """A participant's collapsed name, or null: placeholders, names under two characters, bare numbers."""
+    n = collapse(raw)
+    return F.when(~is_masked(n) & (F.length(n) >= 2) & ~n.rlike(pattern(_SKIP)) & ~n.rlike(r"^\d+$"), n)
+
+
+def professional_name(raw: Column, judge: Column) -> Column:
+    """A lawyer's or judge's collapsed name, or null: placeholders, short names, numbers, organisations, remarks."""
+    n = collapse(raw)
+    no = n.rlike(pattern(r"^(?:не указ|неизвест|нет данных|—|-)$")) | n.rlike(r"^\d+$") | n.rlike(pattern(r"^(?:ооо|пао|ао|ип|г\.?\s)")) | n.rlike(pattern(r"^(?:не\s*назнач|не\s*определ|отложен|перенес)"))
+    return F.when(~is_masked(n) & (F.length(n) >= F.when(judge, 3).otherwise(4)) & ~no, n)
+
+
+def split_names(raw: Column) -> Column:
+    """The names of a field with several: parts between commas, semicolons, slashes and `и`, without a leading `судья`."""
+    parts = F.split(F.coalesce(raw, F.lit("")), pattern(r"[,;/]|\s+и\s+"))
+    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, pattern(r"^судья[:\s]*"), ""))), lambda p: p != "")
+
+
+def lawyers_in_fields(text: Column) -> Column:
+    """Names after a representative's role word in short fields: up to the next mark, four words at most, six characters at least."""
+    rule = pattern(r"(?:адвокат|представител(?:ь|я)|защитник|юрисконсульт)[:\s—-]+([^.;,\n]+)")
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.trim(F.array_join(F.slice(F.split(x, SPACE + "+"), 1, 4), " "))), lambda x: F.length(x) >= 6)
+
+
+def professionals(case: dict[str, Column]) -> Column:
+    """(name, role) of a case's judges and lawyers, as found, from the columns judge, participants, events, parties, plaintiff and defendant."""
+    person = lambda names, role: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(role).alias("role")))
+    none = F.array().cast("array<struct<name:string,role:string>>")
+
+    def of_participant(p: Column) -> Column:
+        role = F.lower(F.coalesce(p["role"], F.lit("")))
+        kind = F.when(role.rlike("(?iu)судья|председ"), F.lit("judge")).when(role.rlike("(?iu)адвокат|представ|юрискон"), F.lit("lawyer"))
+        return F.when(kind.isNull() | (F.coalesce(p["name"], F.lit("")) == ""), none).otherwise(F.transform(split_names(p["name"]), lambda n: F.struct(n.alias("name"), kind.alias("role"))))
+
+    presided = lambda e: F.coalesce(e["name"].rlike("(?iu)судья|председ") & (F.trim(e["result"]) != ""), F.lit(False))
+    text = F.concat_ws(" ", *(F.when(case[c] != "", case[c]) for c in ("parties", "plaintiff", "defendant")))
+    return F.concat(
+        person(split_names(case["judge"]), "judge"),
+        F.flatten(F.transform(F.coalesce(case["participants"], F.array()), of_participant)),
+        F.flatten(F.transform(F.filter(F.coalesce(case["events"], F.array()), presided), lambda e: person(split_names(e["result"]), "judge"))),
+        person(lawyers_in_fields(text), "lawyer"),
+    )
+
+
+def representatives(participants: Column, texts: Column) -> Column:
+    """Distinct identifiable representatives of a case, from its participants and the texts of its acts."""
+    card = F.transform(F.filter(F.coalesce(participants, F.array()), lambda p: is_representative(p["role"])), lambda p: p["name"])
+    return F.array_distinct(F.transform(F.filter(F.concat(card, lawyers_in_text(texts)), lambda n: name_kind(n) == "identifiable"), collapse))
+
+
+def signals(participants: Column, documents: Column) -> Column:
+    """(identifiable, only_masked, none) of a case's representatives: whether one can be told, all are masked or organisations, or there is none."""
+    card = F.transform(F.filter(F.coalesce(participants, F.array()), lambda p: is_representative(p["role"])), lambda p: p["name"])
+    text = F.flatten(F.transform(F.coalesce(documents, F.array()), lambda d: lawyers_in_text(d["text"])))
+    kinds = F.transform(F.concat(card, text), name_kind)
+    found = F.array_contains(kinds, "identifiable")
+    return F.struct(found.alias("identifiable"), ((F.size(kinds) > 0) & ~found).alias("only_masked"), (F.size(kinds) == 0).alias("none"))
+
+
+def looks_like_organisation(name: Column) -> Column:
+    """Whether a name holds a part that organisations' names have, at any place."""
+    return F.coalesce(name, F.lit("")).rlike("(?iu)ооо|ао|пао|зао|ип|гуп|муп|фгуп|нко|банк|страх|фонд|министер|управлен|комитет|администрац")
+
+
+def short_court_name(name: Column, code: Column) -> Column:
+    """A court's name without its republic, usual words shortened, 28 characters at most; its code if nothing is left."""
+    n = name
+    for long, short in (("Республики Мордовия", ""), ("районный суд", "райсуд"), ("городской суд", "горсуд")):  # fixed values
+        n = F.regexp_replace(n, f"(?iu){long}", short)
+    n = collapse(n)
+    return F.when(n == "", code).when(F.length(n) <= 28, n).otherwise(F.concat(F.substring(n, 1, 26), F.lit("…")))
+
+
+def region_label(region: Column, first_court: Column) -> Column:
+    """A region's label by the name of its first court: the republic, the oblast or krai, one of two cities, else its number."""
+    names = [F.nullif(F.regexp_extract(first_court, pattern(p), 1), F.lit("")) for p in (r"Республики?\s+([А-Яа-яё\-«»\s]+?)(?:\s|$|,)", r"([А-Яа-яё\-]+(?:ская|ский|ая))\s+област", r"([А-Яа-яё\-]+(?:ский|ская))\s+кра")]
+    city = F.when(first_court.rlike("(?iu)москва"), F.lit("Москва")).when(first_court.rlike("(?iu)петербург"), F.lit("СПб"))
+    return F.when(region == "13", F.lit("Мордовия")).otherwise(F.coalesce(collapse(F.coalesce(*names)), city, F.concat(F.lit("Рег. "), region)))
+
+
+def in_region(region: Column, subdomain: Column, code: str, suffix: str) -> Column:
+    """Whether a case belongs to a region: by its code, or by its court's suffix if the code is blank."""
+    blank = F.coalesce(region, F.lit("")) == ""
+    return F.when(blank, F.lower(subdomain).endswith(suffix.lower())).otherwise(region == code)
+
+
+def category_head(category: Column, length: int = 80) -> Column:
+    """A category's part before the first arrow; a dash for none."""
+    return F.substring(F.trim(F.split(F.coalesce(F.nullif(category, F.lit("")), F.lit("—")), "→")[0]), 1, length)
+
+
 def lawyers_in_text(text: Column) -> Column:
     """Names after a representative's role word, up to four words each."""
     rule = pattern(r"(?:адвокат|представител(?:ь|я|ем|ю)|защитник|юрисконсульт)\s*[:\s—-]+\s*([А-ЯЁA-Zа-яёa-z.\-\s]{5,80}?)(?=[,;.]|\n|$)")

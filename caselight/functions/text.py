@@ -67,9 +67,9 @@ def label_of(text: Column, rules: tuple[Rule, ...], default: str | None) -> Colu
     return out
 
 
-def slug(name: Column) -> Column:
-    """Lower case, yo as ye, other than letters and digits as one dash, no dash at either end, 80 characters."""
-    out = F.translate(F.lower(name), "ё", "е")
+def slug(name: Column, yo: str = "е") -> Column:
+    """Lower case, yo as ye (or as another letter), other than letters and digits as one dash, no dash at either end, 80 characters."""
+    out = F.translate(F.lower(name), "ё", yo)
     out = F.regexp_replace(F.regexp_replace(out, "[^a-zа-я0-9]+", "-"), "^-|-$", "")
     return F.substring(out, 1, 80)
 
@@ -90,18 +90,32 @@ ENDINGS = "иями овами ями ами ого ему его ому ему
 
 
 def stem(word: Column) -> Column:
-    """The word without the first ending that leaves four letters; words of up to four letters stay."""
-    out = word
-    for end in reversed(list(dict.fromkeys(ENDINGS))):
-        out = F.when(word.endswith(end) & (F.length(word) - len(end) >= 4), F.left(word, F.length(word) - len(end))).otherwise(out)
-    return F.when(F.length(word) > 4, out).otherwise(word)
+    """The word without the first ending that leaves four letters; words of up to four letters stay.
+
+    No ending comes before a longer one that ends in it, so the first that fits is the longest: one expression finds it.
+    """
+    return F.when(word.rlike("[а-яё]$"), F.regexp_replace(word, f"^(.{{4,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})$", "$1")).otherwise(word)
+
+
+def split_words(text: Column) -> Column:
+    """A text's words for the index and for its queries, before stop words and stems: lower case, letters, digits and dashes."""
+    return F.split(collapse(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), "[^a-zа-я0-9\\-" + SPACE[1:], " ")), " ")
+
+
+def stops_of(stop_words: list[str] | None) -> list[str]:
+    return list(dict.fromkeys(STOP_WORDS if stop_words is None else stop_words))
+
+
+def counts_as_token(word: Column, stem_of: Column, stop_words: list[str] | None) -> Column:
+    """Whether a word with its stem is a token: two characters or more, no stop word before or after stemming."""
+    stops = stops_of(stop_words)
+    return (F.length(word) >= 2) & ~word.isin(stops) & (stem_of != "") & ~stem_of.isin(stops)
 
 
 def tokenize(text: Column, stop_words: list[str] | None = None) -> Column:
     """Stems of a text's words for the index and for its queries: two characters or more, no stop words before or after stemming."""
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS if stop_words is None else stop_words)])
-    words = F.split(collapse(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), "[^a-zа-я0-9\\-" + SPACE[1:], " ")), " ")
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
+    stops = F.array(*[F.lit(w) for w in stops_of(stop_words)])
+    kept = F.filter(split_words(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
     return F.filter(F.transform(kept, stem), lambda w: (w != "") & ~F.array_contains(stops, w))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names
-from ..functions.text import amounts, percent, present
+from ..functions.text import amounts, collapse, percent, present
 
 FAVOURABLE = ("granted", "granted_partial")
 
@@ -151,6 +151,44 @@ def coverage(cases: DataFrame, indexed: DataFrame, region: str | None = None) ->
     )
 
 
+def coverage_by(cases: DataFrame, column: str, most: int) -> DataFrame:
+    """(place, total, enriched, with_documents, with_act_text) by region or court, a dash for none; the `most` largest."""
+    rows = cases.groupBy(F.coalesce(F.nullif(column, F.lit("")), F.lit("—")).alias("place")).agg(
+        F.count("*").alias("total"), F.count_if(present(F.col("enrichedAt"))).alias("enriched"), F.count_if((F.coalesce("documentsCount", F.lit(0)) > 0) | (F.coalesce(F.size("documents"), F.lit(0)) > 0)).alias("with_documents"),
+        F.count_if(F.coalesce("hasActText", F.lit(False))).alias("with_act_text"),
+    )
+    return rows.orderBy(F.desc("total"), "place").limit(most)
+
+
+def representative_winrates(facts: DataFrame, least: int = 2, samples: int = 5) -> DataFrame:
+    """(person, name, cases, with_outcome, wins, losses, neutrals, win_rate, courts, samples) of identifiable representatives over `facts`; first-seen values go by the case's id.
+
+    A decision for the plaintiff counts as won, a denial as lost, whoever the representative stood for.
+    """
+    texts = F.array_join(F.transform("documents", lambda d: F.coalesce(d["text"], F.lit(""))), "\n")
+    each = facts.select("id", "caseNumber", "courtSubdomain", "outcome", F.explode(names.representatives(F.col("participants"), texts)).alias("name"))
+    each = each.groupBy(F.lower("name").alias("person"), "id").agg(F.min("name").alias("name"), F.first("caseNumber").alias("caseNumber"), F.first("courtSubdomain").alias("courtSubdomain"), F.first("outcome").alias("outcome"))  # a case's columns are the same in its rows
+    result = F.when(F.col("outcome").isin(*FAVOURABLE), "win").when(F.col("outcome") == "denied", "loss").otherwise("neutral")
+    out = win_rates(each, "person", result, F.col("courtSubdomain"), F.col("caseNumber"), F.col("id"), least, samples)
+    more = each.groupBy("person").agg(F.min_by("name", "id").alias("name"), F.count_if(F.col("outcome") != "unknown").alias("with_outcome"))
+    return out.join(more, "person")
+
+
+def serial_plaintiffs(facts: DataFrame, least: int = 4, samples: int = 4, most: int = 30) -> DataFrame:
+    """(name, cases, known, wins, losses, win_rate, kind, samples): plaintiffs of enriched first instances with at least `least` cases, by the name without quotes; first-seen values go by the case's id."""
+    plain = F.substring(F.lower(F.trim(F.regexp_replace(collapse(F.coalesce("plaintiff", F.lit(""))), '["«»]', ""))), 1, 120)
+    rows = facts.where(present(F.col("enrichedAt")) & F.col("first_instance") & (F.length(F.trim("plaintiff")) >= 3)).select(plain.alias("key"), F.substring(F.trim("plaintiff"), 1, 100).alias("name"), "id", "caseNumber", "outcome").where(F.length("key") >= 3)
+    out = rows.groupBy("key").agg(
+        F.min_by("name", "id").alias("name"), F.count("*").alias("cases"), F.count_if(F.col("outcome") != "unknown").alias("known"), F.count_if(F.col("outcome").isin(*FAVOURABLE)).alias("wins"), F.count_if(F.col("outcome") == "denied").alias("losses")
+    )
+    best = out.where(F.col("cases") >= least).orderBy(F.desc("cases"), "key").limit(most)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    shown = rows.join(F.broadcast(best.select("key")), "key").withColumn("i", rank).where(F.col("i") <= samples)  # `most` keys
+    shown = shown.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "caseNumber"))), lambda x: x["caseNumber"]).alias("samples"))
+    decided = F.col("wins") + F.col("losses")
+    return best.join(shown, "key").select("name", "cases", "known", "wins", "losses", F.when(decided > 0, F.col("wins") / decided).alias("win_rate"), names.party_kind(F.col("name")).alias("kind"), "samples")
+
+
 def collection_rate(rows: DataFrame, at: Column, as_of: Column, target: int) -> DataFrame:
     """Rows of the last day and week before as_of (later ones count too), the daily rate of the week and days until the target, null if nothing comes in."""
     out = rows.agg(F.count("*").alias("size"), F.count_if(at >= as_of - F.expr("interval 1 day")).alias("last_day"), F.count_if(at >= as_of - F.expr("interval 7 days")).alias("last_week"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import counts_as_token, split_words, stem, tokenize
+from ..session import cut
 
 #: Characters of a chunk, of the overlap with the next one, and of the shortest chunk kept.
 TARGET, OVERLAP, LEAST = 1200, 250, 120
@@ -76,10 +78,49 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, repeat_tail: bool = True)
     return long.mapInPandas(run, f"id {kind}, number int, offset int, text string").withColumnRenamed("id", id_col)
 
 
+def term_counts(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """(id_col, term, tf): how often each row has each term. Words are stemmed as rows, by compiled expressions, not within arrays."""
+    words = rows.select(id_col, F.explode(split_words(F.col(text_col))).alias("word"))
+    terms = words.withColumn("term", stem(F.col("word"))).where(counts_as_token(F.col("word"), F.col("term"), stop_words))
+    return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def sizes(counts: DataFrame, id_col: str, least: int = LEAST_TOKENS) -> DataFrame:
+    """(id_col, size): tokens of each row that has enough of them to be indexed."""
+    return counts.groupBy(id_col).agg(F.sum("tf").cast("int").alias("size")).where(F.col("size") >= least)
+
+
 def postings(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS) -> DataFrame:
     """(id_col, term, tf, size): the inverted index of rows with enough tokens."""
-    tokens = rows.select(id_col, tokenize(F.col(text_col), stop_words).alias("tokens")).withColumn("size", F.size("tokens")).where(F.col("size") >= least)
-    return tokens.select(id_col, "size", F.explode("tokens").alias("term")).groupBy(id_col, "term", "size").agg(F.count("*").alias("tf"))
+    counts = cut(term_counts(rows, id_col, text_col, stop_words))  # read twice: for the sizes and for the postings
+    return counts.join(sizes(counts, id_col, least), id_col)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored full-text index: postings (id, term, tf, size) in files sorted by term, sizes (id, size), terms (term, df) and stats (n, avg_size)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def store_index(rows: DataFrame, id_col: str, text_col: str, root: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS) -> Index:
+    """Builds the index of rows once and writes it under root as Parquet; postings are dealt and sorted by term, so that a search reads few row groups."""
+    counts = cut(term_counts(rows, id_col, text_col, stop_words))
+    kept = cut(sizes(counts, id_col, least))
+    found = counts.join(kept, id_col)
+    found.repartitionByRange("term").sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{root}/postings")
+    kept.write.mode("overwrite").parquet(f"{root}/sizes")
+    spark = rows.sparkSession
+    spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
+    spark.read.parquet(f"{root}/sizes").agg(F.count("*").alias("n"), F.avg("size").alias("avg_size")).write.mode("overwrite").parquet(f"{root}/stats")
+    return load_index(spark, root)
+
+
+def load_index(spark: SparkSession, root: str) -> Index:
+    return Index(*(spark.read.parquet(f"{root}/{part}") for part in ("postings", "sizes", "terms", "stats")))
 
 
 def corpus(index: DataFrame, id_col: str) -> DataFrame:
@@ -96,19 +137,20 @@ def query_terms(spark, text: str, stop_words: list[str] | None = None) -> DataFr
     return spark.range(1).select(F.explode(tokenize(F.lit(text), stop_words)).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(index: DataFrame, id_col: str, query: str, stop_words: list[str] | None = None) -> DataFrame:
+def bm25(index: DataFrame | Index, id_col: str, query: str, stop_words: list[str] | None = None) -> DataFrame:
     """(id_col, score) of all rows that share a term with the query. Postings of the query's terms alone are joined and summed."""
-    terms = query_terms(index.sparkSession, query, stop_words)
-    met = index.join(F.broadcast(terms), "term")  # as many rows as the query has words
-    df = met.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus(index, id_col)
+    rows = index.postings if isinstance(index, Index) else index
+    terms = query_terms(rows.sparkSession, query, stop_words)
+    met = rows.join(F.broadcast(terms), "term")  # as many rows as the query has words
+    df = index.terms.join(F.broadcast(terms.select("term")), "term") if isinstance(index, Index) else met.groupBy("term").agg(F.count("*").alias("df"))
+    stats = index.stats if isinstance(index, Index) else corpus(index, id_col)
     rows = met.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size"))) * F.col("qtf")
     return rows.groupBy(id_col).agg(F.sum(part).alias("score"))
 
 
-def search(index: DataFrame, id_col: str, query: str, k: int = 10, stop_words: list[str] | None = None, keep: Column | None = None, about: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame | Index, id_col: str, query: str, k: int = 10, stop_words: list[str] | None = None, keep: Column | None = None, about: DataFrame | None = None) -> DataFrame:
     """The k best rows, score to four places, ties by id; conditions on `about` come after the cut, so that fewer may be left."""
     best = bm25(index, id_col, query, stop_words).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), id_col).limit(k)
     if about is not None:
@@ -116,7 +158,7 @@ def search(index: DataFrame, id_col: str, query: str, k: int = 10, stop_words: l
     return best if keep is None else best.where(keep)
 
 
-def hybrid(index: DataFrame, catalogue: DataFrame, id_col: str, query: str, haystack: Column, order: list[Column], limit: int = 15, stop_words: list[str] | None = None) -> DataFrame:
+def hybrid(index: DataFrame | Index, catalogue: DataFrame, id_col: str, query: str, haystack: Column, order: list[Column], limit: int = 15, stop_words: list[str] | None = None) -> DataFrame:
     """Best texts and newest catalogue rows that contain the query, each with its source; the limit is 1 to 50."""
     n = min(50, max(1, limit))
     texts = search(index, id_col, query, n, stop_words).select(id_col, F.lit("text").alias("source"), "score")
@@ -129,6 +171,18 @@ def reassemble(parts: DataFrame, key: str, number: str, text: str, between: str
     return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, text))), lambda x: x[text]), between).alias(text))
 
 
+def remove_case(chunks: DataFrame, key: str, case: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks without those of one case, and a row with the number `removed`."""
+    gone = F.col(key).eqNullSafe(F.lit(case))
+    return chunks.where(~gone), chunks.agg(F.count_if(gone).alias("removed"))
+
+
+def reindex(docs: DataFrame, chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The chunks, and those of long enough documents that have none yet."""
+    new = docs.join(chunks.select(id_col).distinct(), id_col, "left_anti")
+    return chunks.select(id_col, "number", "offset", "text").unionByName(chunk(new, id_col, text_col))
+
+
 def indexed_cases(chunks: DataFrame, key: str, order: str, shown: list[str]) -> DataFrame:
     """Per key the number of chunks and the first present value of each shown column."""
     return chunks.groupBy(key).agg(F.count("*").alias("chunks"), *[F.min_by(c, F.when(F.col(c) != "", F.col(order))).alias(c) for c in shown])

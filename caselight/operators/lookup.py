@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import entity
+from ..functions.names import entity, looks_like_organisation, parties
+
+
+#: Aliases and cases that an answer lists.
+ALIASES, CASES = 12, 50
 
 
 def entities(rows: DataFrame, raw: str, seq: str, case: str) -> DataFrame:
@@ -16,16 +20,61 @@ def entities(rows: DataFrame, raw: str, seq: str, case: str) -> DataFrame:
     return named.groupBy("key").agg(F.min_by("canonical", seq).alias("canonical"), F.count_distinct("alias").alias("aliases"), F.count_distinct(case).alias("cases"))
 
 
+def mentions(cases: DataFrame) -> DataFrame:
+    """(key, canonical, form, alias, id, at, region, court): organisations in plaintiff, defendant, parts of parties and participants; of each key a case's first mention."""
+    names = F.concat(
+        F.filter(F.array("plaintiff", "defendant"), lambda n: F.coalesce(n, F.lit("")) != ""), parties(F.col("parties")),
+        F.filter(F.transform(F.coalesce("participants", F.array()), lambda p: p["name"]), lambda n: F.coalesce(n, F.lit("")) != ""),
+    )
+    each = cases.select("id", F.coalesce("courtRegion", F.lit("—")).alias("region"), F.col("courtSubdomain").alias("court"), F.posexplode(names).alias("at", "raw")).where(looks_like_organisation(F.col("raw")))
+    named = each.withColumn("e", entity(F.col("raw"))).where("e is not null").select("e.*", F.trim("raw").alias("alias"), "id", "at", "region", "court")
+    return named.groupBy("key", "id").agg(F.min_by(F.struct("canonical", "form", "alias", "at", "region", "court"), "at").alias("x")).select("key", "id", "x.*")
+
+
+def records(found: DataFrame) -> DataFrame:
+    """Per key, from `mentions`: canonical form and legal form as first seen, numbers of cases, aliases, regions and courts, and the lists of regions and courts.
+
+    First seen goes by the case's id. Lists are of distinct values, each with its first place.
+    """
+    base = found.groupBy("key").agg(F.min_by(F.struct("canonical", "form"), "id").alias("x"), F.count("*").alias("case_count"))
+    out = base.select("key", "x.*", "case_count").join(found.groupBy("key").agg(F.count_distinct("alias").alias("alias_count")), "key")
+    for column in ("region", "court"):
+        seen = found.groupBy("key", column).agg(F.min("id").alias("first"))
+        out = out.join(seen.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", column))), lambda x: x[column]).alias(f"{column}s")), "key")
+    return out
+
+
+def first_values(found: DataFrame, column: str, most: int) -> DataFrame:
+    """(key, values): each key's first distinct values of a column by the case's id, `most` at most; ranked before they are collected."""
+    seen = found.groupBy("key", column).agg(F.min("id").alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("__first", column))
+    kept = seen.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    return kept.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", column))), lambda x: x[column]).alias("values"))
+
+
+def resolve_records(found: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Records that fit a query, best first: 100 for its key, 50 for a part of the canonical form, 30 for a part of either key and 20 for each alias that holds it, added up; with 12 aliases and 50 cases of each."""
+    text = query.strip()
+    known = records(found)
+    q = F.lit(text.lower())
+    aliases = found.where(F.contains(F.lower("alias"), q)).groupBy("key").agg((20 * F.count_distinct("alias")).alias("by_alias"))
+    key = entity(F.lit(text))["key"]
+    score = F.when(F.col("key") == key, 100).otherwise(0) + F.when(F.contains(F.lower("canonical"), q), 50).otherwise(0) + F.when(F.contains("key", q) | F.contains(q, F.col("key")), 30).otherwise(0) + F.coalesce("by_alias", F.lit(0))
+    best = known.join(aliases, "key", "left").withColumn("score", score.cast("int")).where("score > 0").drop("by_alias").orderBy(F.desc("score"), F.desc("case_count"), "key").limit(limit)
+    mine = found.join(F.broadcast(best.select("key")), "key")  # `limit` keys
+    return best.join(first_values(mine, "alias", ALIASES).withColumnRenamed("values", "aliases"), "key").join(first_values(mine.select("key", "id", F.col("id").alias("case")), "case", CASES).withColumnRenamed("values", "case_ids"), "key")
+
+
 def entity_stats(index: DataFrame) -> DataFrame:
-    return index.agg(F.count("*").alias("entities"), F.count_if(F.col("aliases") > 1).alias("with_aliases"))
+    return index.agg(F.count("*").alias("entities"), F.count_if(F.col("alias_count" if "alias_count" in index.columns else "aliases") > 1).alias("with_aliases"))
 
 
 def resolve(index: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Entities by score: 100 for the key, else 50 for a part of the canonical form, else 30 for a part of either key; ties by cases, then key."""
-    q = index.sparkSession.range(1).select(F.coalesce(entity(F.lit(query))["key"], F.lower(F.trim(F.lit(query)))).alias("q"))
+    """Entities by the same score as `resolve_records`, without aliases; ties by cases, then key."""
+    q = index.sparkSession.range(1).select(F.coalesce(entity(F.lit(query))["key"], F.lower(F.trim(F.lit(query)))).alias("k"), F.lower(F.trim(F.lit(query))).alias("q"))
     rows = index.crossJoin(F.broadcast(q))  # one row
-    score = F.when(F.col("key") == F.col("q"), 100).when(F.contains(F.lower("canonical"), F.col("q")), 50).when(F.contains("key", F.col("q")) | F.contains("q", F.col("key")), 30).otherwise(0)
-    return rows.withColumn("score", score).where("score > 0").drop("q").orderBy(F.desc("score"), F.desc("cases"), "key").limit(limit)
+    score = F.when(F.col("key") == F.col("k"), 100).otherwise(0) + F.when(F.contains(F.lower("canonical"), F.col("q")), 50).otherwise(0) + F.when(F.contains("key", F.col("q")) | F.contains("q", F.col("key")), 30).otherwise(0)
+    return rows.withColumn("score", score).where("score > 0").drop("q", "k").orderBy(F.desc("score"), F.desc("cases"), "key").limit(limit)
 
 
 #: Words of a court's name that say nothing, and hints at a region.
@@ -77,7 +126,5 @@ def search_courts(courts: DataFrame, query: str, limit: int = 10, name: str = "n
 
 def best_court(courts: DataFrame, query: str, **how) -> DataFrame:
     """The best hit of 30 or more, if any, with `ambiguous` if the next one is closer than 40."""
-    from pyspark.sql import Window
-
     two = search_courts(courts, query, 2, **how)
     return two.withColumn("second", F.lead("score").over(Window.orderBy(F.desc("score")))).withColumn("ambiguous", F.coalesce(F.col("score") - F.col("second") < CLEAR, F.lit(False))).orderBy(F.desc("score")).limit(1).where(F.col("score") >= FOUND).drop("second")

@@ -5,8 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import duration_days, record_date
+from ..functions.names import category_head, clean_name, family_matches, is_masked, representative_kind, role_family, role_matches
+from ..functions.text import collapse, pattern, present, slug
+
 #: Families of roles, the one that names a person first.
-FAMILIES = ("judge", "representative", "plaintiff", "defendant", "third", "other")
+FAMILIES = ("representative", "plaintiff", "defendant", "third", "judge", "other")
+#: Case numbers and courts that an index shows of each person, categories and cases of a dossier.
+NUMBERS, COURTS, CATEGORIES, CASES, MOST_CASES = 5, 4, 20, 80, 200
+
+
+def appearances_of(cases: DataFrame) -> DataFrame:
+    """(name, role, family, case_id, court, number, act, enriched, at): participants of cases, and plaintiff, defendant and judge of the flat fields; placeholders are left out."""
+    flat = [F.struct(F.col(c).alias("name"), F.lit(role).alias("role"), F.lit(family).alias("family")) for c, role, family in (("plaintiff", "ИСТЕЦ", "plaintiff"), ("defendant", "ОТВЕТЧИК", "defendant"), ("judge", "СУДЬЯ", "judge"))]
+    card = F.transform(F.coalesce("participants", F.array()), lambda p: F.struct(p["name"].alias("name"), F.coalesce(F.nullif(p["role"], F.lit("")), F.lit("?")).alias("role"), role_family(p["role"]).alias("family")))
+    each = cases.select("id", "caseNumber", "courtSubdomain", "hasActText", "enrichedAt", F.posexplode(F.concat(card, F.array(*flat))).alias("at", "p"))
+    named = each.withColumn("name", clean_name(F.col("p.name"))).where("name is not null")
+    return named.select("name", collapse(F.col("p.role")).alias("role"), "p.family", F.col("id").alias("case_id"), F.col("courtSubdomain").alias("court"), F.col("caseNumber").alias("number"), F.coalesce("hasActText", F.lit(False)).alias("act"), present(F.col("enrichedAt")).alias("enriched"), "at")
+
+
+def full_index(found: DataFrame) -> DataFrame:
+    """Per person, from `appearances_of`: index columns, roles, cases with acts and enriched, first case numbers and courts by case id, and person_id.
+
+    Counts are by person and case first. Samples are ranked before they are collected, and roles and courts are made
+    distinct first, so no group grows with its cases.
+    """
+    by_case = found.groupBy(F.lower("name").alias("person"), "case_id").agg(F.min_by("number", "at").alias("number"), F.min_by("court", "at").alias("court"), F.max("act").alias("act"), F.max("enriched").alias("enriched"))
+    first = F.row_number().over(Window.partitionBy("person").orderBy("case_id"))
+    shown = lambda rows, column, most, name: rows.withColumn("__i", first).where(F.col("__i") <= most).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", column))), lambda x: x[column]).alias(name))
+    numbers = shown(by_case, "number", NUMBERS, "numbers")
+    courts = shown(by_case.groupBy("person", "court").agg(F.min("case_id").alias("case_id")), "court", COURTS, "first_courts")
+    roles = found.select(F.lower("name").alias("person"), "role").distinct().groupBy("person").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    sums = by_case.groupBy("person").agg(F.count_if("act").alias("with_acts"), F.count_if("enriched").alias("enriched_cases"))
+    names = found.groupBy(F.lower("name").alias("person")).agg(F.min_by("name", F.struct("case_id", "at")).alias("first_name"))
+    out = index(found).drop("name")
+    for more in (names, sums, roles, numbers, courts):
+        out = out.join(more, "person")
+    return out.withColumnRenamed("first_name", "name").withColumn("person_id", F.concat(F.lit("p:"), slug(F.col("name"))))
 
 
 def index(appearances: DataFrame) -> DataFrame:
@@ -74,19 +109,102 @@ def totals(rows: DataFrame, kind: str, person: str) -> DataFrame:
     return rows.groupingSets([[F.col(kind)], []], F.col(kind)).agg(F.count_distinct(person).alias("people"), F.count("*").alias("appearances"))
 
 
+def representatives(cases: DataFrame) -> DataFrame:
+    """(name, person, kind, court, court_name): one row for each representative on a case's card; placeholders are left out."""
+    each = cases.select("courtSubdomain", F.coalesce(F.nullif("courtName", F.lit("")), "courtSubdomain").alias("court_name"), F.explode("participants").alias("p"))
+    name = collapse(F.coalesce("p.name", F.lit("")))
+    skip = name.rlike(pattern(r"^(?:не указ|неизвест|нет данных|информация скрыта|фио#?|—|-|\.{2,})$"))
+    rows = each.select(name.alias("name"), representative_kind(F.col("p.role")).alias("kind"), F.col("courtSubdomain").alias("court"), "court_name").where(F.col("kind").isNotNull() & ~skip & ~is_masked(F.col("name")))
+    return rows.withColumn("person", F.concat(F.lit("p:"), slug(F.col("name"))))
+
+
+def representative_heat(cases: DataFrame) -> DataFrame:
+    """(court, appearances, people, a pair of both for each kind, intensity): courts without representatives too."""
+    kinds = ("representative", "advocate", "jurist")
+    of = lambda k: F.when(F.col("kind") == k, F.col("person"))
+    by = representatives(cases).groupBy("court").agg(F.count("*").alias("appearances"), F.count_distinct("person").alias("people"), *[c for k in kinds for c in (F.count(of(k)).alias(f"{k}_appearances"), F.count_distinct(of(k)).alias(f"{k}_people"))])
+    every = cases.select(F.col("courtSubdomain").alias("court")).distinct()
+    out = every.join(by, "court", "left").na.fill(0)
+    top = out.agg(F.greatest(F.max("appearances"), F.lit(1)).alias("top"))
+    return out.crossJoin(F.broadcast(top)).withColumn("intensity", F.col("appearances") / F.col("top")).drop("top")  # top is one row
+
+
 def find(people: DataFrame, q: str | None = None, family: str | None = None, least: int = 1) -> DataFrame:
-    """People with a part of their name, a family and a number of cases."""
+    """People with a part of their name, a family or role and a number of cases."""
     where = F.col("cases") >= least
-    if q:
-        where &= F.contains("person", F.lit(q.lower()))
-    if family:
-        where &= F.array_contains("families", family)
+    if q and q.strip():
+        where &= F.contains("person", F.lit(q.strip().lower()))
+    if family and family != "all":
+        kinds = [f for f in FAMILIES if family_matches(f, family)]
+        hit = F.arrays_overlap("families", F.array(*[F.lit(f) for f in kinds])) if kinds else F.lit(False)
+        where &= hit | F.exists("roles", lambda r: role_matches(r, family)) if "roles" in people.columns else hit
     return people.where(where)
 
 
+def find_person(people: DataFrame, name: str) -> DataFrame:
+    """The person of a name, else the one with most cases whose name contains it or lies in it; at most one row."""
+    key = " ".join(name.split()).lower()
+    if not key:
+        return people.limit(0)
+    same = F.col("person") == key
+    near = same | F.contains("person", F.lit(key)) | F.contains(F.lit(key), F.col("person"))
+    return people.where(near).orderBy(F.desc(same), F.desc("cases"), "person").limit(1)
+
+
+def has_participant(name: str, role: str | None = None) -> Column:
+    """Whether a case has a person by a part of the name in a role: among its participants, or in the flat fields that the role admits."""
+    n, wanted = name.lower(), role if role and role != "all" else None
+    part = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(n))
+    out = F.exists(F.coalesce("participants", F.array()), lambda p: part(p["name"]) & role_matches(p["role"], wanted))
+    for field in ("plaintiff", "defendant", "judge"):
+        if wanted is None or family_matches(field, wanted):
+            out |= part(F.col(field))
+    return out | part(F.col("parties")) if wanted is None else out
+
+
+def cases_of(cases: DataFrame, name: str, role: str | None = None, limit: int = 50) -> DataFrame:
+    """Cases with a person, by id; none for a blank name."""
+    return cases.where(has_participant(name.strip(), role)).orderBy("id").limit(limit) if name.strip() else cases.limit(0)
+
+
+def role_on_case(name: str) -> Column:
+    """The role in which a case has a person: of the first participant whose name contains it or lies in it, else by the flat fields, else `?`."""
+    n = name.lower()
+    part = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(n))
+    met = F.filter(F.coalesce("participants", F.array()), lambda p: part(p["name"]) | F.contains(F.lit(n), F.lower(F.coalesce(p["name"], F.lit("")))))
+    first = F.when(F.size(met) > 0, F.trim(F.coalesce(F.nullif(F.get(met, F.lit(0))["role"], F.lit("")), F.lit("?"))))
+    return F.coalesce(first, F.when(part(F.col("plaintiff")), "ИСТЕЦ").when(part(F.col("defendant")), "ОТВЕТЧИК").when(part(F.col("judge")), "СУДЬЯ"), F.lit("?"))
+
+
+def person_dossier(facts: DataFrame, name: str, role: str | None = None, limit: int = CASES, suffix: str = "--mor", code: str = "13") -> dict[str, DataFrame]:
+    """One person's dossier over `cases.facts`: `summary` (one row with counts, win rate, median days, rating, tier), `outcomes`, `courts`, `categories` (20), `years`, `regions`, `factors` and `cases` (200 at most), the newest first."""
+    mine = facts.where(has_participant(name, role))
+    region = F.coalesce(F.nullif("courtRegion", F.lit("")), F.when(F.lower("courtSubdomain").endswith(suffix), F.lit(code)))
+    year = F.coalesce(F.year(record_date(F.col("entryDate"))).cast("string"), F.nullif(F.regexp_extract(F.coalesce("caseNumber", F.lit("")), r"/(20\d{2})", 1), F.lit("")))
+    days = duration_days(record_date(F.col("entryDate")), record_date(F.col("resultDate")), 3999)
+    won, lost = F.col("outcome").isin("granted", "granted_partial"), F.col("outcome") == "denied"
+    sums = mine.select("*", days.alias("__days"), region.alias("__region")).agg(
+        F.count("*").alias("cases"), F.count_distinct("courtSubdomain").alias("courts"), F.count_if(F.coalesce("hasActText", F.lit(False))).alias("with_acts"), F.count_if(present(F.col("enrichedAt"))).alias("enriched_cases"),
+        F.count_if(F.col("outcome") != "unknown").alias("known"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), F.count_if((F.col("outcome") != "unknown") & ~won & ~lost).alias("neutrals"), F.median("__days").alias("median_days"), F.count_distinct("__region").alias("regions"),
+    )
+    sums = sums.withColumn("win_rate", F.when(F.col("wins") + F.col("losses") > 0, F.col("wins") / (F.col("wins") + F.col("losses"))))
+    sums = sums.withColumns({"rating": dossier_rating(F.col("cases"), F.col("win_rate"), F.col("with_acts")), "tier": dossier_tier(F.col("cases"), F.col("win_rate"))})
+    # Factors of a dossier with their highest scores.
+    scores = {"cases": (F.col("cases") * 2, 28), "courts": (F.col("courts") * 2, 12), "acts": (F.col("with_acts"), 10), "enriched": (F.col("enriched_cases"), 12), "win": (F.coalesce(F.floor(F.col("win_rate") * 16 + 0.5), F.lit(0)), 16), "geo": (F.col("regions") * 2, 6)}
+    factors = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.least(v.cast("long"), F.lit(m).cast("long")).alias("score"), F.lit(m).alias("max")) for k, (v, m) in scores.items()])).alias("x")).select("x.*")
+    count = lambda key, name_: mine.groupBy(key.alias(name_)).agg(F.count("*").alias("n"))
+    shown = mine.orderBy(F.desc(F.coalesce(F.nullif("enrichedAt", F.lit("")), "collectedAt")), "id").limit(min(limit, MOST_CASES))
+    shown = shown.select("id", "caseNumber", "courtSubdomain", "courtName", category_head(F.col("category")).alias("category"), "status", role_on_case(name).alias("role"), "hasActText", present(F.col("enrichedAt")).alias("enriched"), "outcome", "entryDate", "resultDate", "judge")
+    return {
+        "summary": sums, "outcomes": count(F.col("outcome"), "outcome"), "courts": count(F.col("courtSubdomain"), "court"), "categories": count(category_head(F.col("category")), "category").orderBy(F.desc("n"), "category").limit(CATEGORIES),
+        "years": count(year, "year").where("year is not null"), "regions": count(region, "region").where("region is not null"), "factors": factors, "cases": shown,
+    }
+
+
 def dossier(rows: DataFrame, name: str, facts: list[str]) -> dict[str, DataFrame]:
     """One person's cases, from (name, case_id, court, category, outcome, duration_days, entry, ...): the rows, and counts by outcome, court, category and year."""
-    mine = rows.where(F.contains(F.lower("name"), F.lit(name.lower())) | F.contains(F.lit(name.lower()), F.lower("name"))).dropDuplicates(["case_id"])
+    mine = rows.where(F.contains(F.lower("name"), F.lit(name.lower())) | F.contains(F.lit(name.lower()), F.lower("name")))
+    mine = mine.groupBy("case_id").agg(F.min(F.struct(*[c for c in mine.columns if c != "case_id"])).alias("x")).select("case_id", "x.*")  # the same row of a case each time
     by = {c: mine.groupBy(c).agg(F.count("*").alias("n")) for c in facts}
     wins, losses = F.count_if(F.col("outcome").isin("granted", "granted_partial")), F.count_if(F.col("outcome") == "denied")
     summary = mine.agg(F.count("*").alias("cases"), wins.alias("wins"), losses.alias("losses"), F.median("duration_days").alias("median_days"))

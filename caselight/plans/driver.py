@@ -491,12 +491,11 @@ def document_reassembly(spark: SparkSession, sf: str) -> DataFrame:
 # --- time, pages, plans -----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT user_id AS id, ts AS at, 'event' AS kind, event_type AS label FROM events WHERE user_id % 50 = 0 UNION ALL
-SELECT o_custkey, o_orderdate, 'order', o_orderstatus FROM orders WHERE o_custkey % 50 = 0""")
+@query("""SELECT user_id AS id, ts AS at, 'event' AS kind, event_type AS label FROM events UNION ALL SELECT o_custkey, o_orderdate, 'order', o_orderstatus FROM orders""")
 def timeline_union(spark: SparkSession, sf: str) -> DataFrame:
-    """A case's timeline is asked for some keys; here those of every fiftieth user and customer."""
-    events = t(spark, sf, "events").where("user_id % 50 = 0").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("label"))
-    orders = t(spark, sf, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("label"))
+    """The timelines of all users and customers."""
+    events = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("label"))
+    orders = t(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("label"))
     return timeline.union({"event": events, "order": orders}, "id", "at", "label")
 
 
@@ -554,3 +553,6 @@ def ready_courts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderpriority AS role, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, role LIMIT 30")
 def role_counts(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.facet(t(spark, sf, "orders").select(F.upper(F.trim("o_orderpriority")).alias("role")), "role").orderBy(F.desc("n"), "role").limit(30)
+
+
+from . import case_queries  # noqa: E402, F401  registers its queries with the decorator above

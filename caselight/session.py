@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,26 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder in spark.checkpoint.dir and read from there, so that an executor's loss costs nothing before."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; without one, in local mode, a temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="caselight-checkpoints-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place for a job's own tables in the shared folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the folder in spark.checkpoint.dir and read from there, so that an executor's loss costs nothing before."""
+    _shared(df.sparkSession)
     return df.checkpoint()

@@ -107,7 +107,8 @@ def test_dates(spark):
     for raw, expected in (("15.03.2024", datetime.date(2024, 3, 15)), ("c 1.3.2024 г.", datetime.date(2024, 3, 1)), ("01/03/2024", datetime.date(2024, 3, 1)), ("31.02.2024", None), ("23 декабря 2024", None), ("01.01.1889", None), ("", None)):
         assert value(spark, dates.record_date(F.col("r")), r=raw) == expected, raw
     assert value(spark, dates.date_key(F.col("r")), r="31.02.2024") == 20240231
-    assert value(spark, dates.date_key(F.col("r")), r="2024-03-01T10:00") == 20240301
+    assert value(spark, dates.date_key(F.col("r")), r=" 2024-03-01 ") == 20240301
+    assert value(spark, dates.date_key(F.col("r")), r="2024-03-01T10:00") is None  # a date alone
     assert value(spark, dates.date_key(F.col("r")), r="x 01.03.2024") is None
     day = lambda x: F.lit(x).cast("date")
     assert value(spark, dates.duration_days(day("2024-03-01"), day("2024-03-11"))) == 10
