@@ -1,15 +1,16 @@
 """Nearest neighbours by cross-polytope hashing: pseudo-random rotations, nearest signed axes, multiprobe tables, exact rerank.
 
 A rotation is three rounds of random signs and a fast Hadamard transform. The bucket of a unit vector in a table is the
-signed axis nearest to its rotation, however many vectors there are, so that recall doesn't fall with their number. Every
-vector is in each table's bucket; a query asks the buckets of its nearest axes in each table, where all members are ranked
-by their exact inner products. A query that meets fewer than k others there is compared with all vectors.
+signed axis nearest to its rotation; where there are so many vectors that buckets would grow with them, a second rotation's
+nearest axis, among as many as needed, parts them further. Every vector is in one bucket of each table. A query asks the
+buckets of its nearest axes, where all members are ranked by their exact inner products. How many it asks is fitted on a
+bounded sample, so that recall doesn't fall with the number of vectors. A query that meets fewer than k others is compared
+with all vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .chunks import tidy_batches, tidy_both
 
-#: Tables, and buckets asked in each. For vectors without near neighbours (inner products of 0.35 in 64 dimensions) these reach a recall of 0.95.
-TABLES, PROBES = 8, 12
-#: Vectors that are compared as a block: a bucket with more is dealt into blocks, and each gets the bucket's queries.
-BLOCK = 40_000
+#: Tables: each holds every vector once.
+TABLES = 4
+#: Vectors of a bucket on average, at most, as long as the axes of two rotations suffice.
+MEMBERS = 20_000
+#: Vectors and queries that are compared as a block: a bucket with more is dealt into blocks, and each block of queries meets each of vectors.
+BLOCK, ASKING = 40_000, 20_000
+#: Vectors of the sample that the number of probes is fitted on, queries among them, and the share of neighbours that its tables must hold.
+SAMPLE, SAMPLE_QUERIES, TARGET = 20_000, 300, 0.97
+#: Bytes of placed vectors in a batch.
+PLACED = 16_000_000
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,44 +55,78 @@ def rotations(x: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
         yield y
 
 
-def buckets(unit: np.ndarray, probes: int, tables: int, hashes: int, seed: int) -> np.ndarray:
-    """(rows, tables, probes): numbers of the buckets nearest to each unit vector, the nearest first."""
-    axes = 2 << max(0, (unit.shape[1] - 1).bit_length())
-    out = np.empty((len(unit), tables, probes), np.int64)
-    turned = rotations(unit, tables * hashes, seed)
-    each = min(axes, probes)
-    for t in range(tables):
-        near, close = [], []
-        for _ in range(hashes):
-            y = next(turned)
-            both = np.concatenate((y, -y), axis=1)
-            top = np.argsort(-both, axis=1, kind="stable")[:, :each]
-            near.append(top)
-            close.append(np.take_along_axis(both, top, axis=1))
-        combos = np.array(list(product(range(each), repeat=hashes)))
-        combos = combos[np.argsort(combos.sum(axis=1), kind="stable")][: probes * 4 if hashes > 1 else each]
-        total = sum(close[h][:, combos[:, h]] for h in range(hashes))
-        number = np.zeros((len(unit), len(combos)), np.int64)
-        for h in range(hashes):
-            number = number * axes + near[h][:, combos[:, h]]
-        best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-        picked = np.take_along_axis(number, best, axis=1)
-        out[:, t, : picked.shape[1]] = picked
-        out[:, t, picked.shape[1] :] = -1
+def _axes(unit: np.ndarray, tables: int, second: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each table, the vectors' components along all signed axes of its first rotation, and along those of `second` dimensions of its second one."""
+    turned = rotations(unit, tables * (2 if second else 1), seed)
+    for y in turned:
+        z = next(turned)[:, :second] if second else None
+        yield np.concatenate((y, -y), axis=1), None if z is None else np.concatenate((z, -z), axis=1)
+
+
+def second_dimensions(n: int, size: int) -> int:
+    """Dimensions of the second rotation so that n vectors have MEMBERS a bucket, none if the first suffices."""
+    axes = 2 << max(0, (size - 1).bit_length())
+    return min(axes // 2, max(0, -(-n // (MEMBERS * axes * 2)))) if n > MEMBERS * axes else 0
+
+
+def buckets(unit: np.ndarray, probes: int, tables: int, second: int, seed: int) -> np.ndarray:
+    """(rows, tables, probes): numbers of the buckets nearest to each unit vector, the nearest first; -1 beyond the last bucket."""
+    out = np.full((len(unit), tables, probes), -1, np.int64)
+    for t, (one, two) in enumerate(_axes(unit, tables, second, seed)):
+        if probes == 1:
+            out[:, t, 0] = one.argmax(axis=1) if two is None else one.argmax(axis=1) * two.shape[1] + two.argmax(axis=1)
+            continue
+        step = len(unit) if two is None else max(1, 4_000_000 // (one.shape[1] * two.shape[1]))
+        for a in range(0, len(unit), max(1, step)):
+            near = one[a : a + step] if two is None else (one[a : a + step, :, None] + two[a : a + step, None, :]).reshape(-1, one.shape[1] * two.shape[1])
+            most = min(probes, near.shape[1])
+            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
+            out[a : a + step, t, :most] = best
     return out
 
 
+def fit_probes(sample: np.ndarray, n: int, k: int, tables: int, second: int, seed: int) -> int:
+    """Buckets that a query must ask in each table, so that TARGET of its neighbours are in one of them.
+
+    Neighbours are taken from the sample as near as the k nearest of n vectors, or nearest in the sample where those would be nearer still.
+    """
+    size = sample.shape[1]
+    axes = 2 << max(0, (size - 1).bit_length())
+    every = axes * (2 * second if second else 1)
+    if len(sample) < 3:
+        return every
+    unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+    asks = unit[:SAMPLE_QUERIES]
+    likeness = asks @ sample.astype(np.float32).T
+    likeness[np.arange(len(asks)), np.arange(len(asks))] = -np.inf
+    near = min(len(sample) - 1, max(1, round(k * len(sample) / max(n, 1))))
+    found = np.argpartition(-likeness, near - 1, axis=1)[:, :near]
+    rank = np.full(found.shape, every)
+    for (one, two), (all_one, all_two) in zip(_axes(asks, tables, second, seed), _axes(unit, tables, second, seed), strict=True):
+        at = np.take_along_axis(one, all_one.argmax(axis=1)[found], axis=1)
+        if two is None:
+            before = (one[:, None, :] > at[:, :, None]).sum(axis=2)
+        else:
+            at = at + np.take_along_axis(two, all_two.argmax(axis=1)[found], axis=1)
+            ordered = np.sort(two, axis=1)
+            before = np.array([[(len(o) - np.searchsorted(o, v - row, "right")).sum() for v in values] for row, o, values in zip(one, ordered, at, strict=True)])
+        rank = np.minimum(rank, before)
+    return int(min(every, np.quantile(rank, TARGET, method="higher") + 1))
+
+
 def _usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 17) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, seed: int = 17) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products found for each query row among the other rows.
 
     Every usable row is indexed. A vector that is null, zero, of another size than most, or holds a null or non-finite
     component takes no part, nor does a row without id. Ranks are from 1, ties go to the smaller id, the score is the inner product
     of the original vectors in double precision. Rows of one id count as one: the best score of any of them stands.
+    Without `probes` their number is fitted on the SAMPLE rows with the smallest hashes of their ids.
     """
     kind = vectors.schema[vector_col].dataType.elementType
     number = np.float32 if isinstance(kind, T.FloatType) else np.float64
@@ -94,27 +136,45 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     size, n = (sizes[0]["size"], sizes[0]["n"]) if sizes else (1, 0)
     rows = rows.where(F.size("vector") == size)
 
-    def place(wanted: int):
+    second = second_dimensions(n, size)
+    if probes is None:
+        picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()["vector"]  # a bounded sample
+        probes = fit_probes(np.stack(picked.to_numpy()).astype(np.float64), n, k, tables, second, seed) if len(picked) else 1
+
+    def place(wanted: int, vectors_too: bool = True):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, PLACED // (tables * wanted * (8 * size + 16)))
             for batch in batches:
-                for part in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(part), size)
                     scale = np.abs(x).max(axis=1, keepdims=True).astype(np.float64)
                     unit = x / scale
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    found = buckets(unit.astype(np.float32), wanted, tables, 1, seed)
+                    found = buckets(unit.astype(np.float32), wanted, tables, second, seed)
                     row, table, probe = np.nonzero(found >= 0)
+                    cells = pa.array(found[row, table, probe] * tables + table)
+                    if not vectors_too:
+                        yield pa.RecordBatch.from_arrays([cells], ["cell"])
+                        continue
                     raw = pa.array([v.tobytes() for v in x], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(found[row, table, probe] * tables + table), part.column(0).take(pa.array(row)), raw.take(pa.array(row))], ["cell", "id", "raw"])
+                    yield pa.RecordBatch.from_arrays([cells, part.column(0).take(pa.array(row)), raw.take(pa.array(row))], ["cell", "id", "raw"])
 
-        return run
+        return tidy_batches(run)
 
     index = rows.select("id", "vector").mapInArrow(place(1), "cell long, id long, raw binary")
-    asked = rows.where("asks").select("id", "vector").mapInArrow(place(probes), "cell long, id long, raw binary")
-    # Blocks of large buckets; the table of counts is as large as the number of buckets that hold something.
-    counts = rows.select("id", "vector").mapInArrow(_only_cells(place(1)), "cell long").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    index = index.join(counts, "cell", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).cast("int"))
-    asked = asked.join(counts, "cell", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    asks = rows.where("asks").select("id", "vector")
+    asked = asks.mapInArrow(place(probes), "cell long, id long, raw binary")
+    # Blocks of large buckets, of their vectors and of their queries. Only buckets with several are joined.
+    held = rows.select("id", "vector").mapInArrow(place(1, False), "cell long").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    called = asks.mapInArrow(place(probes, False), "cell long").groupBy("cell").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("calls"))
+    large = held.join(called, "cell").where("blocks > 1 or calls > 1")
+
+    def dealt_in(part: DataFrame, own: str, blocks: str, other: str, others: str) -> DataFrame:
+        part = part.join(large, "cell", "left").withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce(blocks, F.lit(1))).cast("int"))
+        return part.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
+
+    index = dealt_in(index, "block", "blocks", "call", "calls")
+    asked = dealt_in(asked, "call", "calls", "block", "blocks")
 
     def rank(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
         ids = queries.column("id").to_numpy()
@@ -147,8 +207,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return pa.table({"query_id": pa.array(names, pa.int64()), "found": pa.array(lists, pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())])))})
 
     def placed(index: DataFrame, asked: DataFrame) -> DataFrame:
-        met = index.select("cell", "block", "id", "raw").groupBy("cell", "block").cogroup(asked.select("cell", "block", "id", "raw").groupBy("cell", "block"))
-        found = met.applyInArrow(rank, "query_id long, found array<struct<minus:double,vec_id:long>>")
+        met = index.select("cell", "block", "call", "id", "raw").groupBy("cell", "block", "call").cogroup(asked.select("cell", "block", "call", "id", "raw").groupBy("cell", "block", "call"))
+        found = met.applyInArrow(tidy_both(rank), "query_id long, found array<struct<minus:double,vec_id:long>>")
         pairs = found.select("query_id", F.explode("found").alias("hit")).groupBy("query_id", F.col("hit.vec_id").alias("vec_id")).agg(F.min("hit.minus").alias("minus"))
         return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id"))).where(F.col("rank") <= k)
 
@@ -165,17 +225,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "raw"])
 
         def dealt(part: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-            part = part.select("id", "vector").mapInArrow(raw, "id long, raw binary").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)))
-            return part.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+            part = part.select("id", "vector").mapInArrow(tidy_batches(raw), "id long, raw binary").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)))
+            return part.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))).withColumn("call", F.lit(0))
 
         whole = placed(dealt(rows, "cell", deep, "block", wide), dealt(short, "block", wide, "cell", deep))
         near = near.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(whole)
     return near.select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score"))
 
-
-def _only_cells(place):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in place(batches):
-            yield batch.select(["cell"])
-
-    return run

@@ -69,3 +69,45 @@ def test_few_vectors_are_all_found(spark, monkeypatch, block):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, F.lit(True)).collect()}
     assert got == {(q, n): i for q in range(15) for n, i in enumerate(exact(vectors, q, 20)[0], 1)}
+
+
+def test_two_rotations_ask_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MEMBERS", 2)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(400, 64))
+    x = np.repeat(centres, 12, axis=0) + 0.45 * rng.normal(size=(4800, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    second = ann.second_dimensions(len(x), 64)
+    assert second == 10
+    probes = ann.fit_probes(x.astype(np.float64), len(x), 10, ann.TABLES, second, 17)
+    members = ann.buckets(x, 1, ann.TABLES, second, 17)[:, :, 0]
+    asked = ann.buckets(x[::40], probes, ann.TABLES, second, 17)
+    compared = np.mean([np.any([np.isin(members[:, t], asked[q, t]) for t in range(ann.TABLES)], axis=0).mean() for q in range(len(asked))])
+    assert compared < 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 40 == 0, 10).collect()}
+    likeness = x.astype(float) @ x.astype(float).T
+    want = {(q, int(i)) for q in range(0, 4800, 40) for i in [j for j in np.argsort(-likeness[q], kind="stable") if j != q][:10]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+@pytest.mark.parametrize("second", [0, 3, 32])
+def test_buckets_are_the_nearest(second):
+    x = np.random.default_rng(3).normal(size=(40, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = ann.buckets(x, 9, 2, second, 5)
+    assert (found[:, :, 0] == ann.buckets(x, 1, 2, second, 5)[:, :, 0]).all()
+    for t, (one, two) in enumerate(ann._axes(x, 2, second, 5)):
+        near = one if two is None else (one[:, :, None] + two[:, None, :]).reshape(40, -1)
+        assert all(sorted(near[i, found[i, t]], reverse=True) == sorted(near[i], reverse=True)[:9] for i in range(40))
+
+
+def test_a_hot_bucket_goes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "ASKING", 7)
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    x[:300] = x[0] + 0.01 * x[:300]  # half of all vectors in one bucket
+    vectors = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, 5).collect()}
+    hits = sum(got[q, n] == i for q in range(0, 300, 10) for n, i in enumerate(exact(vectors, q, 5)[0], 1))
+    assert hits >= 140 and len(got) == 300
