@@ -39,6 +39,12 @@ def test_decode(spark):
     assert sorted((r.decoded for r in rows), key=repr) == sorted(["a</w> <|endoftext|>", "", None], key=repr)
 
 
+def test_decode_is_what_encode_digests(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS), (900, TEXTS[0]), (901, None)], "doc_id long, text string").repartition(3)
+    rows = bpe.decode(bpe.encode(df, PATH, decoded=True), PATH, out_col="again").collect()
+    assert len(rows) == len(TEXTS) + 2 and all(r.again == r.decoded for r in rows)
+
+
 def test_odd_rows(odd, none):
     got = bpe.encode(odd, PATH).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (0, 1, 2)} == {0}

@@ -148,3 +148,20 @@ def test_shared_passage_is_no_copy(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 60)  # the clump is compared in pairs of blocks
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
+def test_every_pair_of_like_texts_is_found(spark):
+    """Pairs of a similarity from just above to just below the limit, against the exact one."""
+    r = random.Random(12)
+    docs, want = [], set()
+    for k in range(150):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice((40, 120, 400)))]
+        copy = list(words)
+        for at in r.sample(range(len(copy)), max(1, round(len(copy) * r.choice((0.005, 0.01, 0.015, 0.02, 0.03))))):
+            copy[at] = f"new{r.randrange(9999)}"
+        a, b = (set(zip(*(x[i:] for i in range(5)), strict=False)) for x in (words, copy))
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add((2 * k, 2 * k + 1))
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    got = {(x.component_id, x.doc_id) for x in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.component_id != x.doc_id}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60

@@ -113,3 +113,21 @@ def test_convolution_against_loops():
 def test_fit_on_nothing(f):
     model = f([], np.zeros(0))
     assert 0 <= model.scores(*buffer(pa.array(["", "x", None])))[0] <= 1
+
+
+def test_without_labels(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    toxic = toxicity.score(odd, toxicity.train(odd, labels)).collect()
+    assert {(round(r.score, 6), r.predicted) for r in toxic} == {(0.001, 0)}  # nothing is known to be toxic
+    assert toxicity.reject(odd, toxicity.train(odd, labels)).count() == odd.count()
+    good = quality.score(odd, quality.train(odd, labels)).collect()
+    assert {(round(r.score, 6), r.predicted) for r in good} == {(0.5, 1)}
+
+
+def test_one_label_alone():
+    texts = pa.array(["some words here", "", None])
+    for share in (0.0, 1.0):
+        y = np.full(3, share)
+        for f in (toxicity.fit, quality.fit):
+            scores = f(["a b c", "d e f", "g"], y).scores(*buffer(texts))
+            assert np.allclose(scores, min(0.999, max(0.001, share)))
