@@ -413,7 +413,7 @@ def entity_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT lower(p_name) AS key, count(DISTINCT p_partkey) AS cases, arg_min(p_name, p_partkey) AS canonical FROM part GROUP BY 1)
-SELECT key, cases, CASE WHEN key = 'red' THEN 100 WHEN lower(canonical) LIKE '%red%' THEN 50 WHEN key LIKE '%red%' OR 'red' LIKE '%' || key || '%' THEN 30 ELSE 0 END AS score FROM k WHERE lower(canonical) LIKE '%red%' OR 'red' LIKE '%' || key || '%'
+SELECT key, cases, CASE WHEN key = 'red' THEN 100 ELSE 0 END + CASE WHEN lower(canonical) LIKE '%red%' THEN 50 ELSE 0 END + CASE WHEN key LIKE '%red%' OR 'red' LIKE '%' || key || '%' THEN 30 ELSE 0 END AS score FROM k WHERE lower(canonical) LIKE '%red%' OR 'red' LIKE '%' || key || '%'
 ORDER BY score DESC, cases DESC, key LIMIT 20""")
 def entity_resolve(spark: SparkSession, sf: str) -> DataFrame:
     index = lookup.entities(t(spark, sf, "part").withColumn("seq", F.col("p_partkey")), "p_name", "seq", "p_partkey")

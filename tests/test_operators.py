@@ -98,7 +98,7 @@ def test_lookup(spark):
     names = spark.createDataFrame([(1, 'ООО "Ромашка"', "c1"), (2, "Общество с ограниченной ответственностью Ромашка", "c2"), (3, "ООО Ромашка Плюс", "c3")], "seq int, raw string, case string")
     index = lookup.entities(names, "raw", "seq", "case")
     found = lookup.resolve(index, "ООО Ромашка").collect()
-    assert [(r.key, r.score, r.aliases, r.cases) for r in found] == [("ромашка", 100, 2, 2), ("ромашка плюс", 50, 1, 1)]
+    assert [(r.key, r.score, r.aliases, r.cases) for r in found] == [("ромашка", 180, 2, 2), ("ромашка плюс", 50, 1, 1)]  # 100 for the key, 50 and 30 for parts
     assert tuple(lookup.entity_stats(index).first()) == (2, 1)
 
 
