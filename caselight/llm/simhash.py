@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -154,7 +154,7 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: int, least_bytes: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints that meet under a key of their postings (fp, key), one for each fingerprint and task at most.
+    """(a, b): links between distinct fingerprints that meet under a key of their postings (fp, key), connecting what is near; each fingerprint's link with its smallest neighbour, and those between such neighbours.
 
     A key with more than BLOCK fingerprints is compared in pairs of blocks, in different tasks. Which keys these are is
     told from the fingerprints of one hash in SHARE; the links don't depend on it.
@@ -225,7 +225,11 @@ def _meet(prints: DataFrame, postings: Callable[[DataFrame], DataFrame], most: i
             yield joined(found)
 
     kind = "binary" if wide else "long"
-    return dealt.select("fp", "cell").mapInArrow(tidy_batches(run), f"a {kind}, b {kind}").distinct()
+    found = dealt.select("fp", "cell").mapInArrow(tidy_batches(run), f"a {kind}, b {kind}")
+    # Tasks name different roots for one fingerprint. It is linked with the smallest alone, and that with the others, which are few.
+    least = found.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    each = least.select("least", F.explode(F.array("b", "a")).alias("b")).where("b <> least")
+    return each.select(F.col("least").alias("a"), "b").distinct()
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
