@@ -99,7 +99,7 @@ def stem(word: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """A text's words for the index and for its queries, before stop words and stems: lower case, letters, digits and dashes."""
-    return F.split(collapse(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), "[^a-zа-я0-9\\-" + SPACE[1:], " ")), " ")
+    return F.split(F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), "[^a-zа-я0-9\\-]+", " ")), " ")
 
 
 def stops_of(stop_words: list[str] | None) -> list[str]:

@@ -80,6 +80,10 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, repeat_tail: bool = True)
 
 def term_counts(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
     """(id_col, term, tf): how often each row has each term. Words are stemmed as rows, by compiled expressions, not within arrays."""
+    rows = rows.select(id_col, text_col)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in few files: its texts are dealt out, a large one is read in many splits anyway
+        rows = rows.repartition(cores)
     words = rows.select(id_col, F.explode(split_words(F.col(text_col))).alias("word"))
     terms = words.withColumn("term", stem(F.col("word"))).where(counts_as_token(F.col("word"), F.col("term"), stop_words))
     return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
