@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, bpe, decontaminate, html_text, quality, run_length_index, secrets, simhash, suffix_tree, toxicity
+from . import alignment, ann, bpe, decontaminate, html_text, quality, run_length_index, secrets, sentence_pieces, simhash, spelling, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def tokenizer_path() -> str:
-    """Where the tokenizer that the contract names is."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a tokenizer that a contract names is."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "item_id", "score", "first_word", "end_word")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in each document, and how common the linked pairs are in all."""
+    return alignment.linked(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their most frequent near word. Of some occurrences, told by a hash, one letter is dropped first: they are the misspellings."""
+    found = spelling.words(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (h % F.length("word")).cast("int")
+    dropped = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return spelling.group(spelling.vocabulary(found.select(F.when(h % 199 == 0, dropped).otherwise(F.col("word")).alias("word"))))
+
+
+def op13_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's SentencePiece ids and of the text that they decode to."""
+    return sentence_pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -90,6 +109,26 @@ def _spans_sql(kind: str, pattern: str, group: int, least: int, options: str = "
     WHERE length(part[s.i]) >= {least}"""
 
 
+#: The misspellings by a CRC-32 table that is made by its rule; near words by patterns with one place left open, not by neighbours.
+_SPELLING_SQL = """
+WITH RECURSIVE steps AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)),
+each AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs GROUP BY doc_id, w),
+sums AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+  lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295) AS h FROM each, steps),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM sums),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+open AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS pattern, left(word, i) || substr(word, i + 2) AS shorter FROM vocabulary, LATERAL (SELECT unnest(range(0, length(word))) AS i) s),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM open a JOIN open b USING (pattern) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM open a JOIN vocabulary b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM open a JOIN vocabulary b ON a.shorter = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM vocabulary LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON w.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.root FROM ways w JOIN forms f ON w.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     assign = secrets.BASE_RULES[0].pattern.replace("'", "''")
     return {
@@ -110,4 +149,5 @@ words AS (SELECT doc_id, s.i AS i, w[s.i] AS x FROM docs, LATERAL (SELECT unnest
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+        "op12_spelling_variants": _SPELLING_SQL,
     }
