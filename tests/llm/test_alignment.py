@@ -94,7 +94,7 @@ def test_odd_rows(spark, odd, none):
 def test_white_space_that_words_end_with():
     """Every character that is white space to Python keeps the next word attached."""
     for c in map(chr, range(0x110000)):
-        if c.isspace() and c not in "\x1c\x1d\x1e\x1f":
+        if c.isspace() and c not in " \x1c\x1d\x1e\x1f":
             words, _ = alignment._words([f" x{c} y".encode()])
             assert len(words) == 1, hex(ord(c))
 
