@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import tidy_batches
+from .columns import free
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -267,4 +268,4 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*others, out_col])
 
     schema = pages.select(*others, F.lit("").alias(out_col)).schema
-    return pages.select(*others, F.col(html_col).cast("string").alias("__html")).mapInArrow(tidy_batches(run), schema)
+    return pages.select(*others, F.col(html_col).cast("string").alias(free(pages, "html")[0])).mapInArrow(tidy_batches(run), schema)

@@ -14,6 +14,12 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import free
+
+#: Numbers that are summed up by appending; more are summed up in steps.
+STEP = 256
+#: Characters of the pieces that a long text is cut into before parts of it are taken.
+PIECE = 1024
 #: Alternatives that a stretch of an expression may have before it counts as free text.
 MOST_STRINGS = 64
 
@@ -113,25 +119,40 @@ def candidates(docs: DataFrame, key: Column, text: Column, rules: tuple[Rule, ..
     return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), where value is an array that the functions of `then` ask for again and again: it is made once for each row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, add) -> Column:
+    """For each number of an array what `add` makes of 0 and all before it; in time that grows with the array, as only STEP of them are ever appended to."""
+
+    def appended(numbers: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(numbers, start, lambda acc, x: F.struct(add(acc["total"], x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")))
+
+    def whole(numbers: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), ((F.size(numbers) - 1) / STEP).cast("int")), lambda b: appended(F.slice(numbers, b * STEP + 1, F.lit(STEP))))
+        ahead = lambda done: appended(F.transform(done, lambda p: p["total"]))["before"]
+        return _once(pieces, lambda done: F.flatten(F.zip_with(done, ahead(done), lambda p, t: F.transform(p["before"], lambda v: add(t, v)))))
+
+    return F.when(F.size(values) > 0, _once(values, whole)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Places of a rule's matches: the pieces between matches and the matches themselves give them, in code points."""
     pattern = F.lit(rule.java)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    each = F.arrays_zip(F.split(text, rule.java, -1).alias("gap"), matches.alias("match"), groups.alias("part"))
-    kind = "array<struct<start:int,end:int,kind_order:int,kind:string>>"
-    walked = F.aggregate(
-        F.slice(each, F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-            F.when(
-                F.length(x["part"]) >= rule.least,
-                F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind")))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-    )
-    return F.when(F.size(matches) > 0, walked["found"]).otherwise(F.expr(f"cast(array() as {kind})"))
+    long = F.zip_with(matches, groups, lambda m, g: F.struct(F.length(m).alias("size"), (F.length(g) >= rule.least).alias("fits")))
+    each = F.zip_with(F.split(text, rule.java, -1), long, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["size"].alias("size"), m["fits"].alias("fits")))
+
+    def placed(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        spans = F.zip_with(found, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), x["fits"].alias("fits")))
+        return F.transform(F.filter(spans, lambda x: x["fits"]), lambda x: x.dropFields("fits"))
+
+    return _once(F.filter(each, lambda x: x["size"].isNotNull()), placed)  # the piece behind the last match has none
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES, out_col: str = "secrets") -> DataFrame:
@@ -145,27 +166,35 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"there is a column {out_col} already")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(F.col(id_col), F.col(text_col))  # texts that clash share their candidates, which are verified anyway
-    found = candidates(docs, key, text, rules).select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-    joined = docs.withColumn("__key", key).join(found.hint("shuffle_hash"), "__key", "left")
+    own, matching = free(docs, "key", "rules")
+    found = candidates(docs, key, text, rules).select(F.col("key").alias(own), F.col("rules").alias(matching))
+    joined = docs.withColumn(own, key).join(found.hint("shuffle_hash"), own, "left")
     spans = []
     for r, rule in enumerate(rules):
         here = _spans(text, rule, r)
-        spans.append(F.when(F.array_contains("__rules", r), here).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind_order:int,kind:string>>)")) if trigram_query(rule) else here)
-    return joined.withColumn(out_col, F.array_sort(F.concat(*spans))).drop("__key", "__rules")
+        spans.append(F.when(F.array_contains(matching, r), here).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind_order:int,kind:string>>)")) if trigram_query(rule) else here)
+    return joined.withColumn(out_col, F.array_sort(F.concat(*spans))).drop(own, matching)
 
 
 def redact(docs: DataFrame, text_col: str = "text", secrets_col: str = "secrets", mark: str = "[secret]") -> DataFrame:
-    """docs with each secret in text_col (overlapping ones as one) replaced by the mark; a null text stays null."""
+    """docs with each secret in text_col (overlapping ones as one) replaced by the mark; a null text stays null. Secrets are in the order of their starts."""
     text = F.col(text_col)
-    walked = F.aggregate(
-        F.col(secrets_col),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    changed = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        a, b = (start / PIECE).cast("int"), (end / PIECE).cast("int")
+        piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        within = F.substring(piece(a), start - a * PIECE + 1, end - start)
+        across = F.concat(F.substring(piece(a), start - a * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, a + 2, b - a - 1), ""), F.substring(piece(b), F.lit(1), end - b * PIECE))
+        return F.when(a == b, within).otherwise(across)
+
+    def masked(pieces: Column) -> Column:
+        ends = F.transform(secrets_col, lambda x: x["end"])
+        # A secret that begins behind all before it begins a stretch; the text from where those end to here is kept.
+        opens = F.filter(F.zip_with(F.col(secrets_col), running(ends, F.greatest), lambda x, to: F.struct(to.alias("from"), x["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+        kept = F.transform(opens, lambda g: part(pieces, g["from"], g["to"]))
+        return F.concat(F.array_join(F.transform(kept, lambda k: F.concat(k, F.lit(mark))), ""), part(pieces, F.array_max(ends), F.length(text)))
+
+    changed = _once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), masked)
     return docs.withColumn(text_col, F.when(F.size(secrets_col) > 0, changed).otherwise(text))
 
 

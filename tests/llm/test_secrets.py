@@ -1,6 +1,9 @@
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselight.llm import secrets
 
@@ -67,3 +70,44 @@ def test_long_text_with_many_secrets(spark):
     text = "token=abcdef " * 1500
     (row,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [tuple(s)[:2] for s in row.secrets] == [(13 * i, 13 * i + 12) for i in range(1500)]
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 700])
+def test_running_sums(spark, n):
+    values = [(7 * i) % 11 for i in range(n)]
+    row = spark.createDataFrame([(values, [])], "x array<int>, none array<int>").select(
+        secrets.running(F.col("x"), lambda a, b: a + b).alias("sums"), secrets.running(F.col("x"), F.greatest).alias("tops"), secrets.running(F.col("none"), F.greatest).alias("none")
+    ).first()
+    assert row.sums == [sum(values[:i]) for i in range(n)] and row.tops == [max([0, *values[:i]]) for i in range(n)] and row.none == []
+
+
+def test_redaction_of_overlapping_spans(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(40):
+        text = "".join(r.choice("aé日 \n") for _ in range(r.choice((1, 30, 3000))))
+        starts = sorted(r.randrange(len(text)) for _ in range(r.choice((1, 3, 400))))
+        rows.append((i, text, [(s, min(len(text), s + r.choice((1, 2, 9, 1500))), 0, "x") for s in starts]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, secrets array<struct<start:int,end:int,kind_order:int,kind:string>>")
+    got = {x.doc_id: x.text for x in secrets.redact(df, mark="#").collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for s, e, *_ in spans:
+            if s >= at:
+                out += text[at:s] + "#"
+            at = max(at, e)
+        assert got[i] == out + text[at:]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "k", 5)], "doc_id long, text string, KEY string, rules int")
+    row = secrets.scan_secrets(df).first()
+    assert (row.KEY, row.rules, len(row.secrets)) == ("k", 5, 1)
+
+
+def test_time_grows_with_the_secrets(spark):
+    df = spark.createDataFrame([(1, "é " + " ".join(f"token=ab{i:07d}" for i in range(50_000)))], "doc_id long, text string")
+    began = time.monotonic()
+    row = secrets.redact(secrets.scan_secrets(df)).first()
+    assert len(row.secrets) == 50_000 and row.text == "é " + " ".join(["[secret]"] * 50_000)
+    assert time.monotonic() - began < 60
