@@ -180,8 +180,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         ids = queries.column("id").to_numpy()
         if not members.num_rows or not len(ids):
             return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())])))})
-        own = members.column("id").to_numpy()
-        x = np.frombuffer(b"".join(members.column("raw").to_pylist()), number).reshape(len(own), size).astype(np.float64)
+        # Rows of one id count as one, so that an id that stands often doesn't take the places of others: by id, equal rows once.
+        own, raw = members.column("id").to_numpy(), members.column("raw").to_pylist()
+        order = np.argsort(own, kind="stable")
+        if (np.diff(own[order]) == 0).any():
+            order = np.array(list({(own[i], raw[i]): i for i in order}.values()))
+        own, raw = own[order], [raw[i] for i in order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(own)]))
+        x = np.frombuffer(b"".join(raw), number).reshape(len(own), size).astype(np.float64)
         q = np.frombuffer(b"".join(queries.column("raw").to_pylist()), number).reshape(len(ids), size).astype(np.float64)
         lists, names = [], []
         step = max(1, 8_000_000 // len(own))
@@ -189,13 +196,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             mine = ids[a : a + step]
             s = q[a : a + step] @ x.T
             s[mine[:, None] == own[None, :]] = -np.inf
-            least = np.partition(s, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else np.full((len(mine), 1), -np.inf)
+            best = s if len(first) == len(own) else np.maximum.reduceat(s, first, axis=1)
+            least = np.partition(best, len(first) - k, axis=1)[:, len(first) - k, None] if len(first) > k else np.full((len(mine), 1), -np.inf)
             # Rounding differs between blocks: what is near the last place is computed again, pair by pair, in one fixed order.
             slack = np.where(np.isfinite(least), 1e-9 * (1 + np.abs(least)), 0)
-            r, c = np.nonzero((s >= least - slack) & (s > -np.inf))
+            taken = (s >= least - slack) & (s > -np.inf)
+            if best is not s:  # of an id's rows those that may be its best
+                taken &= s >= (best - 1e-9 * (1 + np.abs(np.where(np.isfinite(best), best, 0))))[:, group]
+            r, c = np.nonzero(taken)
             exact = np.empty(len(r))
             for b in range(0, len(r), 200_000):
                 exact[b : b + 200_000] = (q[a + r[b : b + 200_000]] * x[c[b : b + 200_000]]).sum(axis=1)
+            if best is not s:
+                order = np.lexsort((-exact, own[c], r))
+                r, c, exact = r[order], c[order], exact[order]
+                once = np.r_[True, (r[1:] != r[:-1]) | (own[c][1:] != own[c][:-1])][: len(r)]
+                r, c, exact = r[once], c[once], exact[once]
             order = np.lexsort((own[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]
             begin = np.searchsorted(r, np.arange(len(mine) + 1))

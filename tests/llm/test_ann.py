@@ -111,3 +111,23 @@ def test_a_hot_bucket_goes_in_blocks(spark, monkeypatch):
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, 5).collect()}
     hits = sum(got[q, n] == i for q in range(0, 300, 10) for n, i in enumerate(exact(vectors, q, 5)[0], 1))
     assert hits >= 140 and len(got) == 300
+
+
+@pytest.mark.parametrize("block", [40_000, 50])
+def test_an_id_that_stands_often(spark, monkeypatch, block):
+    """Equal and different rows of one id are one neighbour, with the best of their scores; they take no other's place."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    near = [(i, (centre + 0.05 * rng.normal(size=16)).tolist()) for i in range(1, 61)]
+    often = [(500, (centre * 1.5 + 0.01 * rng.normal(size=16) * (j % 7)).tolist()) for j in range(60)] + [(501, (centre * 1.2).tolist())] * 60
+    df = spark.createDataFrame([(0, centre.tolist()), *near, *often, (0, (-centre).tolist())], "vec_id long, embedding array<double>")
+    best = {}
+    for q in (centre, -centre):
+        for i, v in [*near, *often]:
+            best[i] = max(best.get(i, -np.inf), float(np.dot(q, v)))
+    want = sorted(best, key=lambda i: (-best[i], i))[:20]
+    got = ann.nearest(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 21)) and len({r.vec_id for r in got}) == 20
+    assert len({r.vec_id for r in got} & set(want)) >= 18 and {500, 501} <= {r.vec_id for r in got}
+    assert all(abs(r.score - best[r.vec_id]) < 1e-9 for r in got)
