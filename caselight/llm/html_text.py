@@ -2,10 +2,12 @@
 
 The first pass decides blocks by themselves: by the elements that hold them, by length, by the share of characters in
 links and by the share of stop words. The second lets short and near-decided blocks take the label of their nearest
-decided neighbours. Inside an article element its edges count as good neighbours, outside the page's edges as bad ones.
-Names in class and id are evidence only: one on an element that holds the article or nearly all text says nothing, and
-within an article layout names need the consent of length and stop words. Pages in a language without a stop list are
-decided by length and links.
+decided neighbours. Inside an article element its edges count as good neighbours; outside the page's edges count as
+none: there a short heading or paragraph follows its only neighbour, and a heading goes with what comes after it. Where no
+block is good by itself the nearly good ones are. Names in class and id are evidence only: one on an element that holds the
+article or nearly all text says nothing, as a form around the page doesn't, and within an article layout names, and names
+with words that no layout has, need the consent of length and stop words. Pages in a language without a stop list are
+decided by length and links. Ideographs, which stand for whole words, count as LETTERS characters each.
 """
 
 from __future__ import annotations
@@ -50,16 +52,26 @@ STRONG = frozenset(
 )
 WEAK = frozenset("header masthead sidebar side widget widgets footer notice alert banner overlay tags disclaimer copyright topbar toolbar".split())
 NEGATED = frozenset("has have with without no not non is hide show enable enabled".split())
+#: Words that stand beside a strong one in names of layouts.
+LAYOUT = frozenset(
+    "a all area articles aside bar block body bottom bottoms box button buttons center col column columns container content count desktop fixed float footer form google grid group head header holder icon icons id inline inner item items label large "
+    "left link links list lists main mobile module nav next news outer overlay panel placeholder post posts prev primary right row secondary section site slot small social space stories story sticky tab tabs text thread title titles top topics unit units view widget widgets wrap wrapper zone".split()
+)
 OF_ARTICLE = frozenset("article entry post story content main body".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
 
+#: Ideographs, kana and hangul, and the characters of a Latin text that one of them counts as.
+_IDEOGRAPHS, LETTERS = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]"), 3
+#: A short block with one of these belongs to the page.
+_OF_PAGE = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+
 #: Lengths in characters, shares of link characters and of stop words that decide a block.
 SHORT, LONG = 70, 200
 MOST_LINKS, FEW_STOPS, MANY_STOPS = 0.2, 0.2, 0.28
 #: A page with a smaller share of stop words is in a language without a list: length and links alone decide.
 KNOWN = 0.15
 #: A marked element with so much of the page's or its article's longer text is a layout's wrapper: strong and weak marks.
-WRAPS = {"strong": 0.9, "weak": 0.5}
+WRAPS = {"form": 0.9, "strong": 0.9, "weak": 0.5}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -71,13 +83,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block(NamedTuple):
-    """A run of text: share of its characters in links; whether an element outside the article holds it; the number of its article element (0: none); whether a weak mark within the article puts it in doubt."""
+    """A run of text: share of its characters in links; whether an element outside the article holds it; the number of its article element (0: none); whether a weak mark within the article puts it in doubt; the element whose text it is."""
 
     text: str
     links: float
     outside: bool
     article: int
     doubtful: bool = False
+    element: str = ""
+
+
+def size(text: str) -> int:
+    """Characters, ideographs as LETTERS each."""
+    return len(text) + (LETTERS - 1) * len(_IDEOGRAPHS.findall(text))
 
 
 def mark(value: str) -> str | None:
@@ -88,7 +106,10 @@ def mark(value: str) -> str | None:
         if not parts or parts[0] in NEGATED:
             continue
         if STRONG.intersection(parts):
-            return "strong"
+            if all(p in STRONG or p in LAYOUT or p in WEAK or p.isdigit() or len(p) == 1 for p in parts):
+                return "strong"
+            found = "weak"
+            continue
         weak = WEAK.intersection(parts)
         if weak and not OF_ARTICLE.intersection(parts) and not (weak == {"side"} and len(parts) > 2):
             found = "weak"
@@ -97,9 +118,9 @@ def mark(value: str) -> str | None:
 
 def _look(name: str, attributes: str, in_article: bool) -> tuple[bool, str | None]:
     """Whether an element is outside the article by itself, and the mark of its names."""
-    if name in OUTSIDE or (name == "header" and not in_article):
+    if (name in OUTSIDE and (name != "form" or in_article)) or (name == "header" and not in_article):
         return True, None
-    found = None
+    found = "form" if name == "form" else None  # around nearly all text, or the article, it is a page's wrapper
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1] is None:
             return True, None
@@ -114,25 +135,25 @@ def _look(name: str, attributes: str, in_article: bool) -> tuple[bool, str | Non
             if value.strip().lower() in ROLES:
                 return True, None
         else:
-            found = {mark(value), found} & {"strong"} and "strong" or mark(value) or found
+            found = "strong" if "strong" in (found, mark(value)) else found if found == "form" else mark(value) or found
     return False, found
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
-    out: list[tuple[str, float, bool, int, tuple[int, ...]]] = []
+    out: list[tuple[str, float, bool, int, tuple[int, ...], str]] = []
     held: list[tuple[str, bool, int, tuple[int, ...]]] = []  # open elements that matter: name, outside, article, marked elements around
     marked: list[tuple[str, int, bool]] = []  # kind of each marked element, its article, whether it holds an article element
     text: list[str] = []
     linked, links, articles = 0, 0, 0
-    outside, article, marks = False, 0, ()
+    outside, article, marks, element = False, 0, (), ""
 
     def close() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, min(1.0, linked / len(whole)), outside, article, marks))
+                out.append((whole, min(1.0, linked / len(whole)), outside, article, marks, element))
             text.clear()
         linked = 0
 
@@ -156,6 +177,7 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCKS or name in OUTSIDE:
             close()
             links = 0
+            element = "" if m["end"] else name
             if name in HELD:
                 if m["end"]:
                     for k in range(len(held) - 1, -1, -1):
@@ -181,17 +203,17 @@ def blocks(page: str) -> list[Block]:
     # How much of the longer text of the page, or of the article around it, a marked element holds.
     whole: dict[int, int] = {}
     mine = [0] * len(marked)
-    for body, share, out_, number, around in out:
-        if not out_ and share <= MOST_LINKS and len(body) >= SHORT:
+    for body, share, out_, number, around, _ in out:
+        if not out_ and share <= MOST_LINKS and size(body) >= SHORT:
             for scope in {0, number}:
                 whole[scope] = whole.get(scope, 0) + len(body)
             for k in around:
                 mine[k] += len(body)
-    counts = [not holds and mine[k] <= WRAPS[kind] * whole.get(scope, 0) for k, (kind, scope, holds) in enumerate(marked)]
+    counts = [not holds and (kind == "form" and articles > 0 or mine[k] <= WRAPS[kind] * whole.get(scope, 0)) for k, (kind, scope, holds) in enumerate(marked)]
     made = []
-    for body, share, out_, number, around in out:
+    for body, share, out_, number, around, tag in out:
         kinds = {(marked[k][0], marked[k][1] > 0) for k in around if counts[k]}
-        made.append(Block(body, share, out_ or bool(kinds - {("weak", True)}), number, ("weak", True) in kinds))
+        made.append(Block(body, share, out_ or bool(kinds - {("weak", True)}), number, ("weak", True) in kinds, tag))
     return made
 
 
@@ -199,49 +221,63 @@ def labels(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     good, bad, short, near = "good", "bad", "short", "near"
     found = [Block(*b) for b in found]
+    sizes = [size(b.text) for b in found]
     stops, words = [], []
     for b in found:
         w = _WORD.findall(b.text.lower())
         words.append(len(w))
         stops.append(sum(x in STOP_WORDS for x in w))
-    asked = [i for i, b in enumerate(found) if not b.outside and len(b.text) >= SHORT and b.links <= MOST_LINKS]
+    asked = [i for i, b in enumerate(found) if not b.outside and sizes[i] >= SHORT and b.links <= MOST_LINKS]
     known = sum(stops[i] for i in asked) >= KNOWN * max(1, sum(words[i] for i in asked))
     first = []
-    for b, s, w in zip(found, stops, words, strict=True):
+    for b, s, w, long in zip(found, stops, words, sizes, strict=True):
         share = s / max(1, w) if known else MANY_STOPS
         if b.outside:
             first.append(bad)
         elif b.links > MOST_LINKS:
             first.append(short if b.article and b.links < 0.5 and not b.doubtful else bad)
-        elif b.doubtful and (len(b.text) <= LONG or share < MANY_STOPS):
+        elif b.doubtful and (long <= LONG or share < MANY_STOPS):
             first.append(bad)
-        elif len(b.text) < SHORT:
+        elif long < SHORT:
             first.append(short)
         elif share >= MANY_STOPS:
-            first.append(good if len(b.text) > LONG or b.article else near)
+            first.append(good if long > LONG or b.article else near)
         elif share >= FEW_STOPS or b.article:
             first.append(near)
         else:
             first.append(bad)
-    # Nearest decided neighbours: those before and after within the same article, or else its edges.
+    if good not in first and not any(b.article for b in found):
+        first = [good if x == near else x for x in first]
+    # Nearest decided neighbours: those before and after within the same article, or else its edges; None at the page's.
     n = len(found)
-    before, after = [bad] * n, [bad] * n
+    before: list[str | None] = [None] * n
+    after: list[str | None] = [None] * n
     for ahead, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last, where = bad, 0
+        last, where = None, 0
         for i in order:
             if found[i].article != where:
+                last = good if found[i].article else bad
                 where = found[i].article
-                last = good if where else bad
             ahead[i] = last
             if first[i] in (good, bad):
                 last = first[i]
     result = []
-    for i in range(n):
+    for i, b in enumerate(found):
         label = first[i]
-        if label == short:
-            label = before[i] if before[i] == after[i] else (good if found[i].article else bad)
+        heading = len(b.element) == 2 and b.element[0] == "h" and b.element != "hr"
+        if label == short and b.article:
+            label = bad if before[i] == after[i] == bad else good
+        elif label == short:
+            if before[i] == after[i] == good:
+                label = good
+            elif after[i] == good:
+                label = good if heading or (before[i] is None and b.element == "p") else bad
+            elif before[i] == good:
+                label = good if b.element in ("p", "blockquote", "pre") and after[i] is None and not _OF_PAGE.search(b.text) else bad
+            else:
+                label = bad
         elif label == near:
-            label = bad if before[i] == after[i] == bad and not found[i].article else good
+            label = good if b.article or good in (before[i], after[i]) else bad
         result.append(label == good)
     return result
 

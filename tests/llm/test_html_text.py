@@ -30,6 +30,20 @@ FINNISH = "Vanha talo seisoo joen rannalla ja kaupungin asukkaat rakensivat sen
         # Names that do.
         (f"<article><p>{PROSE}</p><div class='ad-box'>{PROSE}</div><div class='relatedPosts'>{PROSE}</div><div class='article widget'><p>Newest</p></div><p>{PROSE}</p></article>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
         (f"<div role=banner>{PROSE}</div><p>{PROSE}</p><p>{PROSE}</p><div class='notice'>{PROSE}</div><section id='comment-list'><p>{PROSE}</p></section>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        # A form around the page, and one on it.
+        (f"<body><form id='aspnetForm'><div class='menu'><a href=1>Home</a></div><p>{PROSE}</p><p>{PROSE}</p></form>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<form action=x><article><h1>T</h1><p>{PROSE}</p></article></form>", f"T\n\n{PROSE.strip()}"),
+        (f"<p>{PROSE}</p><p>{PROSE}</p><form><label>Your name</label><p>Subscribe to the letters of the town and of the house by the river, as it was.</p></form>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        # Edges of a page without an article element.
+        (f"<h1>The house</h1><p>{PROSE}</p><h2>Later</h2><p>{PROSE}</p><p>The end.</p>", f"The house\n\n{PROSE.strip()}\n\nLater\n\n{PROSE.strip()}\n\nThe end."),
+        (f"<div>Site of the town</div><ul><li><a href=1>Home</a></ul><h1>The house</h1><p>{PROSE}</p><p>The end.</p><div>© 2020 Town</div>", f"The house\n\n{PROSE.strip()}\n\nThe end."),
+        (f"<h1>The house</h1><p>{PROSE}</p><p>© 2020 Town. All rights reserved.</p>", f"The house\n\n{PROSE.strip()}"),
+        (f"<h1>The house</h1><p>{PROSE}</p><h3>Related</h3><ul><li><a href=1>Other</a><li><a href=2>More</a></ul>", f"The house\n\n{PROSE.strip()}"),
+        # Short paragraphs in scripts without spaces, and pages with a single paragraph.
+        ("<ul><li><a href=1>首页</a></ul><h1>河边的房子</h1><p>这座老房子坐落在河边，是很久以前由镇上的居民为自己建造的，如今依然有人居住。</p><p>后来它被卖给了一个来自远方的家庭，他们在那里住了很多年，直到孩子们长大离开。</p>", "河边的房子\n\n这座老房子坐落在河边，是很久以前由镇上的居民为自己建造的，如今依然有人居住。\n\n后来它被卖给了一个来自远方的家庭，他们在那里住了很多年，直到孩子们长大离开。"),
+        ("<div><a href=1>Главная</a></div><p>Старый дом стоит на берегу реки, его построили жители города много лет назад.</p><div><a href=2>Ещё</a></div>", "Старый дом стоит на берегу реки, его построили жители города много лет назад."),
+        # Strong words in names that no layout has.
+        (f"<article><p>{PROSE}</p><section class='related-work'><p>{PROSE}</p></section><div class='social-policy'><p>{PROSE}</p></div><div class='social-links'><p>{PROSE}</p></div></article>", "\n\n".join([PROSE.strip()] * 3)),
         # A language without a list of stop words.
         (f"<ul><li><a href=1>Etusivu</a><li><a href=2>Haku</a></ul><p>{FINNISH}</p><p>Loppu.</p><p>{FINNISH}</p><div><a href=3>Lue</a> <a href=4>lisää</a></div>", f"{FINNISH.strip()}\n\nLoppu.\n\n{FINNISH.strip()}"),
     ],
