@@ -31,7 +31,7 @@ from .words import blocks, buffer
 #: Fixed value: how byte-level tokenizers of this kind split a text before they merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text bytes whose distinct words are aligned together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 #: Pairs of ids whose counts are sent to all executors: the most frequent ones. Those of all others are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -187,10 +187,10 @@ def align(tokens: DataFrame, b_bits: int) -> DataFrame:
     merged = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("ends", F.sort_array(F.concat(end_a, end_b)))
 
     def walk(end: Column, k: Column) -> Column:
-        i = end.bitwiseAND(mask).cast("int")
+        i = end.bitwiseAND(mask)
         closes = F.shiftright(F.get(F.col("ends"), k - 1), 32) == F.shiftright(end, 32)  # a shared end comes twice: A's makes the link, B's the group
         pair = lambda a, b: F.shiftleft(F.get(F.col("a_ids"), a).cast("long"), b_bits) + F.get(F.col("b_ids"), b)
-        return F.when(end.bitwiseAND(F.lit(1 << 31)) == 0, pair(i, k - i)).when(closes, F.lit(-1) - F.shiftleft((k - i - 1).cast("long"), 31) - i).otherwise(pair(k - i, i))
+        return F.when(end.bitwiseAND(F.lit(1 << 31)) == 0, pair(i, k - i)).when(closes, F.lit(-1) - F.shiftleft(k - i - 1, 31) - i).otherwise(pair(k - i, i))
 
     walked = merged.withColumn("walked", F.transform("ends", walk)).drop("ends")
     # The last tokens of each group, and how many groups end with each word or before.
@@ -202,16 +202,18 @@ def align(tokens: DataFrame, b_bits: int) -> DataFrame:
         F.transform("last", lambda x: F.shiftright(-(x + 1), 31).cast("int")).alias("last_a"), F.transform("last", lambda x: (-(x + 1)).bitwiseAND(mask).cast("int")).alias("last_b"),
         F.col("a_ids").cast("array<string>").alias("a_text"), F.col("b_ids").cast("array<string>").alias("b_text"),
     )
-    ahead = lambda c, g: F.coalesce(F.get(F.col(c), g - 1), F.lit(-1))
 
     def side(text: str, before: Column, to: Column) -> Column:
         return F.when(to - before == 1, F.get(F.col(text), to)).otherwise(F.array_join(F.slice(F.col(text), before + 2, to - before), ","))
 
-    group = F.transform("last_a", lambda to, g: F.concat(side("a_text", ahead("last_a", g), to), F.lit("|"), side("b_text", ahead("last_b", g), F.get(F.col("last_b"), g))))
+    def group(a: Column, b: Column) -> Column:  # the last tokens of all groups, behind -1
+        return F.zip_with(F.transform("last_a", lambda to, g: side("a_text", F.get(a, g), to)), F.transform("last_b", lambda to, g: side("b_text", F.get(b, g), to)), lambda x, y: F.concat(x, F.lit("|"), y))
+
+    groups = _once(F.concat(F.array(F.lit(-1)), "last_a"), lambda a: _once(F.concat(F.array(F.lit(-1)), "last_b"), lambda b: group(a, b)))
     before = lambda c, k: F.coalesce(F.get(F.col(c), k - 1), F.lit(0))
     by_word = told.select(
         "docs", "links", "groups_to",
-        _once(group, lambda group: F.transform("groups_to", lambda to, k: F.array_join(F.slice(group, before("groups_to", k) + 1, to - before("groups_to", k)), ";"))).alias("word_text"),
+        _once(groups, lambda group: F.transform("groups_to", lambda to, k: F.array_join(F.slice(group, before("groups_to", k) + 1, to - before("groups_to", k)), ";"))).alias("word_text"),
         F.transform("groups_to", lambda to: F.get(F.col("last_a"), to - 1) + F.get(F.col("last_b"), to - 1) + 2 - to).alias("links_to"),
     )
     word_links = _once(F.col("links"), lambda links: F.transform("links_to", lambda to, k: F.slice(links, before("links_to", k) + 1, to - before("links_to", k))))
