@@ -12,7 +12,7 @@ from ..operators import catalog, dashboard, fulltext, lookup, merge, people, pro
 from ..operators.catalog import ListRequest
 from ..session import folder
 from ..sources import pages
-from ..sources.catalog import read_version
+from ..sources.store import Store
 from ..streaming import ingest
 from . import case_table as ct
 from .case_table import CASES, FROM, C, K
@@ -475,11 +475,17 @@ def case_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream, upserted into a versioned store; then the store's newest version."""
-    schema, root = t(spark, sf, "events").schema, folder(spark, "stream-upsert")
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_type")
-    ingest.run_upserts(stream, f"{root}/store", f"{root}/checkpoint", "user_id", ["seq", "event_type"], "seq").awaitTermination()
-    return read_version(spark, f"{root}/store").select("user_id", F.col("seq.ts").alias("ts"), "event_type", F.col("seq.event_id").alias("event_id"))
+    """The events as a stream of several late batches, upserted into a versioned store; then the store's newest version.
+
+    The events are written as four parts first, dealt by id, so that each batch has rows older than those before.
+    """
+    root = folder(spark, "stream-upsert")
+    events = t(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_type", "event_id")
+    for part in (3, 1, 2, 0):
+        events.where(F.pmod("event_id", F.lit(4)) == part).write.mode("append").parquet(f"{root}/in")
+    store = Store(spark, f"{root}/store", "user_id", ("event_type", "event_id"), "seq")
+    ingest.run_upserts(ingest.files(spark, f"{root}/in", events.schema), store, f"{root}/checkpoint").awaitTermination()
+    return store.read().select("user_id", F.col("seq.ts").alias("ts"), "event_type", "event_id")
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")

@@ -5,6 +5,7 @@ from caselight.functions import names
 from caselight.operators import catalog, dashboard, fulltext, lookup, merge, people, professionals, search
 from caselight.operators.catalog import ListRequest
 from caselight.sources import catalog as store
+from caselight.sources.store import Store
 from caselight.streaming import ingest
 
 from .test_operators import small_catalogue
@@ -66,19 +67,32 @@ def test_flags_and_index_changes(spark, tmp_path):
     docs = spark.createDataFrame([("u1", "x" * 200), ("u3", "слово " * 40), ("u4", "short")], "id string, text string")
     assert sorted({r.id for r in fulltext.reindex(docs, chunks, "id", "text").collect()}) == ["u1", "u2", "u3"]
     root = str(tmp_path / "store")
-    store.write_version(c, root, 3, batches={"q": 7})
-    assert store.batches_done(spark, root) == {"q": 7} and store.changed_since(spark, root, 3) is None and store.changed_since(spark, root, 2).count() == 4
+    store.write_version(c, root, 3)
+    assert store.changed_since(spark, root, 3) is None and store.changed_since(spark, root, 2).count() == 4
     jobs = spark.createDataFrame([("a", "2024-01-02 00:00:00", None), ("b", "2024-01-01 00:00:00", "2024-01-02 06:00:00"), ("c", "2024-01-01 00:00:00", None)], "job string, created string, finished string").select("job", F.col("created").cast("timestamp").alias("created"), F.col("finished").cast("timestamp").alias("finished"))
     assert sorted(r.job for r in ingest.live(jobs, F.lit("2024-01-02 12:00:00").cast("timestamp")).collect()) == ["a", "b"]
 
 
 def test_new_query_over_an_old_store(spark, tmp_path):
-    root = str(tmp_path / "store")
+    kept = Store(spark, str(tmp_path / "store"), "k", ("name",), "seq")
     rows = lambda *x: spark.createDataFrame(list(x), "k string, name string, seq int")
-    ingest.upsert_batches(root, "k", ["name", "seq"], "seq", "first")(rows(("a", "x", 1)), 40)
-    ingest.upsert_batches(root, "k", ["name", "seq"], "seq", "second")(rows(("b", "y", 1)), 0)  # its own first batch counts
-    ingest.upsert_batches(root, "k", ["name", "seq"], "seq", "second")(rows(("b", "z", 9)), 0)  # the same batch again doesn't
-    assert {tuple(r) for r in store.read_version(spark, root).select("k", "name").collect()} == {("a", "x"), ("b", "y")}
+    ingest.upsert_batches(kept, "first")(rows(("a", "x", 1)), 40)
+    ingest.upsert_batches(kept, "second")(rows(("b", "y", 1)), 0)  # its own first batch counts
+    ingest.upsert_batches(kept, "second")(rows(("b", "z", 9)), 0)  # the same batch again doesn't
+    assert {tuple(r) for r in kept.read().select("k", "name").collect()} == {("a", "x"), ("b", "y")}
+
+
+def test_json_that_other_programs_read(spark, tmp_path):
+    import json
+
+    c = small_catalogue(spark).repartition(2)
+    store.write_json(c, str(tmp_path / "json"))
+    found = [json.loads(p.read_text()) for p in (tmp_path / "json").glob("part-*")]
+    assert all(d["version"] == 1 for d in found)
+    cases = {k: v for d in found for k, v in d["cases"].items()}
+    assert sorted(cases) == sorted(r.id for r in c.collect()) and all(v["id"] == k for k, v in cases.items())
+    again = store.read_json(spark, str(tmp_path / "json"))
+    assert sorted(again.select("id", "caseNumber", "category").collect()) == sorted(c.select("id", "caseNumber", "category").collect())
 
 
 def test_cards_of_profiles(spark):

@@ -1,3 +1,6 @@
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from caselight.operators import cases, catalog, fulltext, lookup, merge, people, schedule, timeline
@@ -141,6 +144,12 @@ def test_store(spark, tmp_path):
     store.write_version(c, root, 1)
     store.write_version(c.limit(1), root, 2)
     assert store.read_version(spark, root).count() == 1 and store.read_version(spark, root, 1).count() == 4
+    with pytest.raises(FileExistsError):
+        store.write_version(c, root, 2)
+    assert store.read_version(spark, root).count() == 1
+    shutil.rmtree(tmp_path / "store" / "log")
+    with pytest.raises(RuntimeError):
+        store.current_version(spark, root)
     (tmp_path / "c.json").write_text('{"version": 1, "cases": {"a": {"id": "a", "caseNumber": "2-1", "events": [{"name": "x"}]}}}')
     row = store.read_json(spark, str(tmp_path / "c.json")).first()
     assert (row.id, row.documents, row.events[0].name) == ("a", [], "x")
