@@ -10,6 +10,7 @@ from ..functions.text import ENDINGS, STOP_WORDS
 from ..operators import cases as reports
 from ..operators import catalog, dashboard, fulltext, lookup, merge, people, professionals, search, timeline
 from ..operators.catalog import ListRequest
+from ..operators.text_index import TextIndex
 from ..session import folder
 from ..sources import pages
 from ..sources.store import Store
@@ -522,10 +523,10 @@ def _cyrillic(spark: SparkSession, sf: str) -> DataFrame:
 _STEM = rf"CASE WHEN regexp_matches(w, '[а-яё]$') THEN regexp_replace(w, '^(.{{4,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})$', '\1') ELSE w END"
 
 
-def _tokens_sql() -> str:
+def _tokens_sql(documents: str = "documents") -> str:
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     words = rf"unnest(string_split(trim(regexp_replace(regexp_replace(translate(translate(lower(coalesce(text, '')), '{_LATIN}', '{_CYRILLIC}'), 'ё', 'е'), '[^a-zа-я0-9\s-]', ' ', 'g'), '\s+', ' ', 'g')), ' '))"
-    return f"""s0 AS (SELECT unnest([{stops}]) AS w), w0 AS (SELECT doc_id, {words} AS w FROM documents), w1 AS (SELECT doc_id, {_STEM} AS term FROM w0 WHERE length(w) >= 2 AND w NOT IN (SELECT w FROM s0)),
+    return f"""s0 AS (SELECT unnest([{stops}]) AS w), w0 AS (SELECT doc_id, {words} AS w FROM {documents}), w1 AS (SELECT doc_id, {_STEM} AS term FROM w0 WHERE length(w) >= 2 AND w NOT IN (SELECT w FROM s0)),
 c AS (SELECT doc_id, term, count(*) AS tf FROM w1 WHERE term <> '' AND term NOT IN (SELECT w FROM s0) GROUP BY ALL), d AS (SELECT doc_id, CAST(sum(tf) AS INTEGER) AS size FROM c GROUP BY 1 HAVING sum(tf) >= 5), i AS (SELECT c.*, size FROM c JOIN d USING (doc_id))"""
 
 
@@ -544,3 +545,26 @@ def stored_index_search(spark: SparkSession, sf: str) -> DataFrame:
     """A search of a stored index: built once, written, and read by the query's terms."""
     index = fulltext.store_index(_cyrillic(spark, sf), "doc_id", "text", folder(spark, "index"))
     return fulltext.search(index, "doc_id", _script("secret license license"), 10)
+
+
+@query(f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' license secret' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7), {_tokens_sql("changed")}, q AS (SELECT unnest(['{_script("secret")}', '{_script("license")}', '{_script("license")}']) AS w), qt AS (SELECT {_STEM} AS term, count(*) AS qtf FROM q GROUP BY 1), k AS (SELECT count(*) AS n, avg(size) AS a FROM d), df AS (SELECT term, count(*) AS df FROM i JOIN qt USING (term) GROUP BY 1),
+r AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / a)) * qtf), 4) AS score FROM i JOIN qt USING (term) JOIN df USING (term), k GROUP BY doc_id) SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20""")
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of an index of all documents after some were replaced and some removed: segments, marks and block bounds instead of a new build."""
+    docs, tenth = _cyrillic(spark, sf), F.pmod("doc_id", F.lit(10))
+    index = TextIndex(spark, folder(spark, "text-index"), "doc_id")
+    index.put(docs, "text")
+    index.put(docs.where(tenth == 3).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(_script(" license secret")))), "text")
+    index.remove(docs.where(tenth == 7))
+    return index.search(_script("secret license license"), 20)
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status_before, 'X' AS status_after, o_totalprice FROM orders WHERE o_orderkey % 9 = 0")
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What differs between a store's first version and its last: one batch changes orders, a late one changes nothing any more."""
+    orders = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(2).alias("seq"))
+    store = Store(spark, folder(spark, "store-changes"), "o_orderkey", ("o_orderstatus", "o_totalprice"), "seq")
+    first = store.upsert(orders)
+    store.upsert(orders.where(F.pmod("o_orderkey", F.lit(9)) == 0).withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(None).cast("double"), "seq": F.lit(3)}))
+    store.upsert(orders.withColumns({"o_orderstatus": F.lit("LATE"), "seq": F.lit(1)}))
+    return store.changed(first.number).where(F.col("before.o_orderstatus") != F.col("after.o_orderstatus")).select("o_orderkey", F.col("before.o_orderstatus").alias("status_before"), F.col("after.o_orderstatus").alias("status_after"), F.col("after.o_totalprice").alias("o_totalprice"))
