@@ -55,6 +55,7 @@ ROLE_FAMILIES = (
 REPRESENTATIVE = r"адвокат|представ|защитник|юрисконсульт|пов\.?\s*защит"
 REPRESENTATIVE_KINDS = (Rule("advocate", r"адвокат|защитник"), Rule("jurist", r"юрист"), Rule("representative", r"представ"))
 
+#: Placeholders of names, and words that organisations' names have.
 _STOPS = ("информация скрыта", "данные изъяты", "<данные изъяты>", "<адрес>", "<дата>", "не указано", "не указан", "не указана", "неизвестно", "нет данных", "фио", "ф.и.о.", "ф.и.о", "—", "-", "–", "…", "...")
 _ORGANISATION = r"ооо|ао|пао|зао|ип(?=[A-Za-z0-9_])|гуп|муп|фгуп|нко|банк|страх|фонд|министер|управлен|комитет|администрац|прокурат|следственн|мвд|фссп|гибдд|суд(?=[A-Za-z0-9_])"
 
@@ -149,7 +150,8 @@ ROLE_FILTERS = (
 FAMILY_LABELS = {"representative": "Представитель", "plaintiff": "Истец", "defendant": "Ответчик", "third": "Третье лицо", "judge": "Судья", "other": "Прочие"}
 #: Aliases that a family filter takes besides a family's name and label.
 FAMILY_ALIASES = {"representative": ("представитель", "представ", "rep"), "plaintiff": ("истец", "plaintiff"), "defendant": ("ответчик", "defendant")}
-_SKIP = r"^(?:не указ|неизвест|нет данных|информация скрыта|фио#?|—|-|\.{2,})$"
+#: Fixed value: what stands for a participant without a name.
+SKIP = r"^(?:не указ|неизвест|нет данных|информация скрыта|фио#?|—|-|\.{2,})$"
 
 
 def role_rule(wanted: str) -> str | None:
@@ -183,7 +185,7 @@ def family_matches(family: str, wanted: str | None) -> bool:
 def clean_name(raw: Column) -> Column:
     """A participant's collapsed name, or null: placeholders, names under two characters, bare numbers."""
     n = collapse(raw)
-    return F.when(~is_masked(n) & (F.length(n) >= 2) & ~n.rlike(pattern(_SKIP)) & ~n.rlike(r"^\d+$"), n)
+    return F.when(~is_masked(n) & (F.length(n) >= 2) & ~n.rlike(pattern(SKIP)) & ~n.rlike(r"^\d+$"), n)
 
 
 def professional_name(raw: Column, judge: Column) -> Column:
@@ -206,26 +208,26 @@ def lawyers_in_fields(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(F.array_join(F.slice(F.split(x, SPACE + "+"), 1, 4), " "))), lambda x: F.length(x) >= 6)
 
 
-def professionals(case: dict[str, Column]) -> Column:
-    """(name, role) of a case's judges and lawyers, as found, from the columns judge, participants, events, parties, plaintiff and defendant."""
-    person = lambda names, role: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(role).alias("role")))
-    none = F.array().cast("array<struct<name:string,role:string>>")
-
-    def of_participant(p: Column) -> Column:
-        role = F.lower(F.coalesce(p["role"], F.lit("")))
-        kind = F.when(role.rlike("(?iu)судья|председ"), F.lit("judge")).when(role.rlike("(?iu)адвокат|представ|юрискон"), F.lit("lawyer"))
-        return F.when(kind.isNull() | (F.coalesce(p["name"], F.lit("")) == ""), none).otherwise(F.transform(split_names(p["name"]), lambda n: F.struct(n.alias("name"), kind.alias("role"))))
-
-    presided = lambda e: F.coalesce(e["name"].rlike("(?iu)судья|председ") & (F.trim(e["result"]) != ""), F.lit(False))
+def name_fields(case: dict[str, Column]) -> Column:
+    """(kind, about, raw) of a case's fields that may name judges and lawyers, in order: judge, participants by their roles, events' results by the events' names, and the parties together."""
+    row = lambda kind, about, raw: F.struct(F.lit(kind).alias("kind"), F.lower(F.coalesce(about, F.lit(""))).alias("about"), F.coalesce(raw, F.lit("")).alias("raw"))
     text = F.concat_ws(" ", *(F.when(case[c] != "", case[c]) for c in ("parties", "plaintiff", "defendant")))
     return F.concat(
-        person(split_names(case["judge"]), "judge"),
-        F.flatten(F.transform(F.coalesce(case["participants"], F.array()), of_participant)),
-        F.flatten(F.transform(F.filter(F.coalesce(case["events"], F.array()), presided), lambda e: person(split_names(e["result"]), "judge"))),
-        person(lawyers_in_fields(text), "lawyer"),
+        F.array(row("judge", F.lit(""), case["judge"])),
+        F.transform(F.coalesce(case["participants"], F.array()), lambda p: row("participant", p["role"], p["name"])),
+        F.transform(F.coalesce(case["events"], F.array()), lambda e: row("event", e["name"], e["result"])),
+        F.array(row("parties", F.lit(""), text)),
     )
 
 
+def names_of_field(kind: Column, about: Column, raw: Column) -> Column:
+    """(role, names): whose names a field of `name_fields` holds, and the names; a null role for those that hold none."""
+    presides = about.rlike("(?iu)судья|председ")
+    of_participant = F.when(presides, "judge").when(about.rlike("(?iu)адвокат|представ|юрискон"), "lawyer")
+    role = F.when(kind == "judge", F.lit("judge")).when(kind == "participant", of_participant).when(kind == "event", F.when(presides & (F.trim(raw) != ""), "judge")).otherwise("lawyer")
+    return F.struct(role.alias("role"), F.when(kind == "parties", lawyers_in_fields(raw)).otherwise(split_names(raw)).alias("names"))
+
+
 def representatives(participants: Column, texts: Column) -> Column:
     """Distinct identifiable representatives of a case, from its participants and the texts of its acts."""
     card = F.transform(F.filter(F.coalesce(participants, F.array()), lambda p: is_representative(p["role"])), lambda p: p["name"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import duration_days, record_date
-from ..functions.names import category_head, clean_name, family_matches, is_masked, representative_kind, role_family, role_matches
+from ..functions.names import SKIP, category_head, clean_name, family_matches, is_masked, representative_kind, role_family, role_matches
 from ..functions.text import collapse, pattern, present, slug
 
 #: Families of roles, the one that names a person first.
@@ -113,7 +113,7 @@ def representatives(cases: DataFrame) -> DataFrame:
     """(name, person, kind, court, court_name): one row for each representative on a case's card; placeholders are left out."""
     each = cases.select("courtSubdomain", F.coalesce(F.nullif("courtName", F.lit("")), "courtSubdomain").alias("court_name"), F.explode("participants").alias("p"))
     name = collapse(F.coalesce("p.name", F.lit("")))
-    skip = name.rlike(pattern(r"^(?:не указ|неизвест|нет данных|информация скрыта|фио#?|—|-|\.{2,})$"))
+    skip = name.rlike(pattern(SKIP))
     rows = each.select(name.alias("name"), representative_kind(F.col("p.role")).alias("kind"), F.col("courtSubdomain").alias("court"), "court_name").where(F.col("kind").isNotNull() & ~skip & ~is_masked(F.col("name")))
     return rows.withColumn("person", F.concat(F.lit("p:"), slug(F.col("name"))))
 

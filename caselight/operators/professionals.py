@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import BANK, category_head, professional_name, professionals, region_label, split_names
+from ..functions.names import BANK, category_head, name_fields, names_of_field, professional_name, region_label, split_names
 from ..functions.text import collapse, pattern, present, slug
+from ..session import cut
 from .people import professional_rating, professional_tier
 
 #: Words of civil and criminal categories.
@@ -20,19 +21,23 @@ RECENT, COURTS, CATEGORIES, NAMED = 24, 16, 12, 8
 def appearances(cases: DataFrame, suffix: str = "--mor", code: str = "13") -> DataFrame:
     """(person, name, role, at, id and a case's columns): one row for each person and case, in the role found first.
 
-    A court without region that has the suffix belongs to the region of the code.
+    A court without region that has the suffix belongs to the region of the code. Each distinct field is split and its names
+    are judged once, however many cases have it. The rows are cut, as cards, heats and practice all read them.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     asked = cases.where(present(F.trim("judge")) | (F.coalesce(F.size("participants"), F.lit(0)) > 0) | text("parties").rlike("(?iu)адвокат|представ|юрискон") | present(F.col("enrichedAt")))
-    found = professionals({c: F.col(c) for c in ("judge", "participants", "events", "parties", "plaintiff", "defendant")})
-    each = asked.select("*", F.posexplode(found).alias("at", "p")).withColumn("name", professional_name(F.col("p.name"), F.col("p.role") == "judge")).where("name is not null")
-    each = each.select(
-        F.lower("name").alias("person"), "name", F.col("p.role").alias("role"), "at", "id", "caseNumber", "courtSubdomain", "courtName", F.nullif("courtRegion", F.lit("")).alias("region"), "category", "status", "hearingDate", "collectedAt",
+    found = asked.select(
+        F.posexplode(name_fields({c: F.col(c) for c in ("judge", "participants", "events", "parties", "plaintiff", "defendant")})).alias("field", "f"),
+        "id", "caseNumber", "courtSubdomain", "courtName", F.nullif("courtRegion", F.lit("")).alias("region"), "category", "status", "hearingDate", "collectedAt",
         F.coalesce("documentsCount", F.lit(0)).alias("documents"), F.coalesce("hasActText", F.lit(False)).alias("act"), present(F.col("enrichedAt")).alias("enriched"),
         F.coalesce(F.nullif("courtRegion", F.lit("")), F.when(F.lower("courtSubdomain").endswith(suffix), F.lit(code))).alias("place"),
-    )
-    first = each.groupBy("person", "id").agg(F.min_by(F.struct(*[c for c in each.columns if c not in ("person", "id")]), "at").alias("x"))
-    return first.select("person", "id", "x.*")
+    ).where("f.raw <> ''").select("*", "f.kind", "f.about", "f.raw").drop("f")
+    field = ["kind", "about", "raw"]
+    named = found.select(*field).distinct().select(*field, names_of_field(*(F.col(c) for c in field)).alias("names")).where("names.role IS NOT NULL")
+    each = named.select(*field, F.col("names.role").alias("role"), F.posexplode("names.names").alias("part", "said")).withColumn("name", professional_name(F.col("said"), F.col("role") == "judge")).where("name IS NOT NULL")
+    met = found.join(each.drop("said").withColumn("person", F.lower("name")), field).withColumn("at", F.struct("field", "part")).drop("field", "part", *field)
+    first = met.groupBy("person", "id").agg(F.min_by(F.struct(*[c for c in met.columns if c not in ("person", "id")]), "at").alias("x"))
+    return cut(first.select("person", "id", "x.*"))
 
 
 def cards(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Documents of a segment are numbered by their ids. The postings of a term are rows of their own for each BLOCK documents, so
 that a term that all texts have is as many rows as there are blocks, in files ranged by term and block; ids are coded as
-gaps. A block row tells the best that any of its postings can score: its largest count and its smallest text. A change
+small distances from the block's first. A block row tells the best that any of its postings can score: its largest count and its smallest text. A change
 writes a segment for new texts, and for texts that it replaces or removes their numbers and how often their terms occurred.
 Versions are named in a log as those of `sources.store`: two that change at once follow each other.
 """
@@ -110,18 +110,16 @@ class TextIndex:
         each = counts.join(self.spark.read.parquet(f"{path}/docs"), "id").withColumn("block", F.shiftright("doc", self.block_bits))
         found = F.array_sort(F.collect_list(F.struct("doc", F.col("tf").cast("int").alias("tf"), "size")))  # at most a block's documents
         rows = each.groupBy("term", "block").agg(found.alias("p"), F.max("tf").cast("int").alias("most_tf"), F.min("size").alias("least_size"))
-        gaps = F.transform("p", lambda x, i: (x["doc"] - F.when(i > 0, F.get(F.col("p"), i - 1)["doc"]).otherwise(F.shiftleft(F.col("block"), self.block_bits))).cast("int"))
-        coded = rows.select("term", "block", "most_tf", "least_size", gaps.alias("gaps"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["size"]).alias("sizes"))
+        steps = F.transform("p", lambda x: x["doc"].bitwiseAND(F.lit((1 << self.block_bits) - 1)).cast("int"))
+        coded = rows.select("term", "block", "most_tf", "least_size", steps.alias("steps"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["size"]).alias("sizes"))
         coded.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
-        self.spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("gaps")).alias("df")).write.parquet(f"{path}/terms")
+        self.spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("steps")).alias("df")).write.parquet(f"{path}/terms")
         return name
 
     def _postings(self, blocks: DataFrame) -> DataFrame:
         """(segment, block, term, doc, tf, size) of block rows."""
-        each = blocks.select("segment", "block", "term", F.posexplode(F.arrays_zip("gaps", "tfs", "sizes")).alias("at", "p"), "gaps")
-        # A block's gaps are summed up to the posting; there are at most a block's documents of them.
-        doc = F.shiftleft(F.col("block"), self.block_bits) + F.aggregate(F.slice("gaps", 1, F.col("at") + 1), F.lit(0), lambda a, g: a + g)
-        return each.select("segment", "block", "term", doc.alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.sizes").alias("size"))
+        each = blocks.select("segment", "block", "term", F.explode(F.arrays_zip("steps", "tfs", "sizes")).alias("p"))
+        return each.select("segment", "block", "term", (F.shiftleft("block", self.block_bits) + F.col("p.steps")).alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.sizes").alias("size"))
 
     def _change(self, ids: DataFrame, segment: str | None) -> State:
         for _ in range(TRIES):
@@ -165,7 +163,7 @@ class TextIndex:
     # --- searches -----------------------------------------------------------------------------------------------------
 
     def _blocks(self, state: State) -> DataFrame:
-        return self._parts(state.segments, "blocks", "term string, block long, most_tf int, least_size int, gaps array<int>, tfs array<int>, sizes array<int>")
+        return self._parts(state.segments, "blocks", "term string, block long, most_tf int, least_size int, steps array<int>, tfs array<int>, sizes array<int>")
 
     def frequencies(self, state: State | None = None) -> DataFrame:
         """(term, df): in how many live texts each term is."""

@@ -429,7 +429,7 @@ def case_card_pages(spark: SparkSession, sf: str) -> DataFrame:
     one = F.concat(F.lit('<div id="cont1"><table><tr><th colspan=2>ДЕЛО</th></tr>'), row("Уникальный идентификатор дела", F.md5(F.col("k").cast("binary"))), row("Номер дела", F.col("caseNumber")), row("Категория дела", F.col("category")), row("Судья", F.col("judge")), row("Дата поступления", F.col("entryDate")), row("Результат рассмотрения", F.col("status")), F.lit("</table></div>"))
     two = F.concat(F.lit('<div id="cont2"><table><tr><th colspan=3>ДВИЖЕНИЕ ДЕЛА</th></tr>'), row("Наименование события", "Дата", "Время"), row("Заседание", "02.02.2024", "09:30"), F.lit("</table></div>"))
     three = F.concat(F.lit('<div id="cont3"><table><tr><th colspan=3>СТОРОНЫ</th></tr>'), row("Вид лица, участвующего в деле", "Фамилия / наименование", "ИНН"), row("ИСТЕЦ", F.col("plaintiff"), "77"), F.coalesce(row("ОТВЕТЧИК", F.col("defendant"), ""), F.lit("")), F.lit("</table></div>"))
-    html = F.concat(one, two, three, F.lit('<div id="cont_doc1">РЕШЕНИЕ по делу, 23 декабря 2024 г.</div>'))
+    html = F.concat(one, two, three, F.lit('<div id="cont_doc1">РЕШЕНИЕ по делу, 5 марта 2023 г.</div>'))
     found = pages.case_cards(pages.tables(_numbered(ct.cases(spark, sf)).select("id", html.alias("html"))))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     return found.select(

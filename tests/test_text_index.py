@@ -53,7 +53,7 @@ def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     index.put(frame(spark, rows), "text")
     assert [tuple(x) for x in index.search("земля налог", 4).collect()] == fresh(spark, dict(rows), "земля налог", 4)
     assert index.read["scored"] < 0.2 * index.read["blocks"]
-    most = index._blocks(index.state()).where("term = 'договор'").selectExpr("count(*) AS n", "max(size(gaps)) AS largest").first()
+    most = index._blocks(index.state()).where("term = 'договор'").selectExpr("count(*) AS n", "max(size(steps)) AS largest").first()
     assert most.n >= 50 and most.largest <= 8  # a term that all texts have is many rows
 
 
