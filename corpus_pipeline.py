@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.llm import bpe, decontaminate, queries, secrets, simhash, toxicity
+from caselight.llm.columns import free
 from caselight.session import cut, ship
 
+#: Text bytes of a chunk that is encoded: fewer than by default, as the ids are returned too and earlier stages leave executors with grown heaps.
+ENCODED_BYTES = 4_000_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity scores below 0.3. The classifier learns from the documents of this stage that have a label."""
@@ -27,11 +31,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     found = simhash.similar_rows(docs)
     first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_code")).alias("x"))
-    keep = cut(first.select(F.col("x.id").alias("__id"), F.col("x.text_code").alias("__code")))
+    own, other, place = free(docs, "id", "code", "place")
+    keep = cut(first.select(F.col("x.id").alias(own), F.col("x.text_code").alias(other)))
     code = F.xxhash64(F.col("text").cast("string"))
-    held = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (code == F.col("__code")), "left_semi")
+    held = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (code == F.col(other)), "left_semi")
     order = Window.partitionBy("doc_id", code).orderBy(*(c for c in docs.columns if c != "doc_id"))
-    return held.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return held.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +47,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     ship(spark)
-    masked = secrets.redact(secrets.scan_secrets(docs, out_col="__secrets"), secrets_col="__secrets").drop("__secrets")
+    (found,) = free(docs, "secrets")
+    masked = secrets.redact(secrets.scan_secrets(docs, out_col=found), secrets_col=found).drop(found)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the token ids, and digests of the ids and of the text that they decode to."""
     ship(spark)
-    return bpe.encode(docs, queries.tokenizer_path(), ids=True)
+    return bpe.encode(docs, queries.tokenizer_path(), ids=True, chunk_bytes=ENCODED_BYTES)
 
 
 STAGES = [
