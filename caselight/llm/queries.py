@@ -16,6 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts of the base kinds, their places and a digest of them. A null text has none."""
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = secrets.spans_text(F.col("secrets"))
 
@@ -27,16 +28,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels of those that aren't held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. A null page has an empty one."""
     found = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the smallest id that it reaches over links of three bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -49,29 +53,35 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's BPE ids and of the text that they decode to."""
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels of those that aren't held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that windows of 13 words repeat from documents with smaller ids, and what is left without them."""
     kept = suffix_tree.remove_repeated_words(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that strings of 50 bytes repeat from documents with smaller ids, and what is left without them."""
     kept = run_length_index.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, by inner product."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that align with benchmark items by 0.8 or more."""
     found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "score", "first_word", "end_word")
 

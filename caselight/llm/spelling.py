@@ -16,7 +16,7 @@ from ..session import cut
 
 #: Fixed value: what a word's letters are.
 LETTERS = r"[A-Za-zÀ-ÿ]+"
-#: Words of a vocabulary that is sent to all executors (some 50 bytes each); neighbours of a larger one are shuffled to it.
+#: Words of a vocabulary that is sent to all executors (some 120 bytes each); neighbours of a larger one are shuffled to it.
 MOST_SENT = 2_000_000
 
 
