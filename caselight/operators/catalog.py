@@ -196,12 +196,17 @@ def matching(cases: DataFrame, r: ListRequest) -> DataFrame:
 
 
 def list_page(cases: DataFrame, r: ListRequest, full: bool = False) -> DataFrame:
-    """The request's page, newest first, slim unless full, with `total`: the number of all matches."""
+    """The request's page, newest first, slim unless full, with `total`: the number of all matches. A page past the end has no row; `list_total` has the number for it."""
     found = matching(cases, r)
     best = page(found, [F.desc("collectedAt"), F.col("id")], r.offset, r.limit)
     return (best if full else slim(best)).crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
 
 
+def list_total(cases: DataFrame, r: ListRequest) -> DataFrame:
+    """(total): the number of all matches of a request, one row whatever its page."""
+    return matching(cases, r).agg(F.count("*").alias("total"))
+
+
 def slim(cases: DataFrame) -> DataFrame:
     """The columns that a list shows: no documents, events and participants."""
     count = F.when(F.coalesce("documentsCount", F.lit(0)) > 0, F.col("documentsCount")).otherwise(F.size("documents")).cast("int")

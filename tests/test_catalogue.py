@@ -82,6 +82,12 @@ def test_new_query_over_an_old_store(spark, tmp_path):
     assert {tuple(r) for r in kept.read().select("k", "name").collect()} == {("a", "x"), ("b", "y")}
 
 
+def test_total_of_a_page_past_the_end(spark):
+    r = ListRequest(limit=10, offset=1000)
+    assert catalog.list_page(small_catalogue(spark), r, full=True).collect() == [] and catalog.list_total(small_catalogue(spark), r).first().total == 4
+    assert catalog.list_total(small_catalogue(spark).limit(0), r).first().total == 0
+
+
 def test_json_that_other_programs_read(spark, tmp_path):
     import json
 
