@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import ListRequest, list_page
+from .containment import contained
 from .fulltext import Index, search
 from .lookup import CLEAR, search_courts
 
@@ -19,14 +20,12 @@ KINDS = ("vs", "oblsud", "ray", "garb", "other")
 
 
 def with_region(hits: DataFrame, cases: DataFrame) -> DataFrame:
-    """Text hits (case_uid, ...) with `region`: of the case with that id, else of the newest one whose uid contains it.
-
-    The hits are a page of a search, so they are broadcast to the cases.
-    """
-    asked = hits.select("case_uid").distinct()
+    """Text hits (case_uid, ...) with `region`: of the case with that id, else of the newest one whose uid contains it, in any case of letters."""
+    asked = hits.select("case_uid", F.lower("case_uid").alias("needle")).where(F.col("case_uid").isNotNull()).distinct()
     own = cases.select(F.col("id").alias("case_uid"), F.struct("courtRegion").alias("__own"))
-    near = cases.where(F.col("caseUid").isNotNull()).join(F.broadcast(asked), F.contains(F.lower("caseUid"), F.lower("case_uid")))
-    near = near.groupBy("case_uid").agg(F.max_by(F.struct("courtRegion"), F.struct("collectedAt", "id")).alias("__near"))
+    uids = cases.where(F.col("caseUid").isNotNull()).select(F.lower("caseUid").alias("text"), "courtRegion", "collectedAt", "id")
+    near = contained(asked, uids).join(uids, "text").groupBy("needle").agg(F.max_by(F.struct("courtRegion"), F.struct("collectedAt", "id")).alias("__near"))
+    near = asked.join(near, "needle").select("case_uid", "__near")
     return hits.join(own, "case_uid", "left").join(near, "case_uid", "left").withColumn("region", F.coalesce("__own", "__near")["courtRegion"]).drop("__own", "__near")
 
 
