@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.text import ENDINGS, STOP_WORDS
 from ..operators import cases as reports
-from ..operators import catalog, dashboard, fulltext, lookup, merge, people, professionals, search, timeline
+from ..operators import catalog, containment, dashboard, fulltext, lookup, maintained, merge, people, professionals, search, timeline
 from ..operators.catalog import ListRequest
 from ..operators.text_index import TextIndex
 from ..session import folder
@@ -568,3 +568,73 @@ def store_changes(spark: SparkSession, sf: str) -> DataFrame:
     store.upsert(orders.where(F.pmod("o_orderkey", F.lit(9)) == 0).withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(None).cast("double"), "seq": F.lit(3)}))
     store.upsert(orders.withColumns({"o_orderstatus": F.lit("LATE"), "seq": F.lit(1)}))
     return store.changed(first.number).where(F.col("before.o_orderstatus") != F.col("after.o_orderstatus")).select("o_orderkey", F.col("before.o_orderstatus").alias("status_before"), F.col("after.o_orderstatus").alias("status_after"), F.col("after.o_totalprice").alias("o_totalprice"))
+
+
+# --- many names at once -----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CASES}, u AS (SELECT lower("caseUid") AS uid, "courtRegion", "collectedAt", id FROM cases WHERE "caseUid" IS NOT NULL), h AS (SELECT 'UID-' || c_custkey AS case_uid FROM customer)
+SELECT case_uid, arg_max("courtRegion", struct_pack(a := "collectedAt", b := id)) AS region FROM h LEFT JOIN u ON contains(uid, lower(case_uid)) GROUP BY 1""")
+def hit_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of text hits that name a case by a part of its uid."""
+    hits = t(spark, sf, "customer").select(F.concat(F.lit("UID-"), F.col("c_custkey").cast("string")).alias("case_uid"))
+    return search.with_region(hits, ct.cases(spark, sf))
+
+
+_MET = " OR ".join([f"contains(lower({f}), lower(name))" for f in ("plaintiff", "coalesce(defendant, '')", "judge", "parties")] + [f"({when} AND contains(lower({who}), lower(name)))" for when, _, who in ct.PARTICIPANTS])
+_JUDGES = ct.JUDGE
+
+
+@query(f"""WITH n AS (SELECT DISTINCT {_JUDGES.replace(C, "c_custkey")} AS name FROM customer), f AS (SELECT {K}, {C}, {", ".join(f'{ct.COLUMNS[c]} AS {c}' for c in ("id", "plaintiff", "defendant", "judge", "parties"))} FROM {FROM}) SELECT name, id FROM n JOIN f ON {_MET}""")
+def cases_of_many_names(spark: SparkSession, sf: str) -> DataFrame:
+    names_ = t(spark, sf, "customer").select(F.expr(_JUDGES.replace(C, "c_custkey")).alias("name"))
+    return containment.cases_of_names(ct.cases(spark, sf), names_)
+
+
+@query(_ORGS + """, n AS (SELECT DISTINCT 'Ромашка ' || (c_custkey % 30) AS query FROM customer),
+a AS (SELECT query, m.key, count(DISTINCT alias) AS hits FROM n JOIN m ON contains(lower(alias), lower(query)) GROUP BY ALL),
+s AS (SELECT query, r.key, canonical, case_count, CAST(CASE WHEN lower(query) = r.key THEN 100 ELSE 0 END + CASE WHEN contains(lower(canonical), lower(query)) THEN 50 ELSE 0 END + CASE WHEN contains(r.key, lower(query)) OR contains(lower(query), r.key) THEN 30 ELSE 0 END + 20 * coalesce(a.hits, 0) AS INTEGER) AS score FROM n CROSS JOIN r LEFT JOIN a USING (query, key)),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, case_count DESC, key) AS INTEGER) AS place FROM s WHERE score > 0) SELECT * FROM p WHERE place <= 20""")
+def records_of_many_names(spark: SparkSession, sf: str) -> DataFrame:
+    asked = t(spark, sf, "customer").select(F.concat(F.lit("Ромашка "), (F.col("c_custkey") % 30).cast("string")).alias("query"))
+    return containment.resolve_table(lookup.mentions(ct.cases(spark, sf)), asked)
+
+
+# --- aggregates kept up by changes ------------------------------------------------------------------------------------
+
+_KEPT = ("courtRegion", "caseUrl", "enrichedAt", "documentsCount", "hasActText", "plaintiff", "defendant", "judge", "participants")
+
+
+def _store_in_batches(spark: SparkSession, sf: str, name: str) -> tuple[Store, list[DataFrame]]:
+    """A store of all cases, and two batches to follow: enrichment of a part, other judges and regions for a part of them."""
+    rows, k = ct.cases(spark, sf).select("id", *_KEPT, F.lit(1).cast("long").alias("seq")), F.substring("id", 2, 20).cast("long")
+    store = Store(spark, folder(spark, name), "id", _KEPT, "seq")
+    store.upsert(rows)
+    return store, [rows.where(k % 4 == 0).withColumns({"enrichedAt": F.lit("2099-01-01"), "documentsCount": F.lit(4), "seq": F.lit(2).cast("long")}), rows.where(k % 8 == 0).withColumns({"judge": F.lit("Новый"), "courtRegion": F.lit("99"), "documentsCount": F.lit(None).cast("int"), "seq": F.lit(3).cast("long")})]
+
+
+def _kept_up(spark: SparkSession, sf: str, name: str, shares, keys: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    store, batches = _store_in_batches(spark, sf, name)
+    kept = maintained.Maintained(store, folder(spark, f"{name}-sums"), shares, keys, sums)
+    kept.advance()
+    for batch in batches:
+        store.upsert(batch)
+        kept.advance()
+    return kept.read()
+
+
+@query(f"""WITH {CASES}, n AS (SELECT CASE WHEN z_k % 8 = 0 THEN '99' ELSE "courtRegion" END AS region, "caseUrl" <> '' AND "enrichedAt" = '' AND z_k % 4 <> 0 AS open, z_k % 4 = 0 OR "documentsCount" > 0 AS docs, "hasActText" AS act FROM cases)
+SELECT coalesce(region, '') AS region, count(*) AS cases, count(*) FILTER (open) AS pending, count(*) FILTER (docs) AS with_documents, count(*) FILTER (act) AS with_act_text FROM n GROUP BY 1""")
+def maintained_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept_up(spark, sf, "counters", maintained.enrichment_shares, ("region",), ("cases", "pending", "with_documents", "with_act_text")).withColumn("region", F.coalesce("region", F.lit("")))
+
+
+_PERSONS = " UNION ".join(
+    [f"SELECT {K} AS z_k, 'ИСТЕЦ' AS role, {ct.PLAINTIFF} AS name FROM {FROM}", f"SELECT {K}, 'ОТВЕТЧИК', {ct.COLUMNS['defendant']} FROM {FROM}", f"SELECT {K}, 'СУДЬЯ', CASE WHEN {K} % 8 = 0 THEN 'Новый' ELSE {ct.COLUMNS['judge']} END FROM {FROM}"]
+    + [f"SELECT {K}, '{role}', {name} FROM {FROM} WHERE {when}" for when, role, name in ct.PARTICIPANTS]
+)
+
+
+@query(f"WITH p AS ({_PERSONS}) SELECT lower(name) AS person, role, count(*) AS cases FROM p WHERE name <> '' GROUP BY ALL")
+def maintained_people(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept_up(spark, sf, "people", maintained.people_shares, ("person", "role"), ("cases",))
