@@ -14,7 +14,7 @@ from ..operators.text_index import TextIndex
 from ..session import folder
 from ..sources import pages
 from ..sources.store import Store
-from ..streaming import ingest
+from ..streaming import collect, ingest
 from . import case_table as ct
 from .case_table import CASES, FROM, C, K
 from .driver import query, t
@@ -638,3 +638,38 @@ _PERSONS = " UNION ".join(
 @query(f"WITH p AS ({_PERSONS}) SELECT lower(name) AS person, role, count(*) AS cases FROM p WHERE name <> '' GROUP BY ALL")
 def maintained_people(spark: SparkSession, sf: str) -> DataFrame:
     return _kept_up(spark, sf, "people", maintained.people_shares, ("person", "role"), ("cases",))
+
+
+# --- the collector ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CASES} SELECT {_UID} AS id, "caseNumber", "courtSubdomain", coalesce(nullif(category, ''), 'Не указано') AS category, nullif(judge, '') AS judge, strftime(DATE '2024-01-01' + CAST(floor(z_k / 10000) AS INT), '%Y-%m-%d') AS "hearingDate", "hearingTime", CASE WHEN z_k % 50 = 0 THEN 'Отложено' ELSE 'Заседание' END AS status, z_k % 50 <> 0 AS waits FROM cases""")
+def collected_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of schedules and, of every fiftieth case, its card, dropped into a folder, collected by a stream; the catalogue after that.
+
+    A schedule has the cases of one court and 10,000 keys, whose place is its day: a line of the file for each, below the table's head.
+    """
+    root, k = folder(spark, "collected"), F.substring("id", 2, 20).cast("long")
+    rows = _numbered(ct.cases(spark, sf)).withColumns({"place": k, "page": F.floor(k / 10_000)})
+    info = F.concat(F.lit("КАТЕГОРИЯ: "), F.col("category"), F.lit("<br>ИСТЕЦ: "), F.col("plaintiff"))
+    line = F.concat(F.lit("<tr>"), _cell("1"), _cell(F.col("link")), _cell(F.col("hearingTime")), _cell("Зал 1"), _cell(info), _cell(F.col("judge")), F.lit("</tr>"))
+    head = '<table id="tablcont"><tr><th>№ п/п</th><th>Номер дела</th><th>Время слушания</th><th>Место (Зал)</th><th>Информация по делу</th><th>Судья</th></tr>'
+    lines = rows.select(F.col("courtSubdomain").alias("court"), "page", "place", line.alias("value"))
+    lines = lines.unionByName(lines.select("court", "page").distinct().withColumns({"place": F.lit(-1).cast("long"), "value": F.lit(head)}))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("page").cast("int")), "yyyy-MM-dd")
+    pages_ = lines.withColumn("day", day).repartition("court", "day").sortWithinPartitions("court", "day", "place").select("court", "day", "value")
+    _drop(pages_, f"{root}/in/schedule")
+    pair = lambda a, b: F.concat(F.lit(f"<tr><td>{a}</td><td>"), b, F.lit("</td></tr>"))
+    card = F.concat(F.lit('<div id="cont1"><table>'), pair("Уникальный идентификатор дела", F.md5(F.col("k").cast("binary"))), pair("Номер дела", F.col("caseNumber")), pair("Результат рассмотрения", F.lit("Отложено")), F.lit("</table></div>"))
+    cards = rows.where(k % 50 == 0).select(F.col("courtSubdomain").alias("court"), F.col("k").alias("day"), card.alias("value"))
+    _drop(cards.repartition("court", "day").sortWithinPartitions("court", "day"), f"{root}/in/cards")
+    into = collect.store(spark, f"{root}/store")
+    collect.run(spark, f"{root}/in", into, f"{root}/checkpoint").awaitTermination()
+    waiting = collect.queue(into, 2_000_000_000).select("id", F.lit(True).alias("waits"))
+    found = collect.catalogue(into).join(waiting, "id", "left")
+    return found.select("id", "caseNumber", "courtSubdomain", "category", F.nullif("judge", F.lit("")).alias("judge"), "hearingDate", "hearingTime", "status", F.coalesce("waits", F.lit(False)).alias("waits"))
+
+
+def _drop(lines: DataFrame, where: str) -> None:
+    """Lines (court, day, value) in their order as one file for each court and day."""
+    lines.write.partitionBy("court", "day").text(where)
