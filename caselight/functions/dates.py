@@ -35,9 +35,15 @@ def duration_days(start: Column, end: Column, most: int = 4000) -> Column:
 
 def month_windows(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(window_start, window_end): calendar months from first to last, clipped to both."""
-    bounds = spark.range(1).select(F.lit(first).cast("date").alias("a"), F.lit(last).cast("date").alias("b")).where("a <= b")
-    months = bounds.select("a", "b", F.explode(F.sequence(F.trunc("a", "MM"), F.col("b"), F.expr("interval 1 month"))).alias("m"))
-    return months.select(F.greatest("m", "a").alias("window_start"), F.least(F.last_day("m"), "b").alias("window_end"))
+    bounds = spark.range(1).select(F.lit(first).cast("date").alias("a"), F.lit(last).cast("date").alias("b"))
+    return windows_of(bounds, "a", "b").select("window_start", "window_end")
+
+
+def windows_of(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """All columns of rows, and (window_start, window_end) for each calendar month from one day to the other, clipped to both; none if they are null or the wrong way round."""
+    a, b = F.col(first).cast("date"), F.col(last).cast("date")
+    month = F.explode(F.sequence(F.trunc(a, "MM"), b, F.expr("interval 1 month")))
+    return rows.where(a <= b).withColumn("window_start", month).withColumns({"window_start": F.greatest("window_start", a), "window_end": F.least(F.last_day("window_start"), b)})
 
 
 def schedule_dates(today: Column, back: int, forward: int, inclusive: bool = False) -> Column:

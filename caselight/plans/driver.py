@@ -515,10 +515,12 @@ def pagination_hrefs(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "pages").select("page_id", F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(url, r"[?&]page=(\d+)", 1).try_cast("int").alias("page"))
 
 
-@query("""WITH m AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-06-01', INTERVAL 1 MONTH)) AS m)
-SELECT CAST(greatest(CAST(m AS DATE), DATE '2024-01-15') AS DATE) AS window_start, CAST(least(last_day(m), DATE '2024-06-10') AS DATE) AS window_end FROM m""")
+@query("""WITH b AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1), m AS (SELECT *, CAST(unnest(generate_series(date_trunc('month', a), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM b)
+SELECT o_custkey, greatest(m, a) AS window_start, least(last_day(m), b) AS window_end FROM m""")
 def month_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return dates.month_windows(spark, "2024-01-15", "2024-06-10")
+    """The months between each customer's first order and the last."""
+    bounds = t(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return dates.windows_of(bounds, "a", "b").select("o_custkey", "window_start", "window_end")
 
 
 @query("""WITH m AS (SELECT unnest([DATE '2024-01-15', DATE '2024-02-01', DATE '2024-03-01']) AS window_start) SELECT n_name, r_name, window_start FROM nation, region, m""")
