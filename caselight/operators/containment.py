@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import entity
+from ..session import cut
 
 #: Characters of a piece.
 PIECE = 3
@@ -80,9 +81,11 @@ def resolve_table(found: DataFrame, queries: DataFrame, query: str = "query", li
     """(query, key, canonical, case_count, score, place): for each distinct query the records of `lookup.mentions` that fit it, best first.
 
     100 for its key, 50 for a part of the canonical form, 30 for a part of either key and 20 for each alias that holds it,
-    added up; ties by cases, then key.
+    added up; ties by cases, then key. Mentions and queries are written once, as each is asked for several times.
     """
+    found = cut(found.select("key", "canonical", "alias", "id"))
     asked = queries.select(F.trim(query).alias("query"), F.lower(F.trim(query)).alias("needle"), entity(F.trim(query))["key"].alias("own")).where("needle <> ''").distinct()
+    asked = cut(asked)
     known = found.groupBy("key").agg(F.min_by("canonical", "id").alias("canonical"), F.count("*").alias("case_count"))
     forms, aliases = known.select("key", F.lower("canonical").alias("text")), found.select("key", "alias", F.lower("alias").alias("text")).distinct()
     pair = asked.select("query", "needle")
