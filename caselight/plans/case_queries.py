@@ -420,7 +420,7 @@ def search_result_pages(spark: SparkSession, sf: str) -> DataFrame:
     info = F.concat(F.lit("КАТЕГОРИЯ: "), F.col("category"), F.lit("<br>ИСТЕЦ: "), F.col("plaintiff"), F.coalesce(F.concat(F.lit("<br>ОТВЕТЧИК: "), F.col("defendant")), F.lit("")))
     html = F.concat(F.lit(head), _cell(F.col("link")), _cell(F.col("entryDate")), _cell(info), _cell(F.coalesce("resultDate", F.lit(""))), F.lit("</tr></table>"))
     found = pages.search_results(pages.tables(_numbered(ct.cases(spark, sf, dealt=True)).select("id", html.alias("html"))), F.lit("Гражданские"))
-    return found.select("id", "total", F.explode("items").alias("x")).select("id", "total", "x.caseNumber", "x.caseUid", "x.category", "x.plaintiff", "x.defendant", "x.entryDate", "x.resultDate")
+    return pages.listed(found, "id", "total").select("id", "total", "x.caseNumber", "x.caseUid", "x.category", "x.plaintiff", "x.defendant", "x.entryDate", "x.resultDate")
 
 
 @query(f"""WITH {CASES} SELECT id, "caseNumber", {_UID} AS "caseUid", category, plaintiff, defendant, nullif(judge, '') AS judge, "entryDate", nullif(status, '') AS status, CASE WHEN defendant IS NULL THEN 1 ELSE 2 END AS people, '02.02.2024 09:30 Заседание' AS event, 'РЕШЕНИЕ' AS act FROM cases""")
