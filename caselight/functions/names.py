@@ -111,9 +111,12 @@ def is_representative(role: Column) -> Column:
     return F.coalesce(role, F.lit("")).rlike(pattern(REPRESENTATIVE))
 
 
-def is_masked(raw: Column) -> Column:
-    """Whether a name field holds a placeholder: null, blank, a stop phrase, FIO with a number, bare initials, a case number or <...>."""
-    n = collapse(raw)
+def is_masked(raw: Column, collapsed: bool = False) -> Column:
+    """Whether a name field holds a placeholder: null, blank, a stop phrase, FIO with a number, bare initials, a case number or <...>.
+
+    collapsed: raw is a column that is collapsed already, which would else be done again for each rule.
+    """
+    n = raw if collapsed else collapse(raw)
     packed = F.regexp_replace(n, SPACE, "")
     fio = pattern(r"^(?:фио|ф\.?\s*и\.?\s*о\.?)[\s№#.\-]*\d*$")
     number = pattern(r"^(?:\d{1,2}[аa]?[-/|]\d+(?:[/|]\d{2,4})?|\d{1,2}[аa]?-\d+[/|]\d{4})$")
@@ -182,10 +185,10 @@ def family_matches(family: str, wanted: str | None) -> bool:
     return f in ("", "all", "*", "other", "прочие", family, *FAMILY_ALIASES.get(family, ())) or f in FAMILY_LABELS[family].lower() or f in family
 
 
-def clean_name(raw: Column) -> Column:
+def clean_name(raw: Column, collapsed: bool = False) -> Column:
     """A participant's collapsed name, or null: placeholders, names under two characters, bare numbers."""
-    n = collapse(raw)
-    return F.when(~is_masked(n) & (F.length(n) >= 2) & ~n.rlike(pattern(SKIP)) & ~n.rlike(r"^\d+$"), n)
+    n = raw if collapsed else collapse(raw)
+    return F.when(~is_masked(n, collapsed) & (F.length(n) >= 2) & ~n.rlike(pattern(SKIP)) & ~n.rlike(r"^\d+$"), n)
 
 
 def professional_name(raw: Column, judge: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import duration_days, record_date
 from ..functions.names import SKIP, category_head, clean_name, family_matches, is_masked, representative_kind, role_family, role_matches
 from ..functions.text import collapse, pattern, present, slug
+from ..session import cut
 
 #: Families of roles, the one that names a person first.
 FAMILIES = ("representative", "plaintiff", "defendant", "third", "judge", "other")
@@ -20,28 +21,38 @@ def appearances_of(cases: DataFrame) -> DataFrame:
     flat = [F.struct(F.col(c).alias("name"), F.lit(role).alias("role"), F.lit(family).alias("family")) for c, role, family in (("plaintiff", "ИСТЕЦ", "plaintiff"), ("defendant", "ОТВЕТЧИК", "defendant"), ("judge", "СУДЬЯ", "judge"))]
     card = F.transform(F.coalesce("participants", F.array()), lambda p: F.struct(p["name"].alias("name"), F.coalesce(F.nullif(p["role"], F.lit("")), F.lit("?")).alias("role"), role_family(p["role"]).alias("family")))
     each = cases.select("id", "caseNumber", "courtSubdomain", "hasActText", "enrichedAt", F.posexplode(F.concat(card, F.array(*flat))).alias("at", "p"))
-    named = each.withColumn("name", clean_name(F.col("p.name"))).where("name is not null")
+    named = each.withColumn("n", collapse(F.col("p.name"))).withColumn("name", clean_name(F.col("n"), True)).drop("n")
+    # As a generated row: a filter of the name itself would move below the projections and judge each name twice, collapsed for each rule.
+    named = named.select(F.explode_outer(F.array(F.struct("*"))).alias("x")).where("x.name IS NOT NULL").select("x.*")
     return named.select("name", collapse(F.col("p.role")).alias("role"), "p.family", F.col("id").alias("case_id"), F.col("courtSubdomain").alias("court"), F.col("caseNumber").alias("number"), F.coalesce("hasActText", F.lit(False)).alias("act"), present(F.col("enrichedAt")).alias("enriched"), "at")
 
 
 def full_index(found: DataFrame) -> DataFrame:
     """Per person, from `appearances_of`: index columns, roles, cases with acts and enriched, first case numbers and courts by case id, and person_id.
 
-    Counts are by person and case first. Samples are ranked before they are collected, and roles and courts are made
-    distinct first, so no group grows with its cases.
+    Counts are by person and case first, then by person and court, which is cut. The first case numbers are limited where
+    the rows are made, and roles and courts are made distinct first, so no group grows with its cases.
     """
-    by_case = found.groupBy(F.lower("name").alias("person"), "case_id").agg(F.min_by("number", "at").alias("number"), F.min_by("court", "at").alias("court"), F.max("act").alias("act"), F.max("enriched").alias("enriched"))
-    first = F.row_number().over(Window.partitionBy("person").orderBy("case_id"))
-    shown = lambda rows, column, most, name: rows.withColumn("__i", first).where(F.col("__i") <= most).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", column))), lambda x: x[column]).alias(name))
-    numbers = shown(by_case, "number", NUMBERS, "numbers")
-    courts = shown(by_case.groupBy("person", "court").agg(F.min("case_id").alias("case_id")), "court", COURTS, "first_courts")
-    roles = found.select(F.lower("name").alias("person"), "role").distinct().groupBy("person").agg(F.array_sort(F.collect_set("role")).alias("roles"))
-    sums = by_case.groupBy("person").agg(F.count_if("act").alias("with_acts"), F.count_if("enriched").alias("enriched_cases"))
-    names = found.groupBy(F.lower("name").alias("person")).agg(F.min_by("name", F.struct("case_id", "at")).alias("first_name"))
-    out = index(found).drop("name")
-    for more in (names, sums, roles, numbers, courts):
+    rows = found.withColumn("person", F.lower("name"))
+    families = [F.max(F.col("family") == f).alias(f) for f in FAMILIES]
+    by_case = rows.groupBy("person", "case_id").agg(F.count("*").alias("n"), F.min(F.struct("at", "name")).alias("said"), F.min("court").alias("court"), F.max("act").alias("act"), F.max("enriched").alias("enriched"), *families)
+    first = F.min(F.struct("case_id", "said")).alias("first")
+    by_court = cut(by_case.groupBy("person", "court").agg(F.sum("n").alias("n"), F.count("*").alias("cases"), F.count_if("act").alias("with_acts"), F.count_if("enriched").alias("enriched_cases"), first, *[F.max(f).alias(f) for f in FAMILIES]))
+    sums = by_court.groupBy("person").agg(
+        F.min("first")["said"]["name"].alias("name"), F.sum("n").alias("appearances"), F.sum("cases").alias("cases"), F.count("court").alias("courts"), F.sum("with_acts").alias("with_acts"), F.sum("enriched_cases").alias("enriched_cases"), *[F.max(f).alias(f) for f in FAMILIES]
+    )
+    held = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in FAMILIES]), lambda x: x.isNotNull())
+    out = sums.withColumns({"families": held, "primary_family": held[0], "person_id": F.concat(F.lit("p:"), slug(F.col("name")))}).drop(*FAMILIES)
+
+    of_person = Window.partitionBy("person")
+    shown = lambda ranked_, column, name: ranked_.groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", column))), lambda x: x[column]).alias(name))
+    few = rows.select("person", "case_id", "number", "at").withColumn("__i", F.dense_rank().over(of_person.orderBy("case_id"))).where(F.col("__i") <= NUMBERS)
+    numbers = shown(few.groupBy("person", "__i").agg(F.min_by("number", "at").alias("number")), "number", "numbers")
+    courts = shown(by_court.select("person", "court", F.row_number().over(of_person.orderBy("first.case_id")).alias("__i")).where(F.col("__i") <= COURTS), "court", "first_courts")
+    roles = rows.select("person", "role").distinct().groupBy("person").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    for more in (roles, numbers, courts):
         out = out.join(more, "person")
-    return out.withColumnRenamed("first_name", "name").withColumn("person_id", F.concat(F.lit("p:"), slug(F.col("name"))))
+    return out
 
 
 def index(appearances: DataFrame) -> DataFrame:
@@ -112,9 +123,10 @@ def totals(rows: DataFrame, kind: str, person: str) -> DataFrame:
 def representatives(cases: DataFrame) -> DataFrame:
     """(name, person, kind, court, court_name): one row for each representative on a case's card; placeholders are left out."""
     each = cases.select("courtSubdomain", F.coalesce(F.nullif("courtName", F.lit("")), "courtSubdomain").alias("court_name"), F.explode("participants").alias("p"))
-    name = collapse(F.coalesce("p.name", F.lit("")))
-    skip = name.rlike(pattern(SKIP))
-    rows = each.select(name.alias("name"), representative_kind(F.col("p.role")).alias("kind"), F.col("courtSubdomain").alias("court"), "court_name").where(F.col("kind").isNotNull() & ~skip & ~is_masked(F.col("name")))
+    rows = each.select(collapse(F.coalesce("p.name", F.lit(""))).alias("name"), representative_kind(F.col("p.role")).alias("kind"), F.col("courtSubdomain").alias("court"), "court_name")
+    keep = F.col("kind").isNotNull() & ~F.col("name").rlike(pattern(SKIP)) & ~is_masked(F.col("name"), True)
+    # As a generated row: a filter would move below the projection and collapse the name again for each of its rules.
+    rows = rows.select(F.explode_outer(F.array(F.struct("*", keep.alias("keep")))).alias("x")).where("x.keep").select("x.name", "x.kind", "x.court", "x.court_name")
     return rows.withColumn("person", F.concat(F.lit("p:"), slug(F.col("name"))))
 
 

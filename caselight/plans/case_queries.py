@@ -206,7 +206,7 @@ def representative_winrates(spark: SparkSession, sf: str) -> DataFrame:
 g AS (SELECT "courtSubdomain" AS court, count(name) AS appearances, count(DISTINCT name) AS people, count(name) FILTER (kind = 'representative') AS representative_appearances, count(DISTINCT name) FILTER (kind = 'representative') AS representative_people,
 count(name) FILTER (kind = 'advocate') AS advocate_appearances, count(DISTINCT name) FILTER (kind = 'advocate') AS advocate_people, CAST(0 AS BIGINT) AS jurist_appearances, CAST(0 AS BIGINT) AS jurist_people FROM cases LEFT JOIN x USING (z_k) GROUP BY 1) SELECT *, appearances / max(appearances) OVER () AS intensity FROM g""")
 def representative_heat(spark: SparkSession, sf: str) -> DataFrame:
-    return people.representative_heat(ct.cases(spark, sf))
+    return people.representative_heat(ct.cases(spark, sf, dealt=True))
 
 
 _MENTIONS = ct.named_rows(
@@ -225,7 +225,7 @@ b AS (SELECT person, count(*) AS cases, count(DISTINCT "courtSubdomain") AS cour
 c AS (SELECT person, string_agg("courtSubdomain", '; ' ORDER BY i) FILTER (i <= 4) AS first_courts FROM q GROUP BY 1)
 SELECT person, name, appearances, families, primary_family, roles, cases, courts, with_acts, enriched_cases, numbers, first_courts, 'p:' || trim(regexp_replace(person, '[^a-zа-я0-9]+', '-', 'g'), '-') AS person_id FROM a JOIN b USING (person) JOIN c USING (person)""")
 def people_index(spark: SparkSession, sf: str) -> DataFrame:
-    out = people.full_index(people.appearances_of(ct.cases(spark, sf)))
+    out = people.full_index(people.appearances_of(ct.cases(spark, sf, dealt=True)))
     return out.withColumns({c: _joined(c) for c in ("families", "roles", "numbers", "first_courts")})
 
 

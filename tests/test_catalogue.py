@@ -162,3 +162,16 @@ def test_people_and_empty_tables(spark):
     index = people.full_index(people.appearances_of(small_catalogue(spark)))
     assert [r.person for r in people.find_person(index, "Иванова И.И.").collect()] == ["иванова и.и."] and people.find_person(index, " ").count() == 0
     assert [r.person for r in people.find(index, family="судья").collect()] == ["иванова и.и."]
+
+
+def test_names_are_judged_once(spark):
+    cases = small_catalogue(spark)
+    for rows, generates in ((people.appearances_of(cases), 2), (people.representatives(cases), 2)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == generates and plan.count("данные изъяты") <= 3  # a placeholder of the fixed list, in one place of the plan
+
+
+def test_index_reads_the_appearances_three_times(spark):
+    found = people.appearances_of(small_catalogue(spark))
+    plan = people.full_index(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 2  # first numbers and roles; sums and courts are cut before
