@@ -135,20 +135,20 @@ def funnel(totals: DataFrame, stages: list[tuple[str, str]]) -> DataFrame:
 def coverage(cases: DataFrame, indexed: DataFrame, region: str | None = None) -> DataFrame:
     """Totals over the catalogue: with link, enriched, with documents, acts, full texts, pending, in the index. indexed: ids (column id) of indexed cases."""
     rows = cases if region is None else cases.where(F.col("courtRegion") == region)
-    ids = indexed.select("id").distinct().withColumn("__in", F.lit(True))
-    by_id = rows.join(ids, "id", "left").withColumnRenamed("__in", "__a")
-    both = by_id.join(ids.toDF("caseUid", "__b"), "caseUid", "left")  # two keys, so two equi-joins
     full = F.coalesce("hasActText", F.lit(False)) | F.exists("documents", lambda d: F.coalesce(d["hasText"], F.lit(False)) | (F.coalesce(F.length(F.trim(d["text"])), F.lit(0)) > 50))
+    # Only flags go through the joins. A row without a uid meets nothing; a key of its own keeps these rows from one task. One key,
+    # as of two Spark would deal the rows by the uid alone, by which the ids are dealt already.
+    flags = rows.select(
+        "id", F.coalesce(F.concat(F.lit("u"), "caseUid"), F.concat(F.lit("-"), "id")).alias("__uid"),
+        present(F.col("caseUrl")).alias("url"), present(F.col("enrichedAt")).alias("enriched"), ((F.coalesce("documentsCount", F.lit(0)) > 0) | (F.size("documents") > 0)).alias("documents"), F.coalesce("hasActText", F.lit(False)).alias("act"), full.alias("full"),
+    )
+    ids = indexed.select("id").distinct().withColumn("__in", F.lit(True))
+    by_id = flags.join(ids, "id", "left").withColumnRenamed("__in", "__a")
+    both = by_id.join(ids.select(F.concat(F.lit("u"), "id").alias("__uid"), F.col("__in").alias("__b")), "__uid", "left")  # two keys, so two equi-joins
     return both.agg(
-        F.count("*").alias("size"),
-        F.count_if(present(F.col("caseUrl"))).alias("with_url"),
-        F.count_if(present(F.col("enrichedAt"))).alias("enriched"),
-        F.count_if((F.coalesce("documentsCount", F.lit(0)) > 0) | (F.size("documents") > 0)).alias("with_documents"),
-        F.count_if(F.coalesce("hasActText", F.lit(False))).alias("with_act_text"),
-        F.count_if(full).alias("with_full_text"),
-        F.count_if(present(F.col("caseUrl")) & ~present(F.col("enrichedAt"))).alias("pending"),
-        F.count_if(F.coalesce("__a", "__b", F.lit(False))).alias("in_index"),
-    )
+        F.count("*").alias("size"), F.count_if("url").alias("with_url"), F.count_if("enriched").alias("enriched"), F.count_if("documents").alias("with_documents"), F.count_if("act").alias("with_act_text"),
+        F.count_if("full").alias("with_full_text"), F.count_if(F.col("url") & ~F.col("enriched")).alias("pending"), F.count_if(F.coalesce("__a", "__b", F.lit(False))).alias("in_index"),
+    )
 
 
 def coverage_by(cases: DataFrame, column: str, most: int) -> DataFrame:
