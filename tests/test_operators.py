@@ -153,3 +153,22 @@ def test_store(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"version": 1, "cases": {"a": {"id": "a", "caseNumber": "2-1", "events": [{"name": "x"}]}}}')
     row = store.read_json(spark, str(tmp_path / "c.json")).first()
     assert (row.id, row.documents, row.events[0].name) == ("a", [], "x")
+
+
+def test_medians_are_exact_without_a_task_that_holds_all_values(spark):
+    for n in (0, 1, 2, 3, 4, 9_998, 9_999):
+        rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("b"), F.lit(7.0).alias("c"))
+        expected = rows.agg(F.median("a").alias("a"), F.median("b").alias("b"), F.median("c").alias("c")).first()
+        assert cases.medians(rows, ["a", "b", "c"]).first() == expected
+    plan = cases.amounts_report(rows, F.col("a"), F.col("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile(" not in plan
+
+
+def test_cases_without_uid_are_dealt(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") == 5, "u5").alias("caseUid"), F.lit("x").alias("caseUrl"), F.lit("").alias("enrichedAt"), F.lit(0).alias("documentsCount"), F.lit(False).alias("hasActText"), F.array().cast("array<struct<text:string,hasText:boolean>>").alias("documents"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = cases.coverage(rows, spark.createDataFrame([("u5",), ("c7",)], "id string"))
+    assert (got.first()["size"], got.first()["in_index"]) == (1000, 2)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x]
+    assert any("__uid" in x for x in dealt) and not any("caseUid" in x for x in dealt)
