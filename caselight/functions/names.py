@@ -223,11 +223,20 @@ def name_fields(case: dict[str, Column]) -> Column:
     )
 
 
-def names_of_field(kind: Column, about: Column, raw: Column) -> Column:
-    """(role, names): whose names a field of `name_fields` holds, and the names; a null role for those that hold none."""
+def _role_of_field(kind: Column, about: Column, raw: Column) -> Column:
     presides = about.rlike("(?iu)судья|председ")
     of_participant = F.when(presides, "judge").when(about.rlike("(?iu)адвокат|представ|юрискон"), "lawyer")
-    role = F.when(kind == "judge", F.lit("judge")).when(kind == "participant", of_participant).when(kind == "event", F.when(presides & (F.trim(raw) != ""), "judge")).otherwise("lawyer")
+    return F.when(kind == "judge", F.lit("judge")).when(kind == "participant", of_participant).when(kind == "event", F.when(presides & (F.trim(raw) != ""), "judge")).otherwise("lawyer")
+
+
+def may_hold_names(kind: Column, about: Column, raw: Column) -> Column:
+    """Whether a field of `name_fields` has a role, and parties a word before which `lawyers_in_fields` finds nothing."""
+    return _role_of_field(kind, about, raw).isNotNull() & ((kind != "parties") | raw.rlike("(?iu)адвокат|представител|защитник|юрисконсульт"))
+
+
+def names_of_field(kind: Column, about: Column, raw: Column) -> Column:
+    """(role, names): whose names a field of `name_fields` holds, and the names; a null role for those that hold none."""
+    role = _role_of_field(kind, about, raw)
     return F.struct(role.alias("role"), F.when(kind == "parties", lawyers_in_fields(raw)).otherwise(split_names(raw)).alias("names"))
 
 

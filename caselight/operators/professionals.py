@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import BANK, category_head, name_fields, names_of_field, professional_name, region_label, split_names
+from ..functions.names import BANK, category_head, may_hold_names, name_fields, names_of_field, professional_name, region_label, split_names
 from ..functions.text import collapse, pattern, present, slug
 from ..session import cut
 from .people import professional_rating, professional_tier
@@ -22,7 +22,8 @@ def appearances(cases: DataFrame, suffix: str = "--mor", code: str = "13") -> Da
     """(person, name, role, at, id and a case's columns): one row for each person and case, in the role found first.
 
     A court without region that has the suffix belongs to the region of the code. Each distinct field is split and its names
-    are judged once, however many cases have it. The rows are cut, as cards, heats and practice all read them.
+    are judged once, however many cases have it; fields that can't hold a name, those of the most frequent parties among them,
+    aren't dealt by their text. The rows are cut, as cards, heats and practice all read them.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     asked = cases.where(present(F.trim("judge")) | (F.coalesce(F.size("participants"), F.lit(0)) > 0) | text("parties").rlike("(?iu)адвокат|представ|юрискон") | present(F.col("enrichedAt")))
@@ -31,7 +32,7 @@ def appearances(cases: DataFrame, suffix: str = "--mor", code: str = "13") -> Da
         "id", "caseNumber", "courtSubdomain", "courtName", F.nullif("courtRegion", F.lit("")).alias("region"), "category", "status", "hearingDate", "collectedAt",
         F.coalesce("documentsCount", F.lit(0)).alias("documents"), F.coalesce("hasActText", F.lit(False)).alias("act"), present(F.col("enrichedAt")).alias("enriched"),
         F.coalesce(F.nullif("courtRegion", F.lit("")), F.when(F.lower("courtSubdomain").endswith(suffix), F.lit(code))).alias("place"),
-    ).where("f.raw <> ''").select("*", "f.kind", "f.about", "f.raw").drop("f")
+    ).where((F.col("f.raw") != "") & may_hold_names(F.col("f.kind"), F.col("f.about"), F.col("f.raw"))).select("*", "f.kind", "f.about", "f.raw").drop("f")
     field = ["kind", "about", "raw"]
     named = found.select(*field).distinct().select(*field, names_of_field(*(F.col(c) for c in field)).alias("names")).where("names.role IS NOT NULL")
     each = named.select(*field, F.col("names.role").alias("role"), F.posexplode("names.names").alias("part", "said")).withColumn("name", professional_name(F.col("said"), F.col("role") == "judge")).where("name IS NOT NULL")

@@ -175,3 +175,14 @@ def test_index_reads_the_appearances_three_times(spark):
     found = people.appearances_of(small_catalogue(spark))
     plan = people.full_index(found)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode") == 2  # first numbers and roles; sums and courts are cut before
+
+
+def test_fields_without_names_are_not_dealt(spark):
+    from caselight.functions import names
+
+    fields = [("judge", "", "Иванов"), ("participant", "истец", "ПАО Сбербанк"), ("participant", "адвокат", "Петров П.П."), ("event", "регистрация", "x"), ("event", "назначен судья", "Сидоров"), ("parties", "", "ООО Вектор / АО Луч"), ("parties", "", "ООО Вектор, Представитель: Орлов О.О.")]
+    rows = spark.createDataFrame(fields, "kind string, about string, raw string")
+    each = [F.col(c) for c in rows.columns]
+    got = rows.select(names.may_hold_names(*each).alias("may"), names.names_of_field(*each).alias("n")).collect()
+    assert [r.may for r in got] == [True, False, True, False, True, False, True]
+    assert all(r.may or r.n.role is None or not r.n.names for r in got)
