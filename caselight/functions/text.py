@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -106,10 +107,20 @@ def stops_of(stop_words: list[str] | None) -> list[str]:
     return list(dict.fromkeys(STOP_WORDS if stop_words is None else stop_words))
 
 
-def counts_as_token(word: Column, stem_of: Column, stop_words: list[str] | None) -> Column:
-    """Whether a word with its stem is a token: two characters or more, no stop word before or after stemming."""
-    stops = stops_of(stop_words)
-    return (F.length(word) >= 2) & ~word.isin(stops) & (stem_of != "") & ~stem_of.isin(stops)
+#: Letters, digits and dashes of a word, in lower case.
+WORD = "[a-zа-я0-9\\-]+"
+_ENDING = re.compile(f"(.{{4,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})")
+
+
+def words_of(text: str, word: str = WORD) -> list[str]:
+    """What `split_words` gives for a text in a task; of an empty text no word instead of an empty one."""
+    return re.findall(word, text.lower().replace("ё", "е"))
+
+
+def stem_of(word: str) -> str:
+    """What `stem` gives for a word in a task."""
+    found = _ENDING.fullmatch(word)
+    return found[1] if found else word
 
 
 def tokenize(text: Column, stop_words: list[str] | None = None) -> Column:

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import counts_as_token, split_words, stem, tokenize
-from ..session import cut
+from ..functions.text import WORD, stem_of, stops_of, tokenize, words_of
+from ..session import folder
 
 #: Characters of a chunk, of the overlap with the next one, and of the shortest chunk kept.
 TARGET, OVERLAP, LEAST = 1200, 250, 120
 #: Characters of the shortest document that is indexed, and tokens of the shortest chunk.
 LEAST_DOCUMENT, LEAST_TOKENS = 80, 5
 K1, B = 1.5, 0.75
+#: Words whose terms a task keeps in mind, and postings that it hands over at once.
+MOST_KNOWN, ROWS_SENT = 500_000, 100_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[А-ЯA-Z])")
 
@@ -78,26 +82,93 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, repeat_tail: bool = True)
     return long.mapInPandas(run, f"id {kind}, number int, offset int, text string").withColumnRenamed("id", id_col)
 
 
-def term_counts(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(id_col, term, tf): how often each row has each term. Words are stemmed as rows, by compiled expressions, not within arrays."""
-    rows = rows.select(id_col, text_col)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a small table in few files: its texts are dealt out, a large one is read in many splits anyway
-        rows = rows.repartition(cores)
-    words = rows.select(id_col, F.explode(split_words(F.col(text_col))).alias("word"))
-    terms = words.withColumn("term", stem(F.col("word"))).where(counts_as_token(F.col("word"), F.col("term"), stop_words))
-    return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def terms_of_texts(batches: Iterator[pa.RecordBatch], stop_words: list[str] | None = None, word: str = WORD) -> Iterator[tuple[object, dict[str, int]]]:
+    """(id, how often it has each term) of each text of Arrow batches (id, text); rows of one id must follow each other and are one text.
+
+    The same terms as those of `tokenize`, with each distinct word stemmed once.
+    """
+    stops, known = set(stops_of(stop_words)), {}
+
+    def term_of(word: str) -> str | None:
+        found = stem_of(word) if len(word) >= 2 and word not in stops else ""
+        if len(known) >= MOST_KNOWN:
+            known.clear()
+        known[word] = found = found if found and found not in stops else None
+        return found
+
+    def counted(words: Counter) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for word, n in words.items():
+            term = known[word] if word in known else term_of(word)
+            if term is not None:
+                out[term] = out.get(term, 0) + n
+        return out
+
+    held, words = None, None
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if words is None or key != held:
+                if words is not None:
+                    yield held, counted(words)
+                held, words = key, Counter()
+            words.update(words_of(text or "", word))
+    if words is not None:
+        yield held, counted(words)
+
+
+def term_counts(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS, word: str = WORD) -> DataFrame:
+    """(id_col, term, tf, size): how often each text with enough tokens has each term, and its tokens.
+
+    Rows of one id are one text, so they are dealt and sorted by id. `word` is the expression of a lower-case word; all else parts words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, tfs, lengths, kind = [], [], [], [], pa.null()
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(ids, kind), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int32())]
+            for x in (ids, terms, tfs, lengths):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf", "size"])
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch
+
+        for key, found in terms_of_texts(seen(), stop_words, word):
+            size = sum(found.values())
+            if found and size >= least:
+                ids += [key] * len(found)
+                lengths += [size] * len(found)
+                terms += found
+                tfs += found.values()
+            if len(ids) >= ROWS_SENT:
+                yield made()
+        if ids:
+            yield made()
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    dealt = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").sortWithinPartitions("id")
+    return dealt.mapInArrow(run, f"id {kind}, term string, tf long, size int").withColumnRenamed("id", id_col)
+
+
+def sizes(counts: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, size): tokens of each text of term counts."""
+    return counts.groupBy(id_col).agg(F.first("size").alias("size"))
 
 
-def sizes(counts: DataFrame, id_col: str, least: int = LEAST_TOKENS) -> DataFrame:
-    """(id_col, size): tokens of each row that has enough of them to be indexed."""
-    return counts.groupBy(id_col).agg(F.sum("tf").cast("int").alias("size")).where(F.col("size") >= least)
+def _counted_once(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None, least: int, word: str = WORD) -> DataFrame:
+    """The term counts, written once as Parquet: who reads them takes the columns that it needs."""
+    path = folder(rows.sparkSession, "term-counts")
+    term_counts(rows, id_col, text_col, stop_words, least, word).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS) -> DataFrame:
-    """(id_col, term, tf, size): the inverted index of rows with enough tokens."""
-    counts = cut(term_counts(rows, id_col, text_col, stop_words))  # read twice: for the sizes and for the postings
-    return counts.join(sizes(counts, id_col, least), id_col)
+def postings(rows: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS, word: str = WORD) -> DataFrame:
+    """(id_col, term, tf, size): the inverted index of rows with enough tokens and an id."""
+    return _counted_once(rows, id_col, text_col, stop_words, least, word).where(F.col(id_col).isNotNull())
 
 
 @dataclass(frozen=True)
@@ -112,11 +183,10 @@ class Index:
 
 def store_index(rows: DataFrame, id_col: str, text_col: str, root: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS) -> Index:
     """Builds the index of rows once and writes it under root as Parquet; postings are dealt and sorted by term, so that a search reads few row groups."""
-    counts = cut(term_counts(rows, id_col, text_col, stop_words))
-    kept = cut(sizes(counts, id_col, least))
-    found = counts.join(kept, id_col)
-    found.repartitionByRange("term").sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{root}/postings")
-    kept.write.mode("overwrite").parquet(f"{root}/sizes")
+    counts = _counted_once(rows, id_col, text_col, stop_words, least)
+    # By term and id: the postings of a term that all texts have go to as many files as they fill.
+    counts.where(F.col(id_col).isNotNull()).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{root}/postings")
+    sizes(counts, id_col).write.mode("overwrite").parquet(f"{root}/sizes")
     spark = rows.sparkSession
     spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
     spark.read.parquet(f"{root}/sizes").agg(F.count("*").alias("n"), F.avg("size").alias("avg_size")).write.mode("overwrite").parquet(f"{root}/stats")
@@ -144,8 +214,9 @@ def query_terms(spark, text: str, stop_words: list[str] | None = None) -> DataFr
 def bm25(index: DataFrame | Index, id_col: str, query: str, stop_words: list[str] | None = None) -> DataFrame:
     """(id_col, score) of all rows that share a term with the query. Postings of the query's terms alone are joined and summed."""
     rows = index.postings if isinstance(index, Index) else index
-    terms = query_terms(rows.sparkSession, query, stop_words)
-    met = rows.join(F.broadcast(terms), "term")  # as many rows as the query has words
+    asked = query_terms(rows.sparkSession, query, stop_words).collect()  # as many rows as the query has words
+    terms = rows.sparkSession.createDataFrame(asked, "term string, qtf long")
+    met = rows.where(F.col("term").isin([r["term"] for r in asked])).join(F.broadcast(terms), "term")  # files skip what the terms aren't in
     df = index.terms.join(F.broadcast(terms.select("term")), "term") if isinstance(index, Index) else met.groupBy("term").agg(F.count("*").alias("df"))
     stats = index.stats if isinstance(index, Index) else corpus(index, id_col)
     rows = met.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row

@@ -11,18 +11,67 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.store import TRIES, Conflict, Files
-from .fulltext import B, K1, LEAST_TOKENS, query_terms, sizes, term_counts
+from .fulltext import B, K1, LEAST_TOKENS, query_terms, terms_of_texts
 
 #: Documents of a block, as a power of two; blocks that a search scores first, to know what the others must reach.
 BLOCK_BITS, FIRST = 10, 32
+_BLOCK = "term string, block long, most_tf int, least_size int, steps array<int>, tfs array<int>, sizes array<int>"
+#: Bits of a number below the task's, as those of monotonically_increasing_id.
+_TASK_BITS = 33
+
+
+def _blocks_of(stops: list[str] | None, least: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's texts (id, text) the block rows, and a row without a term for each block: its texts' ids, numbers and sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, first = pa.null(), TaskContext.get().partitionId() << _TASK_BITS
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch
+
+        def made(block: int, texts: list[tuple[object, dict[str, int]]]) -> pa.RecordBatch:
+            lengths, met = [sum(t.values()) for _, t in texts], {}
+            for step, (_, terms) in enumerate(texts):
+                for term, tf in terms.items():
+                    if (at := met.get(term)) is None:
+                        at = met[term] = ([], [])
+                    at[0].append(step)
+                    at[1].append(tf)
+            held = list(met.values())
+            steps, tfs = [list(range(len(texts))), *[x for x, _ in held]], [[], *[x for _, x in held]]
+            of_sizes = [lengths, *[[lengths[i] for i in x] for x, _ in held]]
+            n = len(steps)
+            columns = [
+                pa.array([[k for k, _ in texts], *[None] * (n - 1)], pa.list_(kind)), pa.array([None, *met], pa.string()), pa.array([block] * n, pa.int64()), pa.array([max(x, default=None) for x in tfs], pa.int32()),
+                pa.array([min(x) for x in of_sizes], pa.int32()), pa.array(steps, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(of_sizes, pa.list_(pa.int32())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["ids", "term", "block", "most_tf", "least_size", "steps", "tfs", "sizes"])
+
+        block, texts = first >> bits, []
+        for key, terms in terms_of_texts(seen(), stops):
+            if terms and sum(terms.values()) >= least:
+                texts.append((key, terms))
+                if len(texts) == 1 << bits:
+                    yield made(block, texts)
+                    block, texts = block + 1, []
+        if texts:
+            yield made(block, texts)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -91,11 +140,19 @@ class TextIndex:
 
     def put(self, rows: DataFrame, text_col: str) -> State:
         """Adds texts, in place of those of the same ids. A text with too few tokens only removes; of rows of one id the greatest text counts; null ids are left out."""
-        texts = rows.where(F.col(self.id_col).isNotNull()).groupBy(F.col(self.id_col).alias("id")).agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-        Files(self.spark, self.root).put(f"{self.root}/made/kind", rows.schema[self.id_col].dataType.simpleString())
-        counts = cut(term_counts(texts, "id", "text", self._stops))
-        segment = self._write(sizes(counts, "id", self.least), counts)
-        return self._change(cut(texts.select("id")), segment)
+        each = rows.where(F.col(self.id_col).isNotNull()).select(F.col(self.id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        # Dealt by ranges of ids, texts are numbered in the tasks that tokenise them, and all of a block is in one task.
+        texts = each.repartitionByRange("id").groupBy("id").agg(F.max("text").alias("text")).sortWithinPartitions("id")
+        files, kind = Files(self.spark, self.root), rows.schema[self.id_col].dataType.simpleString()
+        files.put(f"{self.root}/made/kind", kind)
+        name, draft = f"segments/{uuid.uuid4().hex}", f"{self.root}/drafts/{uuid.uuid4().hex}"
+        texts.mapInArrow(_blocks_of(self._stops, self.least, self.block_bits), f"ids array<{kind}>, {_BLOCK}").write.parquet(draft)
+        made = self.spark.read.parquet(draft)
+        docs = made.where("term IS NULL").select("block", F.explode(F.arrays_zip("ids", "steps", "sizes")).alias("p"))
+        docs.select(F.col("p.ids").alias("id"), F.col("p.sizes").alias("size"), (F.shiftleft("block", self.block_bits) + F.col("p.steps")).alias("doc")).write.parquet(f"{self.root}/{name}/docs")
+        self._store(made.where("term IS NOT NULL").drop("ids"), name)
+        files.remove(draft)
+        return self._change(cut(each.select("id").distinct()), name)
 
     def remove(self, ids: DataFrame) -> State:
         """Removes the texts with these ids; ids that the index doesn't have change nothing."""
@@ -112,9 +169,14 @@ class TextIndex:
         rows = each.groupBy("term", "block").agg(found.alias("p"), F.max("tf").cast("int").alias("most_tf"), F.min("size").alias("least_size"))
         steps = F.transform("p", lambda x: x["doc"].bitwiseAND(F.lit((1 << self.block_bits) - 1)).cast("int"))
         coded = rows.select("term", "block", "most_tf", "least_size", steps.alias("steps"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["size"]).alias("sizes"))
+        self._store(coded, name)
+        return name
+
+    def _store(self, coded: DataFrame, name: str) -> None:
+        """A segment's blocks and how many texts have each term."""
+        path = f"{self.root}/{name}"
         coded.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
         self.spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("steps")).alias("df")).write.parquet(f"{path}/terms")
-        return name
 
     def _postings(self, blocks: DataFrame) -> DataFrame:
         """(segment, block, term, doc, tf, size) of block rows."""
@@ -163,7 +225,7 @@ class TextIndex:
     # --- searches -----------------------------------------------------------------------------------------------------
 
     def _blocks(self, state: State) -> DataFrame:
-        return self._parts(state.segments, "blocks", "term string, block long, most_tf int, least_size int, steps array<int>, tfs array<int>, sizes array<int>")
+        return self._parts(state.segments, "blocks", _BLOCK)
 
     def frequencies(self, state: State | None = None) -> DataFrame:
         """(term, df): in how many live texts each term is."""

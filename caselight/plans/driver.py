@@ -445,8 +445,7 @@ p AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM tok WHERE len(w) >=
 
 def latin_index(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with ASCII letters and digits only, for which the endings of the other script never apply."""
-    docs = t(spark, sf, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"[^a-z0-9\s-]", " ").alias("text"))
-    return fulltext.postings(docs, "doc_id", "text", stop_words=["и"])
+    return fulltext.postings(t(spark, sf, "documents"), "doc_id", "text", stop_words=["и"], word=r"[a-z0-9\-]+")
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM i GROUP BY term HAVING count(*) >= 20")
