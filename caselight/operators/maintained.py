@@ -52,9 +52,10 @@ class Maintained:
         return total.where(" OR ".join(f"`{s}` <> 0" for s in self.sums))
 
     def _delta(self, since: int, until: int) -> DataFrame:
-        changed = self.source.changed(since, until)
-        side = lambda name, sign: self.shares(changed.where(F.col(name).isNotNull()).select(self.source.key, f"{name}.*")).withColumn("sign", F.lit(sign))
-        return self._summed(side("before", -1).unionByName(side("after", 1)))
+        """What the groups gain. Rows that are the same on both sides take back what they add, so the sides needn't be joined, and sums alone are shuffled."""
+        before, after = self.source.sides(since, until)
+        side = lambda rows, sign: self.shares(rows).withColumn("sign", F.lit(sign))
+        return self._summed(side(before, -1).unionByName(side(after, 1)))
 
     def advance(self, until: int | None = None) -> int:
         """Brings the sums to a version of the source, by default the latest, and returns it.

@@ -83,3 +83,15 @@ def test_an_empty_store(spark, tmp_path):
     store.upsert(spark.createDataFrame([], f"id string, {COLUMNS}, seq long"))
     kept.advance()
     assert kept.read().agg(F.count("*")).first()[0] == 0
+
+
+def test_an_advance_joins_no_rows_and_a_batch_is_shuffled_once(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", "id", ("who", "what"), "seq")
+    rows = spark.createDataFrame([(f"c{i}", f"p{i % 3}", "x", 1) for i in range(20)], "id string, who string, what string, seq long")
+    first = store.upsert(rows)
+    store.upsert(rows.where("id = 'c0'").withColumns({"who": F.lit("p1"), "seq": F.lit(2).cast("long")}))
+    kept = Maintained(store, f"{tmp_path}/sums", lambda c: c.select("who", F.lit(1).alias("n")), ("who",), ("n",))
+    delta = kept._delta(first.number, first.number + 1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert {(x.names.who, x.n) for x in delta.collect()} == {("p0", -1), ("p1", 1)} and "Join" not in plan(delta)
+    assert "Exchange" not in plan(store._incoming(rows.repartition(2)).select("key")).replace("Exchange RoundRobinPartitioning", "")
