@@ -1,39 +1,41 @@
-"""Alignment of two tokenizers' tokens over the same bytes, with higher-order functions once the texts are tokenised.
-
-Python only tokenises, a block of texts at a time: the ids of both tokenizers for each distinct word of the block, the byte
-offsets where their tokens end (as if the words followed each other), and each text as numbers of words. Words begin with
-spaces where both tokenizers part anyway, so texts are sequences of words for both. What follows is arrays in the JVM. The
-ends that both share (array_intersect) close groups. Both lists of ends are sorted into one; an end of A with index i at
-place k has k - i ends of B before it, so it lies in B's token k - i, and the other way round: each end that isn't shared
-links the token that it closes with the one that it falls in, each shared one the two tokens that it closes.
+"""Alignment of two tokenizers' tokens over the same bytes, a block of texts at a time, and counts of the pairs that overlap.
+
+Tasks tokenise: the ids of both tokenizers for each distinct word of a block, the byte offsets where their tokens end (as if
+the words followed each other), and each text as numbers of words. Words begin with spaces where both tokenizers part
+anyway, so texts are sequences of words for both, and words are aligned once for each block, by arrays: between two
+neighbouring ends of either side lies one part of one token of A and of one of B, which is the link of the two; the ends
+that both share close groups. Counting the pairs of all texts and holding each text against the counts is Spark's.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, folder, ship
 from .bpe import _spread as spread
-from .chunks import tidy_batches
+from .chunks import release, tidy_batches
 from .sentence_pieces import model
 from .words import blocks, buffer
 
 #: Fixed value: how byte-level tokenizers of this kind split a text before they merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text bytes whose distinct words are aligned together.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 #: Pairs of ids whose counts are sent to all executors: the most frequent ones. Those of all others are joined by a shuffle.
 MOST_SENT = 1_000_000
+#: Bytes of a row group of the links: a task's heap holds one until it is written.
+GROUP_BYTES = 16_000_000
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 _DOC = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.IntegerType(), False) for c in ("n_a", "n_b")], T.StructField("words", _INTS, False)])
@@ -120,15 +122,8 @@ def _widths(table: pa.Array) -> np.ndarray:
     return np.diff(np.frombuffer(table.buffers()[1], np.int64)[: len(table) + 1])
 
 
-def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(docs, a_ids, a_ends, b_ids, b_ends, word_ends): blocks of texts as tokens, by a byte-level BPE (A) of space and text, and by a SentencePiece model (B) that adds the space.
-
-    Ids and ends are those of the block's distinct words, one after another; ends are byte offsets. docs has each text's id,
-    its numbers of tokens and the numbers of its words. Texts that are null, empty or not spelled by both have none.
-    """
-    description, raw = Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes()  # tasks get them with the function
-    byte_level(description)
-    model(raw)
+def _tokeniser(description: str, raw: bytes, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes blocks of tokens from batches (id, text)."""
     ints = pa.int32()
 
     def block(names: pa.Array, part: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -167,66 +162,95 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffer(batch.column(1))
-            for first, end, part, offsets in blocks(data, at, BLOCK_BYTES):
+            for first, end, part, offsets in blocks(data, at, block_bytes):
                 yield block(batch.column(0).slice(first, end - first), part, offsets)
 
+    return run
+
+
+def _files(a_path: str, b_path: str) -> tuple[str, bytes]:
+    """What describes the tokenizers; tasks get it with the function."""
+    description, raw = Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes()
+    byte_level(description)
+    model(raw)
+    return description, raw
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy_batches(run), _BLOCKS)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(docs, a_ids, a_ends, b_ids, b_ends, word_ends): blocks of texts as tokens, by a byte-level BPE (A) of space and text, and by a SentencePiece model (B) that adds the space.
+
+    Ids and ends are those of the block's distinct words, one after another; ends are byte offsets. docs has each text's id,
+    its numbers of tokens and the numbers of its words. Texts that are null, empty or not spelled by both have none.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(tidy_batches(_tokeniser(*_files(a_path, b_path), BLOCK_BYTES)), _BLOCKS)
+
+
+@lru_cache(maxsize=1)
+def _decimals(size: int) -> pa.Array:
+    """The numbers below size as decimal text, followed by a comma, then all by a bar, then all by a semicolon."""
+    return pa.array([f"{i}{sign}".encode() for sign in ",|;" for i in range(size)], pa.large_binary())
+
+
+def _word_groups(sides: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], shared: np.ndarray, word_ends: np.ndarray) -> pa.Array:
+    """Each word's groups as text, each group with a semicolon behind it. sides: ids and ends of A and of B."""
+    size = 1 << max(int(ids.max(initial=0)) for ids, _ in sides).bit_length()
+    upto = [np.concatenate(([0], np.searchsorted(ends, shared, "right"))) for _, ends in sides]  # tokens of the first groups
+    text = np.empty(sum(len(ids) for ids, _ in sides), np.int64)
+    for k, (ids, ends) in enumerate(sides):
+        group = np.searchsorted(shared, ends)
+        # A token stands behind the other side's tokens of the groups before, those of B also behind A's of their own group.
+        text[np.arange(len(ids)) + upto[1 - k][group + k]] = ids + size * np.where(ends == shared[group], 1 + k, 0)
+    letters, at = buffer(_decimals(size).take(pa.array(text)))
+    word_at = np.concatenate(([0], at[sum(np.searchsorted(ends, word_ends, "right") for _, ends in sides)]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word_ends), [None, pa.py_buffer(word_at), pa.py_buffer(letters)])
+
+
+def _aligner(b_bits: int, wide: bool, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes rows of texts from blocks of `tokens`: their groups as text, or its SHA-256, and their links, as 64-bit numbers if wide."""
+
+    def aligned(docs: pa.StructArray, a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray, word_ends: np.ndarray) -> pa.RecordBatch:
+        ends, shared = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+        links = a_ids[np.searchsorted(a_ends, ends)].astype(np.int64 if wide else np.int32) << b_bits | b_ids[np.searchsorted(b_ends, ends)]
+        links_at, groups_at = (np.concatenate(([0], np.searchsorted(x, word_ends, "right"))) for x in (ends, shared))
+        words = docs.field("words").flatten().to_numpy()
+        at = np.frombuffer(docs.field("words").buffers()[1], np.int32)[docs.field("words").offset :][: len(docs) + 1]
+        at = at.astype(np.int64) - (at[0] if len(at) else 0)
+        n_links = np.diff(links_at)[words]
+        own = lambda n: np.concatenate(([0], np.cumsum(n)))[at]
+        letters, text_at = buffer(_word_groups(((a_ids, a_ends), (b_ids, b_ends)), shared, word_ends).take(pa.array(words)))
+        letters, text_at = memoryview(letters), text_at[at].tolist()
+        texts = (letters[u : max(u, v - 1)] for u, v in zip(text_at[:-1], text_at[1:], strict=True))  # without the last semicolon
+        groups = [hashlib.sha256(x).hexdigest() if len(x) else "" for x in texts] if digest else [x.tobytes().decode() for x in texts]
+        columns = [
+            docs.field("id"), docs.field("n_a").cast(pa.int64()), docs.field("n_b").cast(pa.int64()), pa.array(np.diff(own(np.diff(groups_at)[words]))), pa.array(groups, pa.string()),
+            pa.ListArray.from_arrays(pa.array(own(n_links), pa.int32()), pa.array(links[spread(links_at[words], n_links)])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "groups", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, *arrays = (batch.column(c)[i].values for c in _BLOCKS.names)
+                if len(docs):
+                    yield aligned(docs, *(x.to_numpy() for x in arrays))
+                    release()
+
+    return run
 
 
-def _once(value: Column, then) -> Column:
-    """then(value), where value is an array that the functions of `then` ask for again and again: it is made once for each row."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _aligned_row(wide: bool) -> str:
+    return f"id long, n_a long, n_b long, n_groups long, groups string, links array<{'long' if wide else 'int'}>"
 
 
 def align(tokens: DataFrame, b_bits: int) -> DataFrame:
     """(id, n_a, n_b, n_groups, groups, links) for each text of the blocks: groups as `a1,a2|b1;a3|b2,b3`, and one number for each pair of tokens that overlap: A's id shifted by b_bits, and B's."""
-    mask = F.lit(0x7FFFFFFF)
-    end_a = F.transform("a_ends", lambda e, i: F.shiftleft(e.cast("long"), 32) + i)
-    end_b = F.transform("b_ends", lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(1 << 31) + i)  # behind A's that is equal
-    merged = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("ends", F.sort_array(F.concat(end_a, end_b)))
-
-    def walk(end: Column, k: Column) -> Column:
-        i = end.bitwiseAND(mask)
-        closes = F.shiftright(F.get(F.col("ends"), k - 1), 32) == F.shiftright(end, 32)  # a shared end comes twice: A's makes the link, B's the group
-        pair = lambda a, b: F.shiftleft(F.get(F.col("a_ids"), a).cast("long"), b_bits) + F.get(F.col("b_ids"), b)
-        return F.when(end.bitwiseAND(F.lit(1 << 31)) == 0, pair(i, k - i)).when(closes, F.lit(-1) - F.shiftleft(k - i - 1, 31) - i).otherwise(pair(k - i, i))
-
-    walked = merged.withColumn("walked", F.transform("ends", walk)).drop("ends")
-    # The last tokens of each group, and how many groups end with each word or before.
-    last = walked.withColumn("links", F.filter("walked", lambda x: x >= 0).cast(f"array<{'int' if b_bits <= 15 else 'long'}>")).withColumn("last", F.filter("walked", lambda x: x < 0))
-    twice = F.sort_array(F.concat(F.transform("shared", lambda e: e.cast("long") * 2), F.transform("word_ends", lambda e: e.cast("long") * 2 + 1)))
-    places = F.filter(F.transform(twice, lambda x, p: F.when(x.bitwiseAND(F.lit(1)) == 1, p)), lambda p: p.isNotNull())
-    told = last.select(
-        "docs", "links", F.transform(places, lambda p, k: p - k).alias("groups_to"),
-        F.transform("last", lambda x: F.shiftright(-(x + 1), 31).cast("int")).alias("last_a"), F.transform("last", lambda x: (-(x + 1)).bitwiseAND(mask).cast("int")).alias("last_b"),
-        F.col("a_ids").cast("array<string>").alias("a_text"), F.col("b_ids").cast("array<string>").alias("b_text"),
-    )
-
-    def side(text: str, before: Column, to: Column) -> Column:
-        return F.when(to - before == 1, F.get(F.col(text), to)).otherwise(F.array_join(F.slice(F.col(text), before + 2, to - before), ","))
-
-    def group(a: Column, b: Column) -> Column:  # the last tokens of all groups, behind -1
-        return F.zip_with(F.transform("last_a", lambda to, g: side("a_text", F.get(a, g), to)), F.transform("last_b", lambda to, g: side("b_text", F.get(b, g), to)), lambda x, y: F.concat(x, F.lit("|"), y))
-
-    groups = _once(F.concat(F.array(F.lit(-1)), "last_a"), lambda a: _once(F.concat(F.array(F.lit(-1)), "last_b"), lambda b: group(a, b)))
-    before = lambda c, k: F.coalesce(F.get(F.col(c), k - 1), F.lit(0))
-    by_word = told.select(
-        "docs", "links", "groups_to",
-        _once(groups, lambda group: F.transform("groups_to", lambda to, k: F.array_join(F.slice(group, before("groups_to", k) + 1, to - before("groups_to", k)), ";"))).alias("word_text"),
-        F.transform("groups_to", lambda to: F.get(F.col("last_a"), to - 1) + F.get(F.col("last_b"), to - 1) + 2 - to).alias("links_to"),
-    )
-    word_links = _once(F.col("links"), lambda links: F.transform("links_to", lambda to, k: F.slice(links, before("links_to", k) + 1, to - before("links_to", k))))
-    by_word = by_word.select("docs", "word_text", word_links.alias("word_links"), F.transform("groups_to", lambda to, k: to - before("groups_to", k)).alias("word_groups"))
-
-    def text(d: Column, word_links: Column, word_text: Column, word_groups: Column) -> Column:
-        links = F.flatten(F.transform(d["words"], lambda k: F.get(word_links, k)))
-        n_groups = F.aggregate(d["words"], F.lit(0), lambda n, k: n + F.get(word_groups, k))
-        groups = F.array_join(F.transform(d["words"], lambda k: F.get(word_text, k)), ";")
-        return F.struct(d["id"].alias("id"), d["n_a"].cast("long").alias("n_a"), d["n_b"].cast("long").alias("n_b"), n_groups.cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
-
-    each = _once(F.col("word_links"), lambda x: _once(F.col("word_text"), lambda y: _once(F.col("word_groups"), lambda z: F.transform("docs", lambda d: text(d, x, y, z)))))
-    return by_word.select(F.inline(each))
+    ship(tokens.sparkSession)
+    return tokens.mapInArrow(tidy_batches(_aligner(b_bits, True, False)), _aligned_row(True))
 
 
 def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
@@ -238,13 +262,16 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     row without tokens: a null or empty text, or one that the tokens don't spell (it holds U+2581). Repeated rows and null
     ids keep a row each, and count each. Other columns are not read, whatever their names.
     """
-    spark = ship(docs.sparkSession)
-    b_bits = max(1, (model(Path(b_path).read_bytes()).size - 1).bit_length())
-    aligned = align(tokens(docs, a_path, b_path, id_col, text_col), b_bits)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = aligned.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links")
+    spark = docs.sparkSession
+    description, raw = _files(a_path, b_path)
+    b_bits = max(1, (model(raw).size - 1).bit_length())
+    wide = len(byte_level(description)[1]) << b_bits > 1 << 31
+    tokenise, each_text = _tokeniser(description, raw, BLOCK_BYTES), _aligner(b_bits, wide, True)
+    # A block goes from its tokens to its texts' rows within a task; of the groups' text only the digest leaves it.
+    aligned = _texts(docs, id_col, text_col).mapInArrow(tidy_batches(lambda batches: each_text(tokenise(batches))), _aligned_row(wide))
+    rows = aligned.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.col("groups").alias("groups_sha256"), "links")
     place = folder(spark, "links")
-    rows.write.parquet(place)  # texts are tokenised once; the links are read twice
+    rows.write.option("parquet.block.size", GROUP_BYTES).parquet(place)  # texts are tokenised once; the links are read twice
     rows = spark.read.parquet(place)
 
     each = rows.select("row", F.explode("links").alias("pair"))

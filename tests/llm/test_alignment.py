@@ -85,6 +85,19 @@ def test_groups_and_links_of_a_text(spark):
     assert {x >> 15 for x in row.links} == set(a) and {x & 32767 for x in row.links} == set(b) and len(row.links) == len(a) + len(b) - row.n_groups
 
 
+def test_ends_are_aligned_by_arrays(spark):
+    """No lambda is interpreted for each token end in the JVM, whose boxed numbers filled its heap."""
+    df = spark.createDataFrame([(5, "été")], "doc_id long, text string")
+    plan = alignment.align(alignment.tokens(df, A, B), 15)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "MapInArrow" in plan
+
+
+def test_links_of_large_vocabularies(spark):
+    """A's ids that need more than 31 bits together with B's."""
+    df = spark.createDataFrame([([(7, 1, 1, [0])], [70_000], [3], [5], [3], [3])], alignment._BLOCKS)
+    assert [tuple(r) for r in alignment.align(df, 15).collect()] == [(7, 1, 1, 1, "70000|5", [(70_000 << 15) + 5])]
+
+
 def test_odd_rows(spark, odd, none):
     rows = alignment.linked(odd, A, B).collect()
     assert len(rows) == odd.count() and {r.groups_sha256 for r in rows if r.n_a == 0} == {""}
