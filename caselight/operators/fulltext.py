@@ -22,6 +22,8 @@ LEAST_DOCUMENT, LEAST_TOKENS = 80, 5
 K1, B = 1.5, 0.75
 #: Words whose terms a task keeps in mind, and postings that it hands over at once.
 MOST_KNOWN, ROWS_SENT = 500_000, 100_000
+#: Postings that a task sorts and writes, on average.
+PART_ROWS = 1_000_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[А-ЯA-Z])")
 
@@ -184,8 +186,10 @@ class Index:
 def store_index(rows: DataFrame, id_col: str, text_col: str, root: str, stop_words: list[str] | None = None, least: int = LEAST_TOKENS) -> Index:
     """Builds the index of rows once and writes it under root as Parquet; postings are dealt and sorted by term, so that a search reads few row groups."""
     counts = _counted_once(rows, id_col, text_col, stop_words, least)
-    # By term and id: the postings of a term that all texts have go to as many files as they fill.
-    counts.where(F.col(id_col).isNotNull()).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{root}/postings")
+    # By term and id: the postings of a term that all texts have go to as many files as they fill. The number of parts follows the postings: without
+    # it, about as many parts as there are cores would be made of them, and each task would sort more as they grow.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // PART_ROWS))
+    counts.where(F.col(id_col).isNotNull()).repartitionByRange(parts, "term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{root}/postings")
     sizes(counts, id_col).write.mode("overwrite").parquet(f"{root}/sizes")
     spark = rows.sparkSession
     spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{root}/terms")

@@ -36,3 +36,13 @@ def test_a_term_of_all_texts_goes_to_many_files(spark, tmp_path):
     assert [x["count"] for x in index.postings.groupBy("term").count().collect()] == [4000] * 3
     each = [x["count"] for x in index.postings.groupBy(F.input_file_name()).count().collect()]
     assert len(each) == 4 and max(each) < 0.5 * sum(each) and index.postings.where("term = 'открыт'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_tasks_sort_bounded_shares_of_the_postings(spark, tmp_path, monkeypatch):
+    """The postings' files hold PART_ROWS each, about, however many there are, also those of one term."""
+    monkeypatch.setattr(fulltext, "PART_ROWS", 500, raising=False)
+    rows = spark.range(1000).select("id", F.concat(F.lit("заседание рассмотрено открыто стороной решение "), F.col("id").cast("string")).alias("text"))
+    index = fulltext.store_index(rows, "id", "text", str(tmp_path / "index"))
+    n = index.postings.count()
+    files = index.postings.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert n >= 5000 and max(r["count"] for r in files) <= 1500
