@@ -33,6 +33,7 @@ class RunLengthIndex:
         self.start = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
         self.head = heads[self.start].astype(np.int64)
         size = np.diff(np.append(self.start, len(order)))
+        self.run_of = np.repeat(np.arange(len(size), dtype=np.int32), size)  # a row's run, in place of a search for each step
         # Sampled run ends: where in the text the rows point to.
         self.first_at, self.last_at = order[self.start], order[np.append(self.start[1:], len(order)) - 1]
         self.last = self.start + size - 1
@@ -58,7 +59,7 @@ class RunLengthIndex:
         for step in range(len(pattern)):
             m = int(active[step])
             c, q = pattern[step, :m].astype(np.int64), row[:m]
-            run = np.searchsorted(self.start, q, "right") - 1
+            run = self.run_of[q].astype(np.int64)
             miss = np.flatnonzero(self.head[run] != c)
             if len(miss):
                 # Nearest runs of this byte above and below; the one whose suffix shares more with the match so far goes on.

@@ -1,4 +1,6 @@
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -6,7 +8,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-
 from caselight.llm import chunks, run_length_index, suffix_arrays, suffix_tree, words
 
 from .conftest import corpus
@@ -141,3 +142,20 @@ def test_chunks_round_trip(spark):
         ids, data, at = chunks.unpack(packed.filter(pc.equal(packed.column("home"), home)))
         back += [(int(i), data[a:b].tobytes().decode()) for i, a, b in zip(ids, at[:-1], at[1:], strict=True)]
     assert sorted(back) == sorted(rows)
+
+
+def test_suffixes_of_bytes_are_sorted_in_few_rounds(monkeypatch):
+    """Stretches of up to 76 bytes need four doublings, as the first key holds seven bytes; end marks are the smallest and differ."""
+    r = random.Random(7)
+    passage = bytes(r.choice((0, 1, 97, 255)) for _ in range(70))
+    parts = [np.frombuffer(x, np.uint8) for x in [passage, passage[3:] + b"abc", b"a", b"", b"\0\0", b"a" * 76, b"a" * 75 + b"b", passage, *(bytes(r.choice(b"ab") for _ in range(r.randrange(12))) for _ in range(60))]]
+    whole, ends = suffix_arrays.joined(parts)
+    calls, rank = [], suffix_arrays._rank
+    monkeypatch.setattr(suffix_arrays, "_rank", lambda keys: calls.append(len(keys)) or rank(keys))
+    order, _ = suffix_arrays.suffix_array(whole, ends)
+    units = [int(x) + len(ends) for x in whole]
+    for k, e in enumerate(ends.tolist()):
+        units[e] = k
+    end_of = [int(ends[np.searchsorted(ends, i)]) for i in range(len(whole))]
+    assert order.tolist() == sorted(range(len(whole)), key=lambda i: units[i : end_of[i] + 1])
+    assert len(calls) <= 4
