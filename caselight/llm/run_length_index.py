@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 
 from . import chunks
 from .repeats import HOT, covered, remove_repeats
-from .suffix_arrays import joined, suffix_array
+from .suffix_arrays import KEY_BYTES, byte_keys, joined, suffix_array
 
 #: Rounds of index and stream; stretches that are left then (many variants of one anchor) are settled in one sort.
 ROUNDS = 6
+#: The smallest differences of two keys whose last byte alone differs, whose last two do, and so on.
+_FROM = np.left_shift(1, 9 * np.arange(KEY_BYTES, dtype=np.int64))
 
 
 class RunLengthIndex:
@@ -26,9 +28,10 @@ class RunLengthIndex:
     def __init__(self, parts: list[np.ndarray]):
         text, ends = joined(parts)
         order, _ = suffix_array(text, ends)
-        self.text = np.concatenate((text.astype(np.int16), np.full(256, -1, np.int16)))
-        self.text[ends] = -1
-        heads = self.text[order - 1]
+        self.next_bytes, self.end_of = byte_keys(text, ends)[0], np.repeat(ends, np.diff(ends, prepend=-1))
+        units = text.astype(np.int16)
+        units[ends] = -1
+        heads = units[order - 1]
         heads[order == 0] = -1
         self.start = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
         self.head = heads[self.start].astype(np.int64)
@@ -88,14 +91,15 @@ class RunLengthIndex:
 
     def _common(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the indexed suffixes at x and y, up to `most`."""
+        most = np.minimum(most, self.end_of[x] - x)  # end marks match nothing
         got = np.zeros(len(x), np.int64)
         going = np.flatnonzero(most > 0)
         while len(going):
-            a, b = self.text[x[going] + got[going]], self.text[y[going] + got[going]]
-            going = going[(a == b) & (a >= 0)]
-            got[going] += 1
-            going = going[got[going] < most[going]]
-        return got
+            at = got[going]
+            same = KEY_BYTES - np.searchsorted(_FROM, self.next_bytes[x[going] + at] ^ self.next_bytes[y[going] + at], "right")
+            got[going] = at + same
+            going = going[(same == KEY_BYTES) & (got[going] < most[going])]
+        return np.minimum(got, most)
 
 
 def long_matches(parts: list[np.ndarray], anchors: np.ndarray, docs: np.ndarray, width: int) -> list[np.ndarray]:

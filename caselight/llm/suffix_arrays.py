@@ -16,8 +16,8 @@ def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return whole, ends
 
 
-#: Bytes that a first key holds, of nine bits each.
-_BYTES = 7
+#: Bytes that a key holds, of nine bits each.
+KEY_BYTES = 7
 
 
 def _rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -36,18 +36,24 @@ def _ranked(keys: np.ndarray, order: np.ndarray, apart: np.ndarray | None = None
     return rank, order, bool(new.all())
 
 
-def _first_bytes(whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Ranks of all suffixes by their first _BYTES bytes; a suffix that ends before has a rank of its own."""
-    units = np.zeros(len(whole) + _BYTES, np.int64)
+def byte_keys(whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the next KEY_BYTES bytes as one number, zeros from the end mark on, and whether there is none among them."""
+    units = np.zeros(len(whole) + KEY_BYTES, np.int64)
     units[: len(whole)] = whole
     units[: len(whole)] += 1
     units[ends] = 0
     keys, open_ = np.zeros(len(whole), np.int64), np.ones(len(whole), bool)
-    for j in range(_BYTES):
+    for j in range(KEY_BYTES):
         unit = units[j : j + len(whole)]
         open_ &= unit > 0
         keys <<= 9
         keys |= np.where(open_, unit, 0)
+    return keys, open_
+
+
+def _first_bytes(whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Ranks of all suffixes by their first KEY_BYTES bytes; a suffix that ends before has a rank of its own."""
+    keys, open_ = byte_keys(whole, ends)
     order = np.argsort(keys, kind="stable")  # suffixes that are equal up to their end marks follow each other as these do
     return _ranked(keys[order], order, ~open_[order])
 
@@ -61,7 +67,7 @@ def suffix_array(whole: np.ndarray, ends: np.ndarray, depths: tuple[int, ...] =
     n = len(whole)
     end_of = ends[np.searchsorted(ends, np.arange(n))]
     if whole.dtype == np.uint8 and not depths:
-        (rank, order, done), h = _first_bytes(whole, ends), _BYTES
+        (rank, order, done), h = _first_bytes(whole, ends), KEY_BYTES
     else:
         first = np.unique(whole, return_inverse=True)[1].astype(np.int64) + len(ends)
         first[ends] = np.arange(len(ends))

@@ -159,3 +159,14 @@ def test_suffixes_of_bytes_are_sorted_in_few_rounds(monkeypatch):
     end_of = [int(ends[np.searchsorted(ends, i)]) for i in range(len(whole))]
     assert order.tolist() == sorted(range(len(whole)), key=lambda i: units[i : end_of[i] + 1])
     assert len(calls) <= 4
+
+
+def test_common_prefixes_of_indexed_suffixes():
+    """Seven bytes at once give the lengths that single bytes give, up to the limit and to either end."""
+    parts = [np.frombuffer(x, np.uint8) for x in (b"abcdefgh" * 4, b"abcdefgh" * 3 + b"abcdefgX", b"\0\0\0\0\0\0\0\0\0", b"\0" * 20, b"", b"\xff" * 9)]
+    index = run_length_index.RunLengthIndex(parts)
+    raw, at = [p.tobytes()[i:] for p in parts for i in range(len(p) + 1)], np.arange(sum(len(p) + 1 for p in parts))
+    x, y = (z.ravel() for z in np.meshgrid(at, at))
+    for most in (0, 6, 7, 8, 50):
+        want = [next((k for k, (u, v) in enumerate(zip(raw[i], raw[j], strict=False)) if u != v), min(len(raw[i]), len(raw[j]))) for i, j in zip(x, y, strict=True)]
+        assert index._common(x, y, np.full(len(x), most)).tolist() == [min(most, k) for k in want]
