@@ -247,8 +247,10 @@ def find_repeats(packed: DataFrame, total_bytes: int, decide: Decide, by_word: b
         todo = np.flatnonzero(~one)
         if len(todo):
             units = [np.frombuffer(distinct[i], unit) for i in todo]
-            for i, hits in zip(todo, decide(units, group[todo], smallest[todo], width), strict=True):
-                own[i] = np.uint64(sum(1 << j for j in np.flatnonzero(hits).tolist()))
+            hits = decide(units, group[todo], smallest[todo], width)
+            sizes = np.array([len(x) for x in hits])  # one at least: a stretch holds a window
+            bits = np.concatenate(hits).astype(np.uint64) << _ranges(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64)
+            own[todo] = np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes)
         windows = np.array([len(x) for x in distinct], np.int64) // np.dtype(unit).itemsize - width + 1
         every = np.array([(1 << int(n)) - 1 for n in windows], np.uint64)
         # A stretch has its own windows, or all if a smaller document has the whole stretch.
@@ -285,16 +287,15 @@ def _firsts(ids: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np.nda
 
 def covered(table: pa.Table, unit_at: np.ndarray, width: int) -> np.ndarray:
     """For each unit of a chunk, whether a found window covers it; unit_at: the documents' offsets in units."""
-    step = np.zeros(int(unit_at[-1]) + 1, np.int32)
-    for doc, at, windows in zip(table.column("doc"), table.column("at"), table.column("windows"), strict=True):
-        start = unit_at[np.frombuffer(doc.as_py(), np.uint32).astype(np.int64)] + np.frombuffer(at.as_py(), np.uint32)
-        mask = np.frombuffer(windows.as_py(), np.uint64)
+    begins = np.zeros(int(unit_at[-1]), bool)
+    if table.num_rows:
+        doc, at, mask = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("doc", np.uint32), ("at", np.uint32), ("windows", np.uint64)))
+        start = unit_at[doc.astype(np.int64)] + at
         for j in range(64):
-            on = start[(mask >> np.uint64(j)) & np.uint64(1) == 1] + j
-            if len(on):
-                np.add.at(step, on, 1)
-                np.subtract.at(step, on + width, 1)
-    return np.cumsum(step[:-1]) > 0
+            begins[start[(mask >> np.uint64(j)) & np.uint64(1) == 1] + j] = True
+    until = np.cumsum(begins, dtype=np.int32)  # windows that begin up to here; those that began `width` before are over
+    until[width:] -= until[:-width].copy()
+    return until > 0
 
 
 def remove_repeats(docs: DataFrame, decide: Decide, by_word: bool, width: int, gram: int, id_col: str, text_col: str, apply: Callable, schema: pa.Schema, sql: str, chunk_bytes: int, hot: int = HOT) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .repeats import HOT, covered, remove_repeats
+from .repeats import HOT, _ranges, covered, remove_repeats
 from .suffix_arrays import KEY_BYTES, byte_keys, joined, suffix_array
 
 #: Rounds of index and stream; stretches that are left then (many variants of one anchor) are settled in one sort.
@@ -42,52 +42,56 @@ class RunLengthIndex:
         self.last = self.start + size - 1
         # Where the step to the left leads from each run's first row.
         by_head = np.argsort(self.head, kind="stable")
-        self.to = np.empty(len(size), np.int64)
-        self.to[by_head] = np.cumsum(size[by_head]) - size[by_head]
+        to = np.empty(len(size), np.int64)
+        to[by_head] = np.cumsum(size[by_head]) - size[by_head]
+        self.step = to - self.start  # what it adds to any row of the run
         self.by_head = by_head
         self.keys = self.head[by_head] * (len(size) + 1) + by_head
 
     def matching_statistics(self, parts: list[np.ndarray], limit: int) -> list[np.ndarray]:
         """For each place of each stretch, the length (up to `limit`) of the longest indexed match that begins there."""
         sizes = np.array([len(x) for x in parts])
-        by_size = np.argsort(-sizes, kind="stable")
-        lanes = len(parts)
-        pattern = np.zeros((int(sizes.max()), lanes), np.int16)  # column: a stretch, right to left
-        for k, i in enumerate(by_size.tolist()):
-            pattern[: sizes[i], k] = parts[i][::-1]
-        out = np.zeros(pattern.shape, np.int16)
-        row, place, length = np.zeros(lanes, np.int64), np.full(lanes, self.first_at[0], np.int64), np.zeros(lanes, np.int64)
-        active = np.searchsorted(-sizes[by_size], -np.arange(len(pattern)), "left")  # stretches longer than the step
+        return np.split(self.lengths(np.concatenate(parts), sizes, limit), np.cumsum(sizes)[:-1])
+
+    def lengths(self, text: np.ndarray, sizes: np.ndarray, limit: int, least: int = 0) -> np.ndarray:
+        """The same for stretches that stand end to end. A stretch whose match can't reach `least` bytes any more, were all that is left of it to match, is left there, with zeros."""
+        out = np.zeros(len(text), np.int16)
+        at, left = np.cumsum(sizes)[sizes > 0] - 1, sizes[sizes > 0]  # the place where a stretch is, right to left, and how many are left with it
+        row, place, length = np.zeros(len(at), np.int64), np.full(len(at), self.first_at[0], np.int64), np.zeros(len(at), np.int64)
         n_runs = len(self.start)
-        for step in range(len(pattern)):
-            m = int(active[step])
-            c, q = pattern[step, :m].astype(np.int64), row[:m]
-            run = self.run_of[q].astype(np.int64)
+        while len(at):
+            c = text[at].astype(np.int64)
+            run = self.run_of[row].astype(np.int64)
             miss = np.flatnonzero(self.head[run] != c)
             if len(miss):
                 # Nearest runs of this byte above and below; the one whose suffix shares more with the match so far goes on.
-                key = c[miss] * (n_runs + 1) + run[miss]
-                j = np.searchsorted(self.keys, key)
+                of = c[miss]
+                j = np.searchsorted(self.keys, of * (n_runs + 1) + run[miss])
                 below, above = self.by_head[np.minimum(j, n_runs - 1)], self.by_head[np.maximum(j - 1, 0)]
-                has_below, has_above = (j < n_runs) & (self.head[below] == c[miss]), (j > 0) & (self.head[above] == c[miss])
-                had = np.minimum(length[miss], limit)
-                a = np.where(has_above, self._common(self.last_at[above], place[miss], had), -1)
-                b = np.where(has_below, self._common(self.first_at[below], place[miss], had), -1)
+                had, now = np.minimum(length[miss], limit), place[miss]
+                a, b = np.full(len(miss), -1), np.full(len(miss), -1)
+                some = np.flatnonzero((j > 0) & (self.head[above] == of))
+                a[some] = self._common(self.last_at[above[some]], now[some], had[some])
+                some = np.flatnonzero((a < had) & (j < n_runs) & (self.head[below] == of))
+                b[some] = self._common(self.first_at[below[some]], now[some], had[some])
                 up = a >= b
                 run[miss] = np.where(up, above, below)
-                q = q.copy()
-                q[miss] = np.where(up, self.last[above], self.start[below])
+                row[miss] = np.where(up, self.last[above], self.start[below])
                 place[miss] = np.where(up, self.last_at[above], self.first_at[below])
                 length[miss] = np.maximum(a, b)
-            ok = length[:m] >= 0
-            row[:m] = np.where(ok, self.to[run] + q - self.start[run], 0)
-            place[:m] = np.where(ok, place[:m] - 1, self.first_at[0])
-            length[:m] = np.where(ok, length[:m] + 1, 0)
-            out[step, :m] = np.minimum(length[:m], limit)
-        result: list[np.ndarray] = [None] * lanes
-        for k, i in enumerate(by_size.tolist()):
-            result[i] = out[: sizes[i], k][::-1]
-        return result
+            row += self.step[run]
+            place -= 1
+            length += 1
+            if len(miss):
+                none = miss[length[miss] == 0]  # the byte isn't indexed
+                row[none], place[none] = 0, self.first_at[0]
+            out[at] = np.minimum(length, limit)
+            at -= 1
+            left -= 1
+            stay = (left > 0) & (length + left >= least)
+            if not stay.all():
+                at, left, row, place, length = (x[stay] for x in (at, left, row, place, length))
+        return out
 
     def _common(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the indexed suffixes at x and y, up to `most`."""
@@ -104,7 +108,10 @@ class RunLengthIndex:
 
 def long_matches(parts: list[np.ndarray], anchors: np.ndarray, docs: np.ndarray, width: int) -> list[np.ndarray]:
     """For each stretch and each of its windows: does a stretch of the same anchor in a smaller document have the window?"""
-    hits = [np.zeros(max(0, len(x) - width + 1), bool) for x in parts]
+    sizes = np.array([len(x) for x in parts])
+    text, at, windows = np.concatenate(parts), np.cumsum(sizes) - sizes, np.maximum(0, sizes - width + 1)
+    hit = np.zeros(len(text), bool)  # by the place where a window begins
+    hits = [hit[a : a + n] for a, n in zip(at.tolist(), windows.tolist(), strict=True)]
     left = np.arange(len(parts))
     for _ in range(ROUNDS):
         group = np.unique(anchors[left], return_inverse=True)[1]
@@ -116,11 +123,10 @@ def long_matches(parts: list[np.ndarray], anchors: np.ndarray, docs: np.ndarray,
         if not len(stream):
             return hits
         index = RunLengthIndex([parts[i] for i in left[known & several[group]]])
-        open_ = []
-        for i, lengths in zip(stream.tolist(), index.matching_statistics([parts[i] for i in stream], width), strict=True):
-            hits[i] |= lengths[: len(hits[i])] >= width
-            open_.append(not hits[i].all())
-        left = stream[np.array(open_)]
+        places = _ranges(at[stream], sizes[stream])
+        hit[places] |= index.lengths(text[places], sizes[stream], width, width) >= width
+        known_windows = np.bincount(np.repeat(np.arange(len(stream)), sizes[stream])[hit[places]], minlength=len(stream))
+        left = stream[known_windows < windows[stream]]
         if not len(left):
             return hits
     seen: dict[tuple[int, bytes], int] = {}

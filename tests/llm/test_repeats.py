@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from caselight.llm import chunks, run_length_index, suffix_arrays, suffix_tree, words
+from caselight.llm import chunks, repeats, run_length_index, suffix_arrays, suffix_tree, words
 
 from .conftest import corpus
 
@@ -170,3 +170,30 @@ def test_common_prefixes_of_indexed_suffixes():
     for most in (0, 6, 7, 8, 50):
         want = [next((k for k, (u, v) in enumerate(zip(raw[i], raw[j], strict=False)) if u != v), min(len(raw[i]), len(raw[j]))) for i, j in zip(x, y, strict=True)]
         assert index._common(x, y, np.full(len(x), most)).tolist() == [min(most, k) for k in want]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=25).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=5), st.lists(st.binary(max_size=25).map(lambda b: bytes(97 + x % 4 for x in b)), min_size=1, max_size=4), st.integers(1, 9))
+def test_stretches_that_cannot_match_are_left(parts, patterns, least):
+    index = run_length_index.RunLengthIndex([np.frombuffer(p, np.uint8) for p in parts])
+    patterns = [np.frombuffer(p, np.uint8) for p in patterns]
+    sizes, text = np.array([len(p) for p in patterns]), np.concatenate(patterns)
+    whole, some = index.lengths(text, sizes, 50), index.lengths(text, sizes, 50, least)
+    assert ((whole >= least) == (some >= least)).all() and ((some == whole) | (some == 0)).all()
+
+
+def test_a_stretch_is_left_early():
+    index = run_length_index.RunLengthIndex([np.frombuffer(b"abcdefgh", np.uint8)])
+    text = np.frombuffer(b"hhhhabcd", np.uint8)
+    assert index.lengths(text, np.array([8]), 50).tolist() == [1, 1, 1, 1, 4, 3, 2, 1]
+    assert index.lengths(text, np.array([8]), 50, 6).tolist() == [0, 0, 0, 1, 4, 3, 2, 1]
+
+
+def test_covered_by_windows():
+    r = random.Random(2)
+    unit_at, width = np.array([0, 100, 100, 300]), 13
+    rows = [([r.choice((0, 2)) for _ in range(3)], [r.randrange(30) for _ in range(3)], [r.randrange(1 << 50) & r.randrange(1 << 50) for _ in range(3)]) for _ in range(4)]
+    table = pa.table({n: pa.array([np.array(x[i], k).tobytes() for x in rows], pa.binary()) for i, (n, k) in enumerate((("doc", np.uint32), ("at", np.uint32), ("windows", np.uint64)))})
+    want = {int(unit_at[d]) + a + j + k for ds, as_, ms in rows for d, a, m in zip(ds, as_, ms, strict=True) for j in range(50) if m >> j & 1 for k in range(width)}
+    assert set(np.flatnonzero(repeats.covered(table, unit_at, width)).tolist()) == {x for x in want if x < 300}
+    assert not repeats.covered(table.slice(0, 0), unit_at, width).any() and not len(repeats.covered(table.slice(0, 0), np.array([0]), width))
